@@ -1 +1 @@
-"""To come."""
+"""End-to-end jobs."""
