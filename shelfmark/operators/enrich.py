@@ -16,22 +16,24 @@ def enrich(books: DataFrame, bib: DataFrame) -> DataFrame:
     """Left join on ISBN that fills what a row lacks and overwrites nothing.
 
     Authors count as missing when the array is empty, the other columns when null; titles,
-    publisher and URL are never touched. `bib` holds one row per ISBN. Rows without an ISBN
-    go around the join, so that they do not meet in one partition.
+    publisher and URL are never touched. `bib` holds one row per ISBN.
     """
     right = bib.select(
         F.col("isbn").alias("__isbn"),
         F.col("authors").alias("__authors"),
         *[F.col(c).alias(f"__{c}") for c in FILLED],
     )
-    keyed = books.where("isbn is not null").join(right, F.col("isbn") == F.col("__isbn"), "left")
+    # A made-up key that matches nothing spreads the rows without an ISBN over all partitions.
+    spread = F.concat_ws("\u0000", F.lit("no isbn"), "source_id", F.col("position").cast("string"))
+    keyed = books.withColumn("__key", F.coalesce(F.col("isbn"), spread)).join(
+        right, F.col("__key") == F.col("__isbn"), "left"
+    )
     no_authors = F.coalesce(F.size("authors"), F.lit(0)) <= 0
     filled = {
         "authors": F.when(no_authors, F.coalesce("__authors", "authors")).otherwise(F.col("authors")),
         **{c: F.coalesce(c, f"__{c}") for c in FILLED},
     }
-    done = keyed.select(*[filled.get(c, F.col(c)).alias(c) for c in books.columns])
-    return done.unionByName(books.where("isbn is null"))
+    return keyed.select(*[filled.get(c, F.col(c)).alias(c) for c in books.columns])
 
 
 def stamp_defaults(books: DataFrame, registry: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.isbn import looks_like_isbn, normalize_isbn
 from ..functions.text import empty_to_null, match_key, token_keys, trim_blanks
 from ..operators.ranking import with_runner_up
 from ..schemas import BOOK
+from ..storage import materialize
 from .by_isbn import by_isbn
 from .search import prepare_catalog, ranked_hits
 
@@ -78,13 +79,14 @@ def resolve(
     listing: DataFrame | None = None,
 ) -> DataFrame:
     """One result row per clue of `clues(clue_id, isbn, title, author, publisher_id)`."""
-    asked = _clean(clues)
+    asked = materialize(_clean(clues))
     hits = by_isbn(
         asked.select(F.col("request_isbn").alias("isbn")),
         bib, registry, codes, page_books, catalog, secondary, robots, strict_isbn, listing,
     ).select(F.col("isbn").alias("request_isbn"), "source", "book")
 
-    with_isbn = asked.where("request_isbn is not null").join(hits, "request_isbn", "left")
+    # Written once: the clues that were found and those still open are read from it.
+    with_isbn = materialize(asked.where("request_isbn is not null").join(hits, "request_isbn", "left"))
     by_number = _matched_by_isbn(with_isbn.where("book is not null"))
     open_isbn = with_isbn.where("book is null").select(asked.columns)
     rest = open_isbn.unionByName(asked.where("request_isbn is null"))

@@ -12,16 +12,21 @@ from ..operators.filters import relevance_filter
 from ..operators.keyword_join import keyword_filter, token_and_filter
 from ..operators.ranking import MAX_LIMIT, clamp_limit, rank_by_score, top_per_group
 from ..operators.score_join import score_join
+from ..storage import materialize
 
 FORM = ["query_title", "query_author", "publisher_id"]
 
 
 def prepare_catalog(catalog: DataFrame, bib: DataFrame, registry: DataFrame) -> DataFrame:
-    """Catalog rows enriched, de-duplicated, stamped and with the keys scores are made of."""
+    """Catalog rows enriched, de-duplicated, stamped and with the keys scores are made of.
+
+    Written once: the score join reads it from several sides, and keys are made once per row.
+    """
     books = with_distinct_authors(stamp_defaults(enrich(catalog, bib), registry))
-    return books.withColumn("title_key", match_key(F.col("title"))).withColumn(
+    keyed = books.withColumn("title_key", match_key(F.col("title"))).withColumn(
         "author_keys", match_keys(F.col("authors"))
     )
+    return materialize(keyed)
 
 
 def query_forms(queries: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> Da
     authors score equally, and the source order decides among them, so only the first
     `MAX_LIMIT` of each such group can ever be returned: the rest leave before the join.
     """
-    forms = query_forms(queries)
+    forms = materialize(query_forms(queries))
     distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
     candidates = top_per_group(
         books.select("source_id", "position", "title_key", "author_keys"),

@@ -11,6 +11,7 @@ from shelfmark.operators.keyword_join import keyword_filter, token_and_filter
 from shelfmark.operators.score_join import score_join
 from shelfmark.sources.bibliography import bibliography_to_books, read_bibliography
 from shelfmark.sources.registry import ISBN_CODES, SOURCES
+from shelfmark.storage import materialize
 
 from . import views as v
 from .columns import _AUTHOR_SQL, _AUTHORS_SQL, _MEAN_SQL, _PAIRS, _case, _keyed, _mean, _pick
@@ -43,7 +44,8 @@ def asks(spark, d):
 
 
 def bib_books(spark, d):
-    return bibliography_to_books(read_bibliography(v.batches(spark, d)))
+    """The bibliography as a stored table, as every job expects it."""
+    return materialize(bibliography_to_books(read_bibliography(v.batches(spark, d))))
 
 
 # The bibliography as rows, in SQL. The last answer for an ISBN counts.
@@ -263,7 +265,8 @@ SELECT query AS query_title, query_author, publisher_id, source_id, k, match_sco
 def score_join_q(spark, d):
     forms = v.clue_rows(spark, d).select(col("title").alias("query_title"), col("author").alias("query_author"), "publisher_id").where(
         "query_title is not null or query_author is not null").distinct()
-    books = v.catalog(spark, d).select("source_id", "position", text.match_key(col("title")).alias("title_key"), text.match_keys(col("authors")).alias("author_keys"))
+    books = materialize(v.catalog(spark, d).select("source_id", "position", text.match_key(col("title")).alias("title_key"), text.match_keys(col("authors")).alias("author_keys")))
+    forms = materialize(forms)
     return score_join(forms, books).withColumnRenamed("position", "k")
 
 
