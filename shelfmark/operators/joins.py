@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host, origin, path_and_query
+from .ranking import first_match
 
 
 def url_source_join(urls: DataFrame, registry: DataFrame) -> DataFrame:
     """Each URL with the source whose base URL it starts with; null when there is none.
 
-    Hosts are joined by equality and the prefix is checked afterwards. The registry is small by
-    nature; the first source in registry order wins.
+    The registry, a fixed few dozen rows, is folded to one row per host with its base URLs in
+    registry order, so that the lookup is one broadcast join and URLs are not shuffled.
     """
-    bases = registry.select(
-        "source_id", "ordinal", "base_url", host(F.col("base_url")).alias("__host")
+    bases = (
+        registry.groupBy(host(F.col("base_url")).alias("__host"))
+        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "base_url", "source_id"))).alias("__bases"))
     )
-    hits = (
-        urls.select("url").distinct()
-        .withColumn("__host", host(F.col("url")))
-        .join(F.broadcast(bases), "__host")
-        .where(F.col("url").startswith(F.col("base_url")))
-        .groupBy("url")
-        .agg(F.min_by("source_id", "ordinal").alias("source_id"))
+    owner = F.get(F.filter("__bases", lambda b: F.startswith(F.col("url"), b["base_url"])), F.lit(0))
+    return (
+        urls.withColumn("__host", host(F.col("url")))
+        .join(F.broadcast(bases), "__host", "left")
+        .withColumn("source_id", owner["source_id"])
+        .drop("__host", "__bases")
     )
-    return urls.join(hits, "url", "left")
 
 
 def isbn_source_join(isbns: DataFrame, codes: DataFrame, column: str = "isbn") -> DataFrame:
@@ -97,33 +97,33 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     )
 
 
-def robots_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def robots_join(urls: DataFrame, rules: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """`urls(url, …)` with `allowed`: longest matching path decides, ties go to the earlier rule.
 
-    URLs without a rules file or a matching rule are allowed. Each distinct URL path is cut into its
-    prefixes, so that the join is an equality on (origin, path) and no URL meets all rules of
-    its origin.
+    URLs without a rules file or a matching rule are allowed. Rules are folded to one row per
+    origin, which is no more than the one file they came from, so that each URL meets one row.
+    With `registry` only the origins of registered sources count; those few are broadcast.
     """
-    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("path")).alias("lengths"))
-    paths = urls.select("url").distinct().select(
-        "url", origin(F.col("url")).alias("origin"), path_and_query(F.col("url")).alias("path_q")
-    )
-    prefixes = (
-        paths.join(lengths, "origin")
-        .withColumn("n", F.explode("lengths"))
-        .where(F.col("n") <= F.length("path_q"))
-        .select("url", "origin", F.substring("path_q", F.lit(1), F.col("n")).alias("path"))
+    per_origin = rules.groupBy("origin").agg(
+        F.array_sort(
+            F.collect_list(F.struct((-F.length("path")).alias("n"), "ordinal", "path", "allow"))
+        ).alias("__rules")
     )
-    hits = (
-        prefixes.join(rules, ["origin", "path"])
-        .groupBy("url")
-        .agg(F.max_by("allow", F.struct(F.length("path"), -F.col("ordinal"))).alias("allowed"))
+    if registry is not None:
+        known = registry.select(origin(F.col("base_url")).alias("origin")).distinct()
+        per_origin = F.broadcast(per_origin.join(F.broadcast(known), "origin", "left_semi"))
+    first = F.get(F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(0))
+    return (
+        urls.withColumn("__origin", origin(F.col("url")))
+        .withColumn("__path", path_and_query(F.col("url")))
+        .join(per_origin.withColumnRenamed("origin", "__origin"), "__origin", "left")
+        .withColumn("allowed", F.coalesce(first["allow"], F.lit(True)))
+        .drop("__origin", "__path", "__rules")
     )
-    return urls.join(hits, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
-def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    return robots_join(urls, rules).where("allowed").drop("allowed")
+def robots_filter(urls: DataFrame, rules: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    return robots_join(urls, rules, registry).where("allowed").drop("allowed")
 
 
 def detail_urls(isbns: DataFrame, registry: DataFrame, codes: DataFrame) -> DataFrame:
@@ -160,15 +160,12 @@ def first_row_fallback(isbns: DataFrame, listing: DataFrame, strict: bool = Fals
     """For each ISBN the listed row with that ISBN, else the first row of its keyword listing.
 
     `listing(keyword, position, isbn, …)`: what a source lists for a keyword. The fallback may be
-    another book; `strict` leaves it out.
+    another book; `strict` leaves it out. The listed row's own ISBN is in `found.isbn`.
     """
     rows = listing.withColumn("__other", ~F.coalesce(F.col("isbn") == F.col("keyword"), F.lit(False)))
     if strict:
         rows = rows.where(~F.col("__other"))
+    best = first_match(rows, ["keyword"], F.col("__other"), F.col("position"))
     cols = [c for c in listing.columns if c != "keyword"]
-    best = rows.groupBy("keyword").agg(
-        F.min_by(F.struct(*cols), F.struct("__other", "position")).alias("r")
-    )
-    return isbns.select("isbn").join(
-        best.select(F.col("keyword").alias("isbn"), F.col("r").alias("found")), "isbn"
-    )
+    found = best.select(F.col("keyword").alias("isbn"), F.struct(*cols).alias("found"))
+    return isbns.select("isbn").join(found, "isbn")

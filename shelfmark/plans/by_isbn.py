@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.people import dedupe_authors
 from ..functions.stores import asin_from_stores
-from ..operators.joins import (
-    detail_by_isbn_template,
-    first_row_fallback,
-    isbn_source_join,
-    robots_filter,
-    secondary_lookup,
-    url_source_join,
-)
+from ..operators.joins import first_row_fallback, isbn_source_join, robots_join, url_source_join
+from ..operators.ranking import first_match
 from ..schemas import BOOK, as_books
 from ..sources.registry import DEFAULT_LANGUAGE
 
@@ -22,14 +16,11 @@ from ..sources.registry import DEFAULT_LANGUAGE
 BIBLIOGRAPHY, PUBLISHER, SECONDARY = "isbn:openbd", "isbn:publisher", "isbn:calil"
 
 
-def _candidate(df: DataFrame, origin: str, priority: int) -> DataFrame:
-    book = F.struct(*[F.col(c) for c in BOOK])
-    rows = as_books(df, "asked")
-    return rows.select(
-        "asked",
-        F.lit(priority).alias("priority"),
-        F.lit(origin).alias("source"),
-        book.alias("book"),
+def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, book struct) of book-shaped rows."""
+    kept = df.withColumn("__key", F.col(key))
+    return as_books(kept, "__key").select(
+        F.col("__key").alias(key), F.struct(*[F.col(c) for c in BOOK]).alias(name)
     )
 
 
@@ -53,54 +44,69 @@ def by_isbn(
 
     ISBNs in the bibliography: page behind the store link, else the catalog of the source the ISBN
     belongs to, else the bibliography row. Others: the page at the ISBN's fixed address, else
-    the secondary bibliography. Each step sees only rows that can still use it.
-    """
-    asked = isbns.select(F.col("isbn")).where("isbn is not null").distinct()
-    known = asked.join(bib, "isbn")
-    unknown = asked.join(bib.select("isbn"), "isbn", "left_anti")
+    the secondary bibliography.
 
-    links = url_source_join(
-        known.where("store_link is not null").select("isbn", F.col("store_link").alias("url")), registry
-    ).where("source_id is not null")
-    by_link = (
-        robots_filter(links, robots)
-        .withColumnsRenamed({"isbn": "asked", "source_id": "link_source"})
-        .join(page_books, "url")
-        .withColumn("source_id", F.col("link_source"))
-    )
-
-    coded = isbn_source_join(known.select("isbn"), codes).where("source_id is not null")
-    in_catalog = coded.withColumnRenamed("isbn", "asked").join(
-        catalog.withColumn("asked", F.col("isbn")), ["asked", "source_id"]
+    Every place is joined to the ISBNs by ISBN, one row each, so the ISBNs are shuffled once for
+    all of them, and once more by URL for the pages.
+    """
+    asked = isbns.select("isbn").where("isbn is not null").distinct()
+    owned = isbn_source_join(asked, codes).withColumnRenamed("source_id", "code_source")
+
+    own_rows = isbn_source_join(
+        catalog.where("isbn is not null").withColumnRenamed("source_id", "listed"), codes
+    ).where("source_id = listed")
+    in_catalog = first_match(own_rows.drop("listed"), ["isbn"], F.col("position"))
+    base = (
+        owned.join(_packed(bib, "isbn", "bib_book"), "isbn", "left")
+        .join(bib.select("isbn", "store_link"), "isbn", "left")
+        .join(_packed(in_catalog, "isbn", "catalog_book"), "isbn", "left")
+        .join(_packed(secondary, "isbn", "secondary_book"), "isbn", "left")
     )
-    # A catalog may list one ISBN more than once; the first row counts.
-    first = in_catalog.groupBy("asked").agg(
-        F.min_by(F.struct(*catalog.columns), "position").alias("r")
-    ).select("asked", "r.*")
-    parts = [
-        _candidate(by_link, PUBLISHER, 1),
-        _candidate(first, PUBLISHER, 2),
-        _candidate(known.withColumn("asked", F.col("isbn")), BIBLIOGRAPHY, 4),
-    ]
     if listing is not None and not strict_isbn:
-        rows = coded.join(listing.withColumn("isbn", F.col("keyword")).select("isbn", "source_id").distinct(),
-                          ["isbn", "source_id"]).select("isbn", "source_id")
-        own = listing.join(rows.withColumnRenamed("isbn", "keyword"), ["keyword", "source_id"])
-        other = first_row_fallback(rows, own).select(F.col("isbn").alias("asked"), "found.*")
-        parts.append(_candidate(other, PUBLISHER, 3))
-
-    template = detail_by_isbn_template(unknown, registry, codes, page_books)
-    allowed = robots_filter(template, robots).withColumn("asked", F.col("isbn"))
-    fallback = secondary_lookup(unknown, secondary).where("title is not null").withColumn("asked", F.col("isbn"))
-    parts += [_candidate(allowed, PUBLISHER, 1), _candidate(fallback, SECONDARY, 2)]
-
-    candidates = parts[0]
-    for p in parts[1:]:
-        candidates = candidates.unionByName(p)
-    best = candidates.groupBy("asked").agg(
-        F.min_by(F.struct("source", "book"), "priority").alias("r")
+        own = isbn_source_join(
+            listing.withColumnRenamed("source_id", "listed"), codes, "keyword"
+        ).where("source_id = listed").drop("listed")
+        found = first_row_fallback(asked, own).select(F.col("isbn").alias("keyword"), "found.*")
+        base = base.join(
+            _packed(found, "keyword", "listed_book").withColumnRenamed("keyword", "isbn"), "isbn", "left"
+        )
+
+    known = F.col("bib_book").isNotNull()
+    # The registry has a fixed few dozen rows.
+    templates = registry.select(F.col("source_id").alias("code_source"), "detail_url_template")
+    fixed = F.replace("detail_url_template", F.lit("{isbn}"), F.col("isbn"))
+    routed = robots_join(
+        url_source_join(
+            base.join(F.broadcast(templates), "code_source", "left").withColumn(
+                "url", F.when(known, F.col("store_link")).otherwise(fixed)
+            ),
+            registry,
+        ),
+        robots,
+        registry,
+    )
+    page_source = F.when(known, F.col("source_id")).otherwise(F.col("code_source"))
+    usable = F.col("allowed") & page_source.isNotNull() & F.col("url").isNotNull()
+    # ISBNs without a page get a key that matches nothing and spreads them.
+    with_page = (
+        routed.withColumn("page_source", page_source)
+        .withColumn("url", F.when(usable, F.col("url")).otherwise(F.concat(F.lit("no page "), "isbn")))
+        .join(_packed(page_books.drop("source_id"), "url", "page_book"), "url", "left")
+    )
+    page = F.when(
+        F.col("page_book").isNotNull(), F.col("page_book").withField("source_id", F.col("page_source"))
     )
-    flat = best.select(F.col("asked"), "r.source", "r.book.*")
+    listed = F.col("listed_book") if "listed_book" in base.columns else None
+    chain = [c for c in (F.col("catalog_book"), listed, F.col("bib_book")) if c is not None]
+    picked = with_page.select(
+        F.col("isbn").alias("asked"),
+        F.coalesce(page, F.when(known, F.coalesce(*chain)).otherwise(F.col("secondary_book"))).alias("book"),
+        F.when(F.col("page_book").isNotNull(), PUBLISHER)
+        .when(known, F.when(F.coalesce(*chain[:-1]).isNotNull(), PUBLISHER).otherwise(BIBLIOGRAPHY))
+        .otherwise(SECONDARY)
+        .alias("source"),
+    ).where("book is not null")
+    flat = picked.select("asked", "source", "book.*")
     langs = registry.select("source_id", F.col("language").alias("__language"))
     stamped = flat.join(F.broadcast(langs), "source_id", "left").select(
         "asked",

@@ -17,7 +17,7 @@ def book_details(
     A URL is rejected when no source owns it, when robots rules forbid it, or when its page gave
     no record. `page_books`: book rows of extracted detail pages by `url`.
     """
-    routed = robots_join(url_source_join(urls, registry), robots)
+    routed = robots_join(url_source_join(urls, registry), robots, registry)
     reason = F.when(F.col("source_id").isNull(), "no source").when(~F.col("allowed"), "robots.txt")
     checked = routed.withColumn("reason", reason)
     usable = checked.where("reason is null").select("url", "source_id")

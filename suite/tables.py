@@ -37,15 +37,16 @@ asks AS (SELECT c.c_custkey AS query_id,
   FROM customer c JOIN book b ON b.k = c.c_custkey)"""
 
 
+@v.stored
 def asks(spark, d):
     text_ = f"WITH {v.BOOK}, {ASKS} SELECT * FROM asks".replace('"limit"', "`limit`")
     text_ = text_.replace("FROM part", "FROM {part}").replace("FROM customer", "FROM {customer}")
     return spark.sql(text_, part=table(spark, d, "part"), customer=table(spark, d, "customer"))
 
 
+@v.stored
 def bib_books(spark, d):
-    """The bibliography as a stored table, as every job expects it."""
-    return materialize(bibliography_to_books(read_bibliography(v.batches(spark, d))))
+    return bibliography_to_books(read_bibliography(v.batches(spark, d)))
 
 
 # The bibliography as rows, in SQL. The last answer for an ISBN counts.

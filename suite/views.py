@@ -13,6 +13,8 @@ from shelfmark.functions.text import IGNORED
 from shelfmark.schemas import as_books
 from shelfmark.sources.registry import ISBN_CODES, SOURCES, isbn_codes, sources
 
+from shelfmark.storage import materialize
+
 from .registry import table
 
 _CODE = " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(ISBN_CODES))
@@ -71,10 +73,25 @@ clues AS (SELECT c.c_custkey AS clue_id,
   FROM customer c JOIN book b ON b.k = c.c_custkey)"""
 
 
+def stored(make):
+    """Keep a derived input as a table, as a job would find it: written once per session and directory."""
+    kept = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = materialize(make(spark, sf_dir))
+        return kept[key]
+
+    get.__doc__ = make.__doc__
+    return get
+
+
 def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {BOOK} SELECT * FROM book".replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
 
 
+@stored
 def clue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"WITH {BOOK}, {CLUES} SELECT * FROM clues"
     text = text.replace("FROM part", "FROM {part}").replace("FROM customer", "FROM {customer}")
@@ -85,6 +102,7 @@ def _list(c):
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "[|]"))
 
 
+@stored
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = book_rows(spark, sf_dir)
     return as_books(
@@ -163,6 +181,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def page_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Book rows of the detail pages that were fetched: half of the store links and of the fixed addresses."""
     b = book_rows(spark, sf_dir)
@@ -189,6 +208,7 @@ def page_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_books(firsts.select("url", "r.*"))
 
 
+@stored
 def secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = book_rows(spark, sf_dir).where("k % 9 = 0").groupBy("isbn").agg(F.min("k").alias("k"))
     return rows.select(
