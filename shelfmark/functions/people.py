@@ -14,6 +14,7 @@ SEPARATORS = {
     "comma": "[、，,]",
     "vendor": "[,、/／]",
     "newline": "[、,\n]",
+    "listed": "[,，、・]",
     "english": "(?i)\\s*,\\s*|\\s+with\\s+|\\s+and\\s+",
     "english_and": "(?i)\\s*,\\s*|\\s+and\\s+",
     "blank": f"{WS}+(?={WS}*[^\\s\\u3000])",

@@ -41,18 +41,12 @@ def stamp_defaults(books: DataFrame, registry: DataFrame) -> DataFrame:
     langs = registry.select("source_id", F.col("language").alias("__language"))
     # The registry has a fixed few dozen rows.
     out = books.join(F.broadcast(langs), "source_id", "left")
-    return out.select(
-        *[
-            {
-                "language": F.coalesce("language", "__language", F.lit(DEFAULT_LANGUAGE)),
-                "asin": F.coalesce(F.col("asin"), asin_from_stores(F.col("ebook_stores"))),
-                "currency": F.coalesce(F.col("currency"), F.when(F.col("price").isNotNull(), "JPY")),
-            }
-            .get(c, F.col(c))
-            .alias(c)
-            for c in books.columns
-        ]
-    )
+    stamped = {
+        "language": F.coalesce("language", "__language", F.lit(DEFAULT_LANGUAGE)),
+        "asin": F.coalesce(F.col("asin"), asin_from_stores(F.col("ebook_stores"))),
+        "currency": F.coalesce(F.col("currency"), F.when(F.col("price").isNotNull(), "JPY")),
+    }
+    return out.select(*[stamped.get(c, F.col(c)).alias(c) for c in books.columns])
 
 
 def with_distinct_authors(books: DataFrame) -> DataFrame:

@@ -108,23 +108,14 @@ def by_isbn(
     ).where("book is not null")
     flat = picked.select("asked", "source", "book.*")
     langs = registry.select("source_id", F.col("language").alias("__language"))
-    stamped = flat.join(F.broadcast(langs), "source_id", "left").select(
-        "asked",
-        "source",
-        *[
-            {
-                "language": F.coalesce("language", "__language", F.lit(DEFAULT_LANGUAGE)),
-                "authors": dedupe_authors(F.coalesce("authors", F.array().cast("array<string>"))),
-                "asin": F.coalesce(F.col("asin"), asin_from_stores(F.col("ebook_stores"))),
-            }
-            .get(c, F.col(c))
-            .alias(c)
-            for c in BOOK
-        ],
-    )
-    return stamped.select(
-        F.col("asked").alias("isbn"), "source", F.struct(*[F.col(c) for c in BOOK]).alias("book")
-    )
+    stamped = flat.join(F.broadcast(langs), "source_id", "left")
+    filled = {
+        "language": F.coalesce("language", "__language", F.lit(DEFAULT_LANGUAGE)),
+        "authors": dedupe_authors(F.coalesce("authors", F.array().cast("array<string>"))),
+        "asin": F.coalesce(F.col("asin"), asin_from_stores(F.col("ebook_stores"))),
+    }
+    book = F.struct(*[filled.get(c, F.col(c)).alias(c) for c in BOOK])
+    return stamped.select(F.col("asked").alias("isbn"), "source", book.alias("book"))
 
 
 def books_by_isbn(isbns: DataFrame, *args, **kwargs) -> DataFrame:

@@ -1 +1,276 @@
-"""To come."""
+"""Reading pages and feeds: the given pages, and feeds assembled from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.functions.urls import host
+from shelfmark.operators.summary import max_page
+from shelfmark.sources import feeds, pages as P
+from shelfmark.sources.sinks import format_books
+
+from . import views as v
+from .registry import query, table
+
+col, lit = F.col, F.lit
+
+
+@query("page_corpus", "SELECT page_id, url, md5(html) AS body FROM pages WHERE page_id % 10 <> 3")
+def page_corpus(spark, d):
+    fetched = table(spark, d, "pages").withColumn("status", F.when(col("page_id") % 10 == 3, 404).otherwise(200))
+    return P.read_pages(fetched).select("page_id", "url", F.md5("html").alias("body"))
+
+
+@query("decode_bodies", "SELECT doc_id, text FROM documents")
+def decode_bodies(spark, d):
+    kind = col("doc_id") % 4
+    raw = table(spark, d, "documents").withColumn(
+        "body", F.when(kind == 1, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
+    ).withColumn(
+        "content_type",
+        F.when(kind == 0, "text/html").when(kind == 1, "text/html; Charset='UTF-16BE'").when(kind == 2, "text/html; charset=no-such-one"),
+    )
+
+    def pack(batches):
+        import gzip
+
+        for pdf in batches:
+            pdf["body"] = [gzip.compress(b) if i % 3 == 0 else b for i, b in zip(pdf["doc_id"], pdf["body"])]
+            yield pdf
+
+    fields = raw.select("doc_id", "body", "content_type")
+    return P.decode_bodies(fields.mapInPandas(pack, fields.schema)).select("doc_id", col("html").alias("text"))
+
+
+@query("page_links", r"""
+SELECT page_id, i AS pos, hrefs[i + 1] AS href FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM pages), range(0, 100) r(i)
+WHERE i < len(hrefs)""")
+def page_links(spark, d):
+    return P.page_links(table(spark, d, "pages").select("page_id", "html"))
+
+
+@query("meta_tags", r"""
+SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, NULL::VARCHAR AS description, 'v' || page_id AS first_value FROM pages""")
+def meta_tags(spark, d):
+    extra = F.concat(lit("<meta content='v"), col("page_id").cast("string"), lit("' property=\"book:isbn\"><META name='book:isbn' content='later'>"))
+    html = F.concat(extra, "html")
+    m = table(spark, d, "pages").select("page_id", P.meta_tags(html).alias("m"))
+    return m.select("page_id", col("m.title").alias("title"), F.element_at("m", "description").alias("description"), F.element_at("m", "book:isbn").alias("first_value"))
+
+
+@query("embedded_json", r"""
+SELECT page_id, regexp_extract(html, 'track\((\d+)\)', 1)::BIGINT AS tracked,
+  CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id * 10 END AS price FROM pages""")
+def embedded_json(spark, d):
+    blob = F.when(col("page_id") % 5 == 0, "{broken").otherwise(F.concat(lit('{"product":{"price":'), (col("page_id") * 10).cast("string"), lit(',"x":[1]}}')))
+    html = F.concat("html", lit("<script>var Shop = "), blob, lit(";\n</script>"))
+    tracked = F.concat(lit('{"n":'), F.regexp_extract("html", "track\\(([0-9]+)\\)", 1), lit("}"))
+    shop = P.embedded_json(html, "var Shop = (\\{[^\\n]+\\});", "struct<product:struct<price:bigint>>")
+    return table(spark, d, "pages").select(
+        "page_id", P.embedded_json(tracked, "(.*)", "struct<n:bigint>")["n"].alias("tracked"), shop["product"]["price"].alias("price"))
+
+
+@query("kv_blocks", v.with_views("""
+SELECT k, p_name AS name, p_brand AS brand, p_type AS kind, k::VARCHAR AS later FROM book"""))
+def kv_blocks(spark, d):
+    tags = F.concat(
+        lit("<dl><dt>書名</dt><dd> <b>"), "p_name", lit("</b></dd><dt class='x'>版</dt><dd>1</dd><DT>版</DT><DD>"), col("k").cast("string"),
+        lit("</DD></dl><table><tr><th>出版社</th><td>"), "p_brand", lit("</td></tr></table>"))
+    lines = F.concat(lit("前書き\r\n種類： x\n種類："), "p_type", lit("\n著者\t"), "author1")
+    b = v.book_rows(spark, d).select("k", P.kv_tags(tags).alias("t"), P.kv_lines(lines).alias("l"))
+    return b.select("k", col("t")["書名"].alias("name"), col("t")["出版社"].alias("brand"), col("l")["種類"].alias("kind"), col("t")["版"].alias("later"))
+
+
+@query("line_classifier", v.with_views("""
+SELECT k, author1 || '|' || p_brand || '|Bob' AS authors, isbn, '2021-0' || (1 + k % 9) || '-01' AS published_at, floor(p_retailprice)::BIGINT AS price FROM book"""))
+def line_classifier(spark, d):
+    text = F.concat(
+        "author1", lit("、"), "p_brand", lit(" 著\n　ISBN 978-4-"), F.substring("isbn", 5, 9), lit("\nISBN 978-4-00-000000-0\r\n2021年"),
+        (1 + col("k") % 9).cast("string"), lit("月発売\n\n定価 "), F.format_number(F.floor("p_retailprice"), 0), lit("円\n定価 5円\nBob 監訳\nその他"))
+    b = v.book_rows(spark, d).select("k", P.line_classifier(text).alias("r"))
+    return b.select("k", F.array_join("r.authors", "|").alias("authors"), "r.isbn", col("r.published_at").cast("string").alias("published_at"), "r.price")
+
+
+_SITE = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+
+
+@query("max_page", """
+SELECT page_id, CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) = '' THEN 1 ELSE greatest(1, regexp_extract(url, '[?&]page=([0-9]+)', 1)::INT, page_id % 4)::INT END AS last_page FROM pages""")
+def max_page_q(spark, d):
+    links = F.array(lit("/x"), col("url"), F.when(F.contains("url", lit("page=")), F.concat(lit("?a=b&page="), (col("page_id") % 4).cast("string"))).otherwise("/y"))
+    return table(spark, d, "pages").select("page_id", max_page(links).alias("last_page"))
+
+
+@query("paginated_union", f"""
+WITH p AS (SELECT page_id, html, {_SITE} AS listing, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) AS page_no FROM pages),
+l AS (SELECT listing, greatest(1, page_id % 4)::INT AS last_page FROM p WHERE page_no = 1),
+h AS (SELECT p.listing, page_no, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs FROM p JOIN l ON l.listing = p.listing WHERE page_no <= last_page)
+SELECT listing, page_no, i, hrefs[i + 1] AS item FROM h, range(0, 100) r(i) WHERE i < len(hrefs)""")
+def paginated_union(spark, d):
+    from pyspark.sql import Window
+
+    pages = table(spark, d, "pages").withColumn("listing", host(col("url")))
+    pages = pages.withColumn("page_no", F.row_number().over(Window.partitionBy("listing").orderBy("page_id")))
+    pages = pages.select(
+        "listing", "page_no",
+        F.array(lit("/about"), F.concat(lit("/list?page="), (col("page_id") % 4).cast("string"))).alias("links"),
+        F.regexp_extract_all("html", lit('<li><a href="([^"]*)"'), lit(1)).alias("items"))
+    return P.paginated_union(pages).select("listing", "page_no", "i", "item")
+
+
+_LINKS_SQL = r"""
+hl AS (SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs FROM pages),
+lk AS (SELECT page_url, page_id, i AS pos, site || hrefs[i + 1] AS url, i % 3 = 2 AS is_folder, page_id % 2 = 0 AS is_index FROM hl, range(0, 100) r(i) WHERE i < len(hrefs)),
+inner_ AS (SELECT url AS folder, 'k' || n AS title, folder_id, n AS pos, 'https://inner.example.com/' || (length(url) + n) AS url FROM (
+  SELECT DISTINCT url, length(url) AS folder_id FROM lk WHERE is_folder AND is_index), range(0, 3) q(n))"""
+
+
+@query("expand_folders", f"""
+WITH {_LINKS_SQL.strip()},
+rows_ AS (SELECT page_url AS catalog, 0 AS level, 0 AS fp, pos, url FROM lk WHERE is_index AND NOT is_folder
+  UNION ALL SELECT lk.page_url, 1, lk.pos, i.pos, i.url FROM lk JOIN inner_ i ON i.folder = lk.url WHERE is_index AND is_folder)
+SELECT catalog, level, fp AS folder_pos, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY catalog, url ORDER BY level, fp, pos) AS rn FROM rows_) WHERE rn = 1""")
+def expand_folders(spark, d):
+    pages = table(spark, d, "pages")
+    site = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    listed = pages.select(
+        col("url").alias("page_url"), "page_id", site.alias("site"),
+        F.posexplode(F.regexp_extract_all("html", lit('<li><a href="([^"]*)"'), lit(1))).alias("pos", "href"))
+    links = listed.select(
+        "page_url", "pos", col("href").alias("title"), F.concat("site", "href").alias("url"),
+        (col("pos") % 3 == 2).alias("is_folder"), (col("page_id") % 2 == 0).alias("is_index"))
+    folders = links.where("is_folder and is_index").select("url").distinct()
+    inner = folders.withColumn("pos", F.explode(F.sequence(lit(0), lit(2)))).select(
+        col("url").alias("page_url"), "pos", F.concat(lit("k"), col("pos").cast("string")).alias("title"),
+        F.concat(lit("https://inner.example.com/"), (F.length("url") + col("pos")).cast("string")).alias("url"),
+        lit(False).alias("is_folder"), lit(False).alias("is_index"))
+    return P.expand_folders(links.unionByName(inner)).select("catalog", "level", "folder_pos", "pos", "url")
+
+
+@query("follow_link", v.with_views("""
+SELECT k, CASE WHEN k % 12 = 1 THEN author1 ELSE authors_text END AS authors, CASE WHEN k % 12 = 1 THEN 'ASIN' || k % 100 END AS asin,
+  CASE WHEN k % 5 = 0 THEN 'own text' WHEN k % 12 IN (1, 2) THEN 'linked ' || k % 7 END AS description FROM book"""))
+def follow_link(spark, d):
+    k = col("k")
+    b = v.book_rows(spark, d)
+    authors = F.when(col("authors_text") == "", F.array().cast("array<string>")).otherwise(F.split("authors_text", "[|]"))
+    books = b.select(
+        k.alias("position"), authors.alias("authors"), lit(None).cast("string").alias("isbn"), lit(None).cast("string").alias("asin"),
+        F.when(k % 5 == 0, "own text").alias("description"),
+        lit(None).cast("array<string>").alias("ebook_stores"), F.when(k % 3 < 3, F.when(k % 6 != 5, F.concat(lit("https://l.example.com/"), k.cast("string")))).alias("link"))
+    linked = b.where("k % 12 in (1, 2)").select(
+        F.concat(lit("https://l.example.com/"), k.cast("string")).alias("linked_url"),
+        F.when(k % 12 == 1, F.array("author1")).otherwise(F.array().cast("array<string>")).alias("authors"),
+        "isbn", F.when(k % 12 == 1, F.concat(lit("ASIN"), (k % 100).cast("string"))).alias("asin"),
+        F.concat(lit("linked "), (k % 7).cast("string")).alias("description"), lit(None).cast("array<string>").alias("ebook_stores"))
+    out = P.follow_link(books, linked, "link")
+    return out.select(col("position").alias("k"), F.array_join("authors", "|").alias("authors"), "asin", "description")
+
+
+@query("extract_stores", v.with_views("""
+SELECT k, CASE WHEN k % 2 = 0 THEN 'honto=https://honto.jp/' || k || '|' ELSE '' END || 'Kindle=https://www.amazon.co.jp/dp/' || k
+  || CASE WHEN k % 2 = 1 THEN '|honto=https://honto.jp/late' ELSE '' END AS stores FROM book"""))
+def extract_stores(spark, d):
+    a = lambda *u: F.concat(lit("<a class='x' href='"), *u, lit("'>t</a>"))
+    k = col("k").cast("string")
+    html = F.concat(
+        a(lit("https://nowhere.example.com/")), F.when(col("k") % 2 == 0, a(lit("https://honto.jp/"), k)).otherwise(""),
+        a(lit("https://www.amazon.co.jp/dp/"), k), a(lit("https://www.amazon.co.jp/dp/second")), a(lit("https://honto.jp/late")))
+    links = P.page_links(v.book_rows(spark, d).select("k", html.alias("html")))
+    out = P.extract_stores(links, "k")
+    return out.select("k", F.array_join(F.transform("ebook_stores", lambda s: F.concat_ws("=", s["name"], s["url"])), "|").alias("stores"))
+
+
+# --- Feeds: one JSON body for every ten rows of part ---
+
+
+def _bodies(spark, d, item, wrap, sep=","):
+    """One body per ten books: `item` is the JSON text of one book."""
+    rows = v.book_rows(spark, d).select(F.floor(col("k") / 10).alias("feed"), "k", item.alias("j"))
+    grouped = rows.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("k", "j"))).alias("r"))
+    return grouped.select("feed", wrap(F.array_join("r.j", sep)).alias("body"))
+
+
+@query("explode_keyed_catalog", v.with_views("""
+SELECT isbn, k % 10 AS position, CASE WHEN k % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name END AS title, author1 || '|' || p_brand AS authors,
+  CASE WHEN k % 4 = 3 THEN NULL ELSE strftime(make_date(2000 + k % 20, 1 + k % 12, 1 + k % 28), '%Y-%m-%d') END AS published_at,
+  CASE WHEN k % 4 = 3 THEN '近日' ELSE (2000 + k % 20) || '.' || (1 + k % 12) || '.' || (1 + k % 28) END AS release_text,
+  'https://gihyo.jp/book/' || k AS url, CASE WHEN k % 5 = 0 THEN NULL ELSE floor(p_retailprice) END AS price,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE 'https://gihyo.jp/cover/' || k || '.jpg' END AS cover_image_url FROM book"""))
+def explode_keyed_catalog(spark, d):
+    k = col("k")
+    author = F.create_map(
+        lit("著"), F.create_map(F.concat(lit("<ruby>"), "author1", lit("</ruby>")), lit("m")), lit("監修"), F.create_map(F.concat("p_brand", lit(" ")), lit("m")))
+    release = F.when(k % 4 == 3, "近日").otherwise(F.concat_ws(".", (2000 + k % 20).cast("string"), (1 + k % 12).cast("string"), (1 + k % 28).cast("string")))
+    entry = F.to_json(F.struct(
+        col("p_name").alias("title"), F.when(k % 2 == 0, col("p_type")).otherwise("").alias("subtitle"), author.alias("author"),
+        F.array(F.when(k % 5 == 0, 0).otherwise(F.floor("p_retailprice").cast("int")), lit(1)).alias("price"), F.array(release, lit("")).alias("release"),
+        F.concat(lit("/book/"), k.cast("string")).alias("url")))
+    cover = F.concat(lit(',"cover":["t.jpg",10,20,"'), F.when(k % 3 == 0, "").otherwise(F.concat(lit("/cover/"), k.cast("string"), lit(".jpg"))), lit('"]}'))
+    key = F.concat(lit('"'), F.substring("isbn", 1, 3), lit("-"), F.substring("isbn", 4, 10), lit('":'))
+    item = F.concat(key, F.substring(entry, lit(1), F.length(entry) - 1), cover)
+    out = feeds.explode_keyed_catalog(_bodies(spark, d, item, lambda j: F.concat(lit('{"total":1,"list":{'), j, lit("}}"))))
+    return out.select(
+        "isbn", "position", "title", F.array_join("authors", "|").alias("authors"), col("published_at").cast("string").alias("published_at"), "release_text",
+        "url", col("price").cast("double").alias("price"), "cover_image_url")
+
+
+@query("read_volume_json", v.with_views("""
+SELECT k // 10 AS feed, k % 10 AS position, p_name AS title, author1 AS authors, isbn, CASE WHEN k % 2 = 0 THEN floor(p_retailprice + 0.5::DOUBLE) END AS price,
+  CASE k % 3 WHEN 0 THEN '2021-01-01' WHEN 1 THEN '2021-04-01' ELSE '2021-04-1' || k % 10 END AS published_at,
+  CASE WHEN k % 4 = 0 THEN 'https://books.google.com/books?id=v' || k ELSE 'https://info.example.com/' || k END AS url, 'fr' AS language FROM book WHERE (k // 10) % 7 <> 0"""))
+def read_volume_json(spark, d):
+    k = col("k")
+    ident = lambda t, i: F.struct(lit(t).alias("type"), i.alias("identifier"))
+    date = F.when(k % 3 == 0, "2021").when(k % 3 == 1, "2021-04").otherwise(F.concat(lit("2021-04-1"), (k % 10).cast("string")))
+    item = F.to_json(F.struct(
+        F.concat(lit("v"), k.cast("string")).alias("id"),
+        F.struct(
+            col("p_name").alias("title"), F.array("author1").alias("authors"), date.alias("publishedDate"), lit("fr").alias("language"),
+            F.array(ident("ISBN_10", lit("x")), ident("ISBN_13", col("isbn"))).alias("industryIdentifiers"),
+            F.when(k % 4 != 0, F.concat(lit("http://info.example.com/"), k.cast("string"))).alias("infoLink")).alias("volumeInfo"),
+        F.struct(F.struct(col("p_retailprice").alias("amount"), F.when(k % 2 == 0, "JPY").otherwise("USD").alias("currencyCode")).alias("listPrice")).alias("saleInfo")))
+    wrap = lambda j: F.when(col("feed") % 7 == 0, '{"totalItems":0}').otherwise(F.concat(lit('{"totalItems":3,"items":['), j, lit("]}")))
+    out = feeds.read_volumes(_bodies(spark, d, item, wrap))
+    return out.select(
+        "feed", "position", "title", F.array_join("authors", "|").alias("authors"), "isbn", col("price").cast("double").alias("price"),
+        col("published_at").cast("string").alias("published_at"), "url", "language")
+
+
+@query("read_discriminated_index", v.with_views("""
+SELECT k // 10 AS feed, k % 10 AS position, p_name AS title, author1 || '|Paul' AS authors, 'https://pragprog.com/titles/' || k AS url,
+  lower(p_name || ' ' || p_type || ' K1 ' || p_brand) AS haystack FROM book WHERE k % 3 <> 0"""))
+def read_index(spark, d):
+    k = col("k")
+    item = F.to_json(F.struct(
+        F.when(k % 3 == 0, "errata").otherwise("book").alias("record_type"), F.concat(lit("/titles/"), k.cast("string")).alias("href"),
+        F.concat("p_name", lit(" ")).alias("title"), col("p_type").alias("subtitle"), F.concat("author1", lit(" and Paul")).alias("author"),
+        F.array(lit("K1"), col("p_brand")).alias("keywords")))
+    out = feeds.read_index(_bodies(spark, d, item, lambda j: F.concat(lit('{"results":['), j, lit("]}"))))
+    hay = F.regexp_replace("haystack", " {2,}", " ")
+    return out.select("feed", "position", "title", F.array_join("authors", "|").alias("authors"), "url", hay.alias("haystack"))
+
+
+@query("flatten_edges", v.with_views("""
+SELECT feed, position, title, authors, price, published_at, url FROM (
+  SELECT k // 10 AS feed, row_number() OVER (PARTITION BY k // 10 ORDER BY k) - 1 AS position, p_name AS title, CASE WHEN k % 5 = 0 THEN '' ELSE p_brand END AS authors,
+    CASE WHEN k % 2 = 0 THEN floor(p_retailprice) END AS price, '2022-03-04' AS published_at, 'https://techbookfest.org/product/' || k AS url FROM book WHERE k % 3 <> 1) WHERE position < 5"""))
+def flatten_edges(spark, d):
+    k = col("k")
+    product = F.to_json(F.struct(
+        k.cast("string").alias("databaseID"), col("p_name").alias("name"), F.when(k % 5 != 0, F.struct(col("p_brand").alias("name"))).alias("organization"),
+        F.when(k % 2 == 0, F.struct(F.floor("p_retailprice").cast("bigint").alias("price"))).alias("ebookVariant"), lit("2022-03-04T05:06:07Z").alias("firstPublishedAt")))
+    item = F.when(k % 3 == 1, '{"node":{}}').otherwise(F.concat(lit('{"node":{"product":'), product, lit("}}")))
+    feed = _bodies(spark, d, item, lambda j: F.concat(lit('{"data":{"searchProducts":{"edges":['), j, lit("]}}}")))
+    out = feeds.flatten_edges(feed, limit=lit(5))
+    return out.select("feed", "position", "title", F.array_join("authors", "|").alias("authors"), col("price").cast("double").alias("price"),
+                      col("published_at").cast("string").alias("published_at"), "url")
+
+
+@query("format_books", v.with_views("""
+SELECT k, trim(regexp_replace(replace(title, '　', ' '), '\\s+', ' ', 'g')) AS title, 'Kindle/DRM付き' AS stores FROM book"""))
+def format_books_q(spark, d):
+    store = F.array(F.struct(lit("Kindle").alias("name"), col("url"), lit("drm").alias("drm")))
+    books = v.catalog(spark, d).withColumn("title", F.concat(lit("\n "), F.replace("title", lit(" "), lit(" \t")))).withColumn("ebook_stores", store)
+    return format_books(books).select(
+        col("position").alias("k"), "title", F.array_join(F.transform("ebook_stores", lambda s: F.concat_ws("/", s["name"], s["drm_label"])), "|").alias("stores"))
