@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.urls import host
 from shelfmark.operators.summary import max_page
-from shelfmark.sources import feeds, pages as P
+from shelfmark.sources import feeds, pages as P, rulesets
+from shelfmark.sources.html import extract
+from shelfmark.sources.records import books_from_fields
 from shelfmark.sources.sinks import format_books
 
 from . import views as v
@@ -274,3 +276,92 @@ def format_books_q(spark, d):
     books = v.catalog(spark, d).withColumn("title", F.concat(lit("\n "), F.replace("title", lit(" "), lit(" \t")))).withColumn("ebook_stores", store)
     return format_books(books).select(
         col("position").alias("k"), "title", F.array_join(F.transform("ebook_stores", lambda s: F.concat_ws("/", s["name"], s["drm_label"])), "|").alias("stores"))
+
+
+# --- Rules on pages ---
+
+_SITE_RULES = {
+    ("site", "detail"): (None, [("title", "article h1", "text"), ("lang", "html", "lang"), ("ad", "div.ad", "text"), ("foot", "footer", "text")]),
+    ("site", "list"): ("nav ul li", [("url", "a", "href"), ("text", "a", "text")]),
+}
+
+
+def _decoded(c):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{char}')"
+    return f"nullif(trim({c}), '')"
+
+
+@query("extract_detail", f"""
+SELECT page_id, {_decoded("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  {_decoded("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad, {_decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS foot FROM pages""")
+def extract_detail(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html", lit("site").alias("source_id"), lit("detail").alias("page_kind"))
+    got = extract(pages, _SITE_RULES).where("error is null")
+    first = lambda n: F.get(F.try_element_at("fields", lit(n)), lit(0)).alias(n)
+    return got.join(pages.select("page_id", "url"), "url").select("page_id", first("title"), first("lang"), first("ad"), first("foot"))
+
+
+@query("extract_list_items", f"""
+SELECT page_id, i AS position, hrefs[i + 1] AS href, {_decoded("texts[i + 1]")} AS label FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs,
+  regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a>', 1) AS texts FROM pages), range(0, 100) r(i) WHERE i < len(hrefs)""")
+def extract_list_items(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html", lit("site").alias("source_id"), lit("list").alias("page_kind"))
+    got = extract(pages, _SITE_RULES).where("error is null")
+    first = lambda n: F.get(F.try_element_at("fields", lit(n)), lit(0))
+    return got.join(pages.select("page_id", "url"), "url").select("page_id", "position", first("url").alias("href"), first("text").alias("label"))
+
+
+@query("microdata", v.with_views("""
+SELECT k, p_name AS title, author1 || '|' || p_brand AS authors, '2002-02-0' || (1 + k % 9) AS published_at,
+  CASE WHEN k % 2 = 0 THEN isbn ELSE '978' || k END AS isbn, p_brand AS publisher FROM book WHERE k % 5 <> 0"""))
+def microdata(spark, d):
+    k = col("k").cast("string")
+    html = F.concat(
+        F.when(col("k") % 5 == 0, "<h1>none</h1>").otherwise(F.concat(lit("<h1 class='title' itemprop='name'> "), "p_name", lit("</h1>"))),
+        lit("<div class='author' itemprop='author'><a>"), "author1", lit("</a><span>(著)</span><a>"), "p_brand", lit("</a></div><span itemprop='publisher'>"),
+        "p_brand", lit("</span><span itemprop='datePublished'>(2002-02-0"), (1 + col("k") % 9).cast("string"), lit(")</span>"),
+        F.when(col("k") % 2 == 0, F.concat(lit("<span itemprop='isbn'>ISBN-13:</span> "), "isbn")).otherwise(""))
+    pages = v.book_rows(spark, d).select(
+        F.concat(lit("https://calil.jp/book/978"), k).alias("url"), html.alias("html"), lit("calil").alias("source_id"), lit("detail").alias("page_kind"))
+    b = books_from_fields(extract(pages, rulesets.rules()), v.sources(spark))
+    return b.select(
+        F.regexp_extract("page_url", "([0-9]+)$", 1).substr(4, 20).cast("bigint").alias("k"), "title", F.array_join("authors", "|").alias("authors"),
+        col("published_at").cast("string").alias("published_at"), "isbn", "publisher")
+
+
+# One detail page per book in the layout of one of four sources.
+@query("source_records", v.with_views("""
+SELECT k, CASE k % 4 WHEN 0 THEN 'saiensu' WHEN 1 THEN 'c-r' WHEN 2 THEN 'pragprog' ELSE 'cq-publishing' END AS source_id,
+  CASE k % 4 WHEN 0 THEN p_name || ' ―' || p_type ELSE p_name END AS title,
+  author1 || CASE k % 4 WHEN 0 THEN '' ELSE '|' || p_brand END AS authors,
+  CASE k % 4 WHEN 0 THEN floor(p_retailprice) WHEN 1 THEN floor(floor(p_retailprice) * 1.1::DOUBLE) WHEN 2 THEN 39.95::DOUBLE ELSE 2200 END AS price,
+  CASE k % 4 WHEN 0 THEN '2024-03-05' WHEN 2 THEN '2024-07-01' WHEN 3 THEN '2023-02-09' END AS published_at,
+  CASE WHEN k % 4 = 3 THEN NULL ELSE isbn END AS isbn, CASE WHEN k % 4 = 2 THEN 'USD' END AS currency,
+  CASE k % 4 WHEN 0 THEN 'サイエンス社' WHEN 1 THEN '本の森.JP' WHEN 2 THEN 'Pragmatic Bookshelf' ELSE 'CQ出版 Tech Village' END AS store FROM book"""))
+def source_records(spark, d):
+    k = col("k")
+    amount = F.floor("p_retailprice").cast("string")
+    dashed = F.concat(lit("978-4-"), F.substring("isbn", 5, 8), lit("-"), F.substring("isbn", 13, 1))
+    layouts = [
+        F.concat(lit("<h2 class='mainDetail_bookTitle'>"), "p_name", lit("</h2><p class='mainDetail_subTitle'>"), "p_type", lit("</p><ul class=mainDetail_authorList><li><a class='link_item'>"),
+                 "author1", lit("(東大) 著</a></ul><b class='price_num'>"), amount, lit("</b><i class=bookDetail_publishDate>発行 2024年3月5日</i><i class='bookDetail_isbn'>ISBN "), dashed, lit("</i>")),
+        F.concat(lit("<p class='book_s_title'>"), "p_name", lit("</p><div class='book_s02'>著者：<b>"), "author1", lit("</b>、"), "p_brand", lit(" 著<br>価格："), amount,
+                 lit("円＋税<br/>ISBNコード："), dashed, lit("</div><a href='https://book.mynavi.jp/manatee/1'>buy</a>")),
+        F.concat(lit("<h1 class='title'>"), "p_name", lit("</h1><meta property='book:isbn' content='"), "isbn", lit("'><h2 class='author'>by "), "author1", lit(" with "), "p_brand",
+                 lit("</h2><div class='book-about-text'>Published: July 2024</div><div class='buybox'>eBook $39.95 (USD)</div>")),
+        F.concat(lit("<div class='itemTitleWrapper'><h2>"), "p_name", lit("【PDF版】</h2></div><table summary='商品詳細'><tr><th>著者<td>"), "author1", lit("／"), "p_brand",
+                 lit("(編集部) 著<tr><th>発行日<td>2023/2/9<tr><th>価格（ライセンス料金）<td>2,200円</table>")),
+    ]
+    names = ["saiensu", "c-r", "pragprog", "cq-publishing"]
+    html = F.when(k % 4 == 0, layouts[0]).when(k % 4 == 1, layouts[1]).when(k % 4 == 2, layouts[2]).otherwise(layouts[3])
+    pages = v.book_rows(spark, d).select(
+        F.concat(lit("https://pages.example.com/"), k.cast("string")).alias("url"), html.alias("html"), _pick_name(names).alias("source_id"), lit("detail").alias("page_kind"))
+    b = books_from_fields(extract(pages, rulesets.rules()), v.sources(spark))
+    return b.select(
+        F.regexp_extract("page_url", "([0-9]+)$", 1).cast("bigint").alias("k"), "source_id", "title", F.array_join("authors", "|").alias("authors"),
+        col("price").cast("double").alias("price"), col("published_at").cast("string").alias("published_at"), "isbn", "currency", col("ebook_stores")[0]["name"].alias("store"))
+
+
+def _pick_name(names):
+    return F.element_at(F.array(*[lit(x) for x in names]), (col("k") % len(names) + 1).cast("int"))
