@@ -9,13 +9,13 @@ from ..functions import scoring
 from ..functions.isbn import looks_like_isbn, normalize_isbn
 from ..functions.text import empty_to_null, match_key, token_keys, trim_blanks
 from ..operators.ranking import with_runner_up
+from ..operators.top_matches import top_matches
 from ..schemas import BOOK
 from ..storage import materialize
 from .by_isbn import by_isbn
-from .search import prepare_catalog, ranked_hits
+from .search import prepare_catalog
 
-# Limit of the search inside resolution, number of candidates shown, and reasons.
-SEARCH_LIMIT = 5
+# Number of candidates shown, and reasons.
 CANDIDATES = 3
 REASON_ISBN = ("ISBN ", " の書誌情報が見つかりませんでした")
 REASON_EMPTY = "isbn / title / author のいずれも指定がありません"
@@ -139,12 +139,23 @@ def _candidates_type(df: DataFrame) -> str:
 
 def _search_branch(clues: DataFrame, catalog: DataFrame, bib: DataFrame, registry: DataFrame) -> DataFrame:
     books = prepare_catalog(catalog, bib, registry)
-    queries = clues.select(
-        F.col("clue_id").alias("query_id"), "title", "author", "publisher_id", F.lit(SEARCH_LIMIT).alias("limit")
-    )
-    ranked = ranked_hits(queries, books, registry).withColumnRenamed("query_id", "clue_id")
-    # Only the first rows of each clue need their book; that is at most three per clue.
-    top = with_runner_up(ranked, "clue_id").where(F.col("rank") <= CANDIDATES)
+    clues = materialize(clues)
+    forms = clues.select(
+        F.col("title").alias("query_title"), F.col("author").alias("query_author"), "publisher_id"
+    ).distinct()
+    # Five rows per source are asked for, and three over all sources are looked at.
+    top = with_runner_up(
+        top_matches(forms, books.select("source_id", "position", "title_key", "author_keys"), registry, CANDIDATES)
+        .withColumn("form", F.struct("query_title", "query_author", "publisher_id")),
+        "form",
+    ).drop("form")
+    asked = clues.select("clue_id", "title", "author", F.col("publisher_id").alias("wanted"))
+    top = asked.join(
+        top,
+        F.col("title").eqNullSafe(F.col("query_title"))
+        & F.col("author").eqNullSafe(F.col("query_author"))
+        & F.col("wanted").eqNullSafe(F.col("publisher_id")),
+    ).select("clue_id", "rank", "match_score", "second_score", "source_id", "position")
     with_books = top.join(
         books.select("source_id", "position", _book_struct().alias("book"), F.col("title_key").alias("book_key")),
         ["source_id", "position"],
