@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -27,13 +28,17 @@ EDITION_MARKS = (
 _ASCII = "^[\\x00-\\x7F]*$"
 
 
+def _composed(values) -> list:
+    return [None if v is None else normalize("NFKC", v) for v in values]
+
+
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    return pa.array(_composed(values.to_pylist()), pa.string())
 
 
 def _nfkc_items(lists: pa.Array) -> pa.Array:
-    flat = pc.utf8_normalize(lists.values, form="NFKC")
-    return pa.ListArray.from_arrays(lists.offsets, flat, mask=lists.is_null())
+    rows = [None if row is None else _composed(row) for row in lists.to_pylist()]
+    return pa.array(rows, pa.list_(pa.string()))
 
 
 def is_ascii(c: Column) -> Column:

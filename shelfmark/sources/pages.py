@@ -119,7 +119,9 @@ def kv_tags(html: Column) -> Column:
     """Map of dt/dd or th/td pairs in order; a later key replaces an earlier one."""
 
     def texts(tags: str) -> Column:
-        found = F.regexp_extract_all(html, F.lit(f"(?is)<(?:{tags})(?:\\s[^>]*)?>(.*?)</(?:{tags})>"), F.lit(1))
+        # A cell ends at its end tag or, where that is missing, at the next cell.
+        pattern = f"(?is)<(?:{tags})(?:\\s[^>]*)?>(.*?)(?=</?(?:dt|dd|dl|th|td|tr|table)\\b|$)"
+        found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
         return F.transform(found, lambda x: trim_blanks(strip_html(x)))
 
     pairs = F.arrays_zip(texts("dt|th").alias("key"), texts("dd|td").alias("value"))
