@@ -87,6 +87,7 @@ def stored(make):
     return get
 
 
+@stored
 def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {BOOK} SELECT * FROM book".replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
 
