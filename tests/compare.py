@@ -76,20 +76,20 @@ def connect(sf_dir):
 
 
 def main(sf_dir, names):
-    from suite import load
+    import __spark_entry__ as entry
 
-    reg = load()
+    queries, oracles = entry.queries(), entry.oracle_sql()
     spark, con = session(), connect(sf_dir)
     bad = []
-    for name in names or reg.QUERIES:
+    for name in names or queries:
         t0 = time.time()
         try:
-            cols, got = run_spark(reg.QUERIES[name](spark, sf_dir))
+            cols, got = run_spark(queries[name](spark, sf_dir))
             t1 = time.time()
-            if name not in reg.ORACLES:
+            if name not in oracles:
                 print(f"{name:28s} rows={len(got):7d} {t1 - t0:6.1f}s  (no SQL)", flush=True)
                 continue
-            want_cols, want = run_sql(con, reg.ORACLES[name])
+            want_cols, want = run_sql(con, oracles[name])
             ok = cols == want_cols and got == want
             print(f"{name:28s} rows={len(got):7d} {t1 - t0:6.1f}s {time.time() - t1:6.1f}s {'ok' if ok else 'DIFFERENT'}", flush=True)
             if not ok:
