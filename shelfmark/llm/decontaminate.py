@@ -99,14 +99,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in added}]
     wanted = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("body")).where("body is not null").distinct()
     passes = max(1, -(-(wanted.agg(F.sum(F.length("body"))).first()[0] or 0) // pass_bytes))
-    taken = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    taken = docs.select(*keep, F.col(text).cast("binary").alias("__text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     n = len(keep)
 
     for k in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k)
         sent = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.body)) for r in part.collect()])
         last = k == passes - 1
-        fields = [*taken.schema.fields[:n], *([] if last else [taken.schema["_text"]]), *added]
+        fields = [*taken.schema.fields[:n], *([] if last else [taken.schema["__text"]]), *added]
         schema = T.StructType(fields)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, names=[f.name for f in fields]) -> Iterator[pa.RecordBatch]:
@@ -123,5 +123,5 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
 
         taken = taken.mapInArrow(run, schema)
         if not last:
-            taken = materialize(taken).select(*keep, "_text", "spans", "items")
+            taken = materialize(taken).select(*keep, "__text", "spans", "items")
     return taken

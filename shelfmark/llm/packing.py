@@ -50,7 +50,7 @@ def batches_of(texts: list[str]) -> Iterator[list[str]]:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of every whole text's ids and `end_id`: id, piece, start, length, ids_crc32."""
-    taken = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    taken = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = T.StructType([taken.schema[0], *T._parse_datatype_string(_PIECES).fields])
     end = end_id.to_bytes(4, "little")
 
@@ -114,12 +114,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     """
     cuts = materialize(pieces(docs, tokenizer, end_id, capacity, id_col, text))
     groups = max(1, -(-cuts.count() // GROUP))
-    dealt = cuts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = cuts.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([*cuts.schema.fields, *T._parse_datatype_string(_PLACES).fields])
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_group").iloc[order(rows["length"].to_numpy(), capacity)]
+        rows = rows.drop(columns="__group").iloc[order(rows["length"].to_numpy(), capacity)]
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(key[0] << 32) + sequence, offset=offset)
 
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    return dealt.groupBy("__group").applyInPandas(place, schema)

@@ -33,13 +33,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     the input are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    n = F.size("_words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    pairs = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    same = lambda x, j: F.coalesce(F.get("_pairs", j)["h"] == x["h"], F.lit(False))
-    twice = F.array_sort(F.transform(F.filter("_pairs", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    n = F.size("__words")
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW))))
+    pairs = F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    same = lambda x, j: F.coalesce(F.get("__pairs", j)["h"] == x["h"], F.lit(False))
+    twice = F.array_sort(F.transform(F.filter("__pairs", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
     covered = F.aggregate(
-        "_twice",
+        "__twice",
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
@@ -47,23 +47,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     left = lambda pattern: (F.length(body) - F.length(F.regexp_replace(body, pattern, ""))).cast("long")
     words = F.greatest(F.col("n_words"), F.lit(1))
     return (
-        docs.withColumn("_words", F.array_remove(F.split(body, BLANK), ""))
-        .withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-        .withColumn("_windows", windows)
-        .withColumn("_pairs", pairs)
-        .withColumn("_twice", twice)
+        docs.withColumn("__words", F.array_remove(F.split(body, BLANK), ""))
+        .withColumn("__lines", F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+        .withColumn("__windows", windows)
+        .withColumn("__pairs", pairs)
+        .withColumn("__twice", twice)
         .withColumns(
             {
                 "n_words": n.cast("long"),
-                "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+                "word_chars": F.length(F.array_join("__words", "")).cast("long"),
                 "n_symbols": left("[#*$%&|<>]"),
                 "n_capitals": left("\\p{Lu}"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_lines": F.size("__lines").cast("long"),
+                "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
                 "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             }
         )
-        .drop("_words", "_lines", "_windows", "_pairs", "_twice")
+        .drop("__words", "__lines", "__windows", "__pairs", "__twice")
         .withColumns(
             {
                 "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
@@ -106,26 +106,25 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     counts, null ids and labels none. Documents that fail the base rules take no part. Without
     labels there are no cutoffs and nothing is rejected.
     """
-    known = labels.where(F.col(quality).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(quality) > 0).alias("_good"))
-    rows = measured.where("not base_failed").join(known, F.col(id_col) == F.col("_id")).select(
+    known = labels.where(F.col(quality).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(quality) > 0).alias("__good"))
+    rows = measured.where("not base_failed").join(known, F.col(id_col) == F.col("__id")).select(
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         (F.crc32(F.col(id_col).cast("string").cast("binary")) % 2 == 0).alias("held_out"),
-        "_good",
+        "__good",
         F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "value"),
     )
     levels = [i / CUTOFFS for i in range(CUTOFFS)]
-    tuned = rows.where("not held_out and not _good and value > 0").groupBy("stratum", "rule").agg(F.percentile_approx("value", levels, 1000).alias("cutoffs"))
-    over = lambda i, good: F.count(F.when((F.col("value") >= F.col("cutoffs")[i]) & (F.col("_good") == good), 1))
+    tuned = rows.where("not held_out and not __good and value > 0").groupBy("stratum", "rule").agg(F.percentile_approx("value", levels, 1000).alias("cutoffs"))
+    over = lambda i, good: F.count(F.when((F.col("value") >= F.col("cutoffs")[i]) & (F.col("__good") == good), 1))
     counts = rows.where("held_out").join(tuned, ["stratum", "rule"]).groupBy("stratum", "rule", "cutoffs").agg(
-        F.count(F.when(F.col("_good"), 1)).alias("n_good"),
-        F.count(F.when(~F.col("_good"), 1)).alias("n_bad"),
+        F.count(F.when(F.col("__good"), 1)).alias("n_good"),
+        F.count(F.when(~F.col("__good"), 1)).alias("n_bad"),
         F.array(*[F.struct(F.col("cutoffs")[i].alias("cutoff"), over(i, True).alias("good"), over(i, False).alias("bad")) for i in range(CUTOFFS)]).alias("tried"),
     )
     share = risk / len(RULES)
-    tests = counts.agg(F.countDistinct("stratum").alias("strata")).select((F.col("strata") * len(RULES) * CUTOFFS).alias("tests"))
+    tests = max(1, counts.select("stratum").distinct().count()) * len(RULES) * CUTOFFS
     tried = counts.select("stratum", "rule", "n_good", "n_bad", F.explode("tried").alias("t")).select("stratum", "rule", "n_good", "n_bad", "t.*")
-    # The one row of `tests` is an aggregate without groups.
-    certified = tried.join(F.broadcast(tests)).where(F.col("good") < share * F.col("n_good")).where(binomial_tail(F.col("good"), F.col("n_good"), share) <= delta / F.col("tests"))
+    certified = tried.where(F.col("good") < share * F.col("n_good")).where(binomial_tail(F.col("good"), F.col("n_good"), share) <= delta / tests)
     gain = F.col("bad") / F.greatest(F.col("n_bad"), F.lit(1)) - COST * F.col("good") / F.col("n_good")
     best = certified.withColumn("gain", gain).where(F.col("gain") > MIN_GAIN).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
@@ -136,9 +135,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
     A stratum without cutoffs, as one that has too few labels, is judged by the base rules alone.
     """
-    limits = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    limits = cutoffs.select(F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__cut_{r}") for r in RULES])
     rejected = F.lit(False)
     for r in RULES:
-        rejected = rejected | F.coalesce(F.col(r) >= F.col(f"_cut_{r}"), F.lit(False))
-    joined = measured.join(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("_stratum"), "left")
-    return joined.withColumn("kept", ~(F.col("base_failed") | rejected)).drop("_stratum", *[f"_cut_{r}" for r in RULES])
+        rejected = rejected | F.coalesce(F.col(r) >= F.col(f"__cut_{r}"), F.lit(False))
+    joined = measured.join(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
+    return joined.withColumn("kept", ~(F.col("base_failed") | rejected)).drop("__stratum", *[f"__cut_{r}" for r in RULES])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from . import decontaminate, packing, quality_rules, sharding, simhash
+from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known forms of secrets and other random strings in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs)))
+    kind = lambda n: F.filter("spans", lambda x: x["kind"] == n)
+    counts = [F.size(kind(n)).cast("long").alias(f"n_{k}") for n, k in enumerate(secret_scan.KINDS)]
+    base = secret_scan.listing(F.filter("spans", lambda x: x["kind"] < 3))
+    return found.select("doc_id", *counts[:3], F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 8 shards whose row counts differ by one at most."""

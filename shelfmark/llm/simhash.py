@@ -66,7 +66,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep:
     input is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "fingerprint"]
-    taken = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+    taken = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
     schema = T.StructType([*taken.schema.fields[:-1], T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +134,10 @@ def keep_first(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
     """
     found = materialize(near_duplicates(docs, words, radius, id_col, text))
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").count()
-    keep = keep.select(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_f"), F.col("count").alias("_rows"))
-    taken = with_fingerprints(docs, words, text).join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("fingerprint") == F.col("_f")))
-    once = taken.where("_rows = 1").select(*docs.columns)
-    if keep.where("_rows > 1").isEmpty():
+    keep = keep.select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__f"), F.col("count").alias("__rows"))
+    taken = with_fingerprints(docs, words, text).join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__f")))
+    once = taken.where("__rows = 1").select(*docs.columns)
+    if keep.where("__rows > 1").isEmpty():
         return once
-    again = taken.where("_rows > 1").dropDuplicates(["_id", "_f"]).select(*docs.columns)
+    again = taken.where("__rows > 1").dropDuplicates(["__id", "__f"]).select(*docs.columns)
     return once.unionByName(again)
