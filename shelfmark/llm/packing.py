@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialize
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 #: Pieces that one task places. Each group leaves a few sequences partly empty.
@@ -55,11 +55,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, blanks=True)
+        known = encoder(tokenizer, blanks=True)
         for b in batches:
             rows, at = [], 0
             for part in batches_of(b.column(1).to_pylist()):
-                for ids in encoder.encode(part):
+                for ids in known.encode(part):
                     ids += end
                     rows += [(at, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
                     at += 1

@@ -1,17 +1,18 @@
 """Token ids of whole texts, by the `tokenizers` library.
 
 A text is cut where the vocabulary's own splitting always cuts it, and the library encodes each
-different piece once per task, so a task pays for its vocabulary rather than for its words.
+different piece once per worker, so a worker pays for its vocabulary rather than for its words.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces remembered by a task; then it starts afresh.
+#: Pieces remembered by a worker; then it starts afresh.
 CACHE = 1_000_000
 BATCH = 4096
 
@@ -19,6 +20,12 @@ BATCH = 4096
 _RUN = re.compile(" (?=[\\s\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]|$)")
 
 
+@cache
+def encoder(path: str, blanks: bool) -> Encoder:
+    """The encoder of this process, kept for its next tasks."""
+    return Encoder(path, blanks)
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
