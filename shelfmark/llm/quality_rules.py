@@ -139,5 +139,6 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(r) >= F.col(f"__cut_{r}"), F.lit(False))
-    joined = measured.join(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
+    # Only strata with a certified cutoff have a row, and none is certified on less than some 900 labels.
+    joined = measured.join(F.broadcast(limits), F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
     return joined.withColumn("kept", ~(F.col("base_failed") | rejected)).drop("__stratum", *[f"__cut_{r}" for r in RULES])

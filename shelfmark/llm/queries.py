@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash, url_filter
+from . import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language_id.train(language_id.sample(docs.where(~held_out)))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 @_query
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known forms of secrets and other random strings in every document."""
