@@ -7,6 +7,7 @@ different piece once per worker, so a worker pays for its vocabulary rather than
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -14,8 +15,15 @@ from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; then it starts afresh.
 CACHE = 1_000_000
-BATCH = 4096
 
+#: Byte-level vocabularies write printable bytes as themselves, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Bytes of plain texts: ASCII letters and digits, Latin letters of two bytes, blank, newline, comma, full stop.
+_PLAIN = bytes(b for b in range(256) if chr(b).isascii() and chr(b).isalnum() or b in b" \n.," or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC9)
+#: Neighbours that a cut before a blank, newline, comma or full stop might part wrongly.
+_ODD = ("  ", " \n", "\n ", "\n\n", " .", " ,", "\n.", "\n,", "..", ".,", ",.", ",,", "\xd7", "\xf7", "\u0130")
+_CUT = "\x1e"
 #: A blank before one of these may belong to a longer run of white space: no cut there.
 _RUN = re.compile(" (?=[\\s\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]|$)")
 
@@ -38,41 +46,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict = {}
+        self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list:
+    def pieces(self, text: str) -> list[str] | None:
+        """Pieces that are encoded alike alone and in the text; None if it must stay whole."""
+        plain = not text.encode().translate(None, _PLAIN) and not any(x in text for x in _ODD)
+        if plain and self.blanks:
+            cut = text.replace(" ", f"{_CUT} ").replace(",", f"{_CUT},").replace(".", f"{_CUT}.").replace("\n", f"{_CUT}\n{_CUT}")
+            return cut.split(_CUT)
+        if plain:
+            return text.replace(",", " ,").replace(".", " .").replace("\n", " ").split(" ")
         if any(s in text for s in self.special):
-            return [text]
+            return None
         if not self.blanks:
-            return text.encode().split()
+            return [p.decode() for p in text.encode().split()]
         if _RUN.search(text):
-            return [text]
+            return None
         first, *rest = text.split(" ")
-        # Pieces after a blank are remembered by the bytes that follow it.
-        return [first, *map(str.encode, rest)] if first else list(map(str.encode, rest))
+        return [first, *(f" {p}" for p in rest)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = {p for pieces in cut for p in pieces} - self.known.keys()
-        heads = [p for p in new if isinstance(p, str)]
-        for p, e in zip(heads, self.tokenizer.encode_batch(heads, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        tails = [p for p in new if not isinstance(p, str)]
-        for at in range(0, len(tails), BATCH):
-            self._learn(tails[at : at + BATCH])
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes pieces that follow a blank as one text, and deals its ids by where they begin."""
-        texts = [p.decode() for p in pieces]
-        found = self.tokenizer.encode(" " + " ".join(texts), add_special_tokens=False)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
-        last = np.searchsorted(begin, ends).tolist()
-        ids = np.array(found.ids, "<u4")
-        at = 0
-        for p, to in zip(pieces, last):
-            self.known[p] = ids[at:to].tobytes()
-            at = to
+        cut = [self.pieces(t) for t in texts]
+        new: set[str] = set()
+        for pieces in cut:
+            new.update(pieces or ())
+        new -= self.known.keys()
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for p in new:
+            if (word := self._word(p)) is None:
+                rest.append(p)
+            else:
+                self.known[p] = array("I", [t.id for t in tokenize(word)]).tobytes()
+        self.known.update(zip(rest, self._whole(rest)))
+        whole = iter(self._whole([t for t, pieces in zip(texts, cut) if pieces is None]))
+        return [next(whole) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, piece: str) -> str | None:
+        """What the model itself is given for a piece of letters alone, which nothing divides further."""
+        if self.blanks:
+            if not (piece[1:] if piece[:1] == " " else piece).isalpha():
+                return None
+        elif not piece or max(piece) > "\u024f" or not (piece := piece.lower()).isalpha():
+            return None
+        return piece.encode().decode("latin-1").translate(_BYTES)

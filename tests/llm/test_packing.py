@@ -17,6 +17,9 @@ def test_ids_equal_those_of_the_library(name, blanks):
     rng = random.Random(1)
     parts = [" ", "  ", "\n", " \n", "a", "É", "'s", "12", "!?", "\t", " ", "　", "é", "́", "ß", "İ", "ΑΣ", "​", "\x1c", "\x85", "\x00", "日本", "<|endoftext|>", "<|endof", "\U0001f600", "don't", "I'LL", "word"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(4000)]
+    texts += ["".join(rng.choice(["word", "Été", "ñ", " ", " ", ",", ".", "\n", "7", "×"]) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += ["".join(chr(rng.randrange(65, 0x250)) for _ in range(rng.randrange(1, 9))) + rng.choice(["", " word", ", x"]) for _ in range(6000)]
+    texts += [f"{a}a{b}B{c}" for a, b, c in ((chr(x), chr(x + 1), chr(x + 7)) for x in range(0xC0, 0x250))]
     encoder = tokens.Encoder(public_tokenizers.path(name), blanks)
     want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts[:100]) + encoder.encode(texts[100:]) == want
