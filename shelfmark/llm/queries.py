@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from . import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, simhash, url_filter
+from ..storage import materialize, shared_folder
+from . import decontaminate, language_id, packing, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from range-coded blocks."""
+    path = f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=1)
+    return token_files.read(spark, path)
+
+
 @_query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
