@@ -125,3 +125,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
         if not last:
             taken = materialize(taken).select(*keep, "__text", "spans", "items")
     return taken
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their own columns."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return scan(own, benchmark, window, keep=["row"]).where("not contaminated").select("row.*")

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 BLANK = "[\\x20\\x09-\\x0D]+"
 RULES = ("symbols", "repeats", "lines", "capitals", "length")
 #: Share of the good documents of a stratum that all rules together may reject, and the chance of error.
@@ -142,3 +144,15 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     # Only strata with a certified cutoff have a row, and none is certified on less than some 900 labels.
     joined = measured.join(F.broadcast(limits), F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
     return joined.withColumn("kept", ~(F.col("base_failed") | rejected)).drop("__stratum", *[f"__cut_{r}" for r in RULES])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns.
+
+    Texts are measured once: the measures are written with them, and only the measures are read to
+    fit the cutoffs.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__group"), F.col(text).alias("__body"))
+    measured = materialize(measure(own, "__body").select("__row", "__key", "__group", "base_failed", *RULES))
+    cutoffs = fit(measured, labels.withColumnRenamed(id_col, "__key"), "__group", id_col="__key")
+    return judge(measured, cutoffs, "__group").where("kept").select("__row.*")
