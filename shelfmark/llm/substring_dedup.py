@@ -32,6 +32,8 @@ STEP = 1 << 20
 #: Contexts of one task that are sorted at a time, and contexts of an anchor above which its strings are
 #: brought together one by one instead.
 SORTED, CROWD = 20_000, 20_000
+#: Rows of one batch that share a context from which on most of them need not meet the others.
+HOT = 16
 _LAST = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -92,39 +94,40 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for (_, k), c in zip(fields, columns)], names=[n for n, _ in fields])
 
 
-def _scan(docs: DataFrame, length: int, gram: int, spans: bool) -> DataFrame:
-    """One row for each anchor and context of a batch of documents, for the smallest of them (spans
-    False), or what this already shows to be covered (spans True)."""
-    reach = length - gram
+def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row for each anchor of every document.
+
+    A context that HOT rows of a batch share would make a hot key. There only the smallest document's
+    rows keep the key; the others are known to be covered, which a negative place says, and are dealt
+    out by document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, tag = _ids(b)
-            own, places, keys, contexts, sizes = [], [], [], [], []
+            own, places, keys, contexts = [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 for at, key, context in anchors(text, length, gram):
                     own.append(np.full(len(at), i))
                     places.append(at)
                     keys.append(key)
                     contexts.append(context)
-                    sizes.append(np.full(len(at), len(text)))
             if not own:
                 continue
-            own, at, key, context, size = map(np.concatenate, (own, places, keys, contexts, sizes))
-            key, context, d = key.view(np.int64), context.view(np.int64), doc[own]
-            order = np.lexsort((d, context, key))
-            own, at, key, context, size, d = (x[order] for x in (own, at, key, context, size, d))
-            first = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])]
-            least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-            if spans:
-                hit = d > least
-                yield _batch(_SPANS, d[hit], tag[own[hit]], np.maximum(at - reach, 0)[hit], np.minimum(at + length, size)[hit])
-            else:
-                # A context that a document holds several times keeps all of its places there.
-                take = d == least
-                yield _batch(_ANCHORS, key[take], context[take], d[take], tag[own[take]], at[take])
-
-    return docs.mapInArrow(run, _SPANS if spans else _ANCHORS)
+            own, at, key, context = map(np.concatenate, (own, places, keys, contexts))
+            d, t, key, context = doc[own], tag[own], key.view(np.int64), context.view(np.int64)
+            order = np.argsort(context, kind="stable")
+            start = np.flatnonzero(np.r_[True, context[order][1:] != context[order][:-1]])
+            size = np.diff(np.r_[start, len(order)])
+            for s, n in zip(start[size >= HOT].tolist(), size[size >= HOT].tolist()):
+                same = order[s : s + n]
+                same = same[key[same] == key[same[0]]]
+                known = same[d[same] > d[same].min()]
+                key[known] = (d[known] * 0x9E3779B1 + at[known]) * 0x85EBCA6B
+                at[known] = -1 - at[known]
+            yield _batch(_ANCHORS, key, context, d, t, at)
+
+    return docs.mapInArrow(run, _ANCHORS)
 
 
 def _meet(found: DataFrame) -> DataFrame:
@@ -147,7 +150,9 @@ def _meet(found: DataFrame) -> DataFrame:
             starts = np.flatnonzero(new)
             run_of = np.cumsum(new) - 1
             least = np.where(run_of < 0, now[2] if now[2] is not None else 0, doc[starts][run_of] if len(starts) else 0)
-            covered = ~new & (doc > least)
+            known = cols[4] < 0
+            covered = ~new & (doc > least) | known
+            cols[4] = np.where(known, -1 - cols[4], cols[4])
             # The first row of a context counts if its key has another context: the row before or after it.
             follows = new & ~new_key
             leads = np.zeros(n, bool)
@@ -198,14 +203,19 @@ def covered(key: np.ndarray, doc: np.ndarray, before: np.ndarray, parts: list[by
     common[1:] = hashes.common(at[1:], at[:-1], np.where(same[1:], np.minimum(after[1:], after[:-1]), 0))
     out = np.zeros((n, reach + 1), bool)
     window = np.arange(length)
+    best = np.maximum(common, np.r_[common[1:], 0])
+    by_doc = np.argsort(doc, kind="stable")
     for a in range(reach + 1):
         run = np.cumsum(~same | (common < length - a))
-        fits = np.flatnonzero((before >= a) & (after >= length - a))
-        left = hashes.of(at[fits] - a, at[fits])
-        o = np.lexsort((doc[fits], left, run[fits]))
-        i, left = fits[o], left[o]
-        new = np.r_[True, (run[i][1:] != run[i][:-1]) | (left[1:] != left[:-1])] if len(i) else np.zeros(0, bool)
-        head = i[np.flatnonzero(new)][np.cumsum(new) - 1] if len(i) else i
+        # Alone in its run, a string has no equal.
+        fits = by_doc[((before >= a) & (best >= length - a))[by_doc]]
+        if not len(fits):
+            continue
+        text = hashes.of(at[fits] - a, at[fits]) ^ (run[fits].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        o = np.argsort(text, kind="stable")
+        i, text = fits[o], text[o]
+        new = np.r_[True, text[1:] != text[:-1]]
+        head = i[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = doc[i] > doc[head]
         i, head = i[later], head[later]
         # Equal hashes are not proof: the bytes decide.
@@ -264,13 +274,13 @@ def _crowded(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Written table of (doc, tag, start, end) that cover all bytes to be removed, with overlaps."""
     long = docs.where(F.length("text") >= length)
-    met = materialize(_meet(_scan(long, length, gram, spans=False)))
+    met = materialize(_meet(_scan(long, length, gram)))
     reach = length - gram
     whole = met.where("covered = 1").select("doc", "tag", F.greatest(F.lit(0), F.col("at") - reach).cast("int").alias("start"), (F.col("at") + length).cast("int").alias("end"))
     marks = met.where("covered = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "at")).alias("marks"))
     contexts = materialize(_contexts(long.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks"), length, gram))
     crowds = materialize(contexts.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
-    found = whole.unionByName(_scan(long, length, gram, spans=True))
+    found = whole
     if crowds.isEmpty():
         found = found.unionByName(_sort(contexts, length, gram))
     else:

@@ -51,6 +51,7 @@ def test_crowds_steps_and_small_sorts(spark, monkeypatch):
     monkeypatch.setattr(sd, "SORTED", 7)
     monkeypatch.setattr(sd, "CROWD", 5)
     monkeypatch.setattr(sd, "STEP", 64)
+    monkeypatch.setattr(sd, "HOT", 2)
     check(spark, rows, 20, 8)
 
 
