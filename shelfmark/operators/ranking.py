@@ -14,10 +14,8 @@ def clamp_limit(c: Column, cap: int = MAX_LIMIT) -> Column:
     return F.least(F.coalesce(c, F.lit(DEFAULT_LIMIT)), F.lit(cap))
 
 
-def top_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], limit: Column, cap: int = MAX_LIMIT
-) -> DataFrame:
-    """First rows of each group in `order`, as many as the row's `limit` says, never over `cap`.
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: Column, cap: int) -> DataFrame:
+    """First rows of each group in `order`, as many as the row's `limit` says; no limit is over `cap`.
 
     The constant cap is filtered first: Spark then keeps only `cap` rows per group before the
     shuffle, so that a group with a third of all rows costs no more than another.

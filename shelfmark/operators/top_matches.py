@@ -1,10 +1,10 @@
 """The few best books per query, without scoring every pair that shares a common word.
 
-Tokens of a query are taken from the rarest to the most common. The books found under the rarest
-token (and under the author) give a score the k-th best book has at least. A book that contains
-none of the first tokens can only match the rest, which bounds its score; common tokens whose
-bound stays below the k-th best score are never looked up. Ties are kept, so the result is exactly
-that of scoring all pairs.
+Tokens of a query are taken from the rarest to the most common, as their rarest n-gram tells. The
+books found under the first token (and under the author) give a score the k-th best book has at
+least. A book that contains none of the first tokens can only match the rest, which bounds its
+score; common tokens whose bound stays below the k-th best score of every query that has them are
+never paired with titles. Ties are kept, so the result is exactly that of scoring all pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions import scoring
 from ..functions.text import match_key, token_keys
 from ..storage import materialize
 from .ranking import top_per_group
-from .score_join import author_scores, contained_pairs
+from .score_join import author_scores, pairs_under, rarest_grams
 
 ORDER = ["minor", "ordinal", "position"]
 
@@ -64,21 +64,22 @@ def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: in
         .groupBy("query_title", "total", "needle")
         .agg(F.count("*").alias("times"))
     )
-    found = materialize(
-        contained_pairs(
-            needles.select("needle").distinct(),
-            books.where("title_key != ''").select(F.col("title_key").alias("haystack")).distinct(),
-        ).withColumnRenamed("haystack", "title_key")
-    )
+    shelf = books.where("title_key != ''").select(F.col("title_key").alias("haystack")).distinct()
+    rarest = materialize(rarest_grams(needles.select("needle").distinct(), shelf))
     # Tokens of each query text, rarest first; `left` is what the token and the later ones can match.
     rarity = Window.partitionBy("query_title").orderBy("df", "needle")
     ordered = materialize(
-        needles.join(found.groupBy("needle").agg(F.count("*").alias("df")), "needle")
+        needles.join(rarest.select("needle", "df"), "needle")
         .withColumn("nth", F.row_number().over(rarity))
         .withColumn("left", F.sum("times").over(rarity.rowsBetween(0, Window.unboundedFollowing)))
         .select("query_title", "needle", "total", "nth", "left")
     )
 
+    def titles_of(tokens: DataFrame) -> DataFrame:
+        """(needle, title_key) of all titles that hold one of the tokens."""
+        asked = rarest.join(tokens.select("needle").distinct(), "needle", "left_semi")
+        return pairs_under(asked, shelf).withColumnRenamed("haystack", "title_key")
+
     # Books with equal titles score equally: the first k of each title are enough, per source for
     # queries that name one. A book whose author matches too comes in through the author.
     flat = placed.select("source_id", *ORDER, "title_key").where("title_key != ''")
@@ -103,9 +104,10 @@ def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: in
         cols = ["form_id", "source_id", *ORDER, "match_score"]
         return free.select(*cols).unionByName(bound.select(*cols))
 
+    lead = ordered.where("nth = 1")
     first = by_title(
-        titled.select("form_id", "query_title").join(ordered.where("nth = 1"), "query_title")
-        .join(found, "needle").select("form_id", "title_key")
+        titled.select("form_id", "query_title").join(lead, "query_title")
+        .join(titles_of(lead), "needle").select("form_id", "title_key")
     )
     best = materialize(_top(first.unionByName(_by_author(forms, placed, k)), k))
 
@@ -114,14 +116,13 @@ def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: in
     )
     # A missing part of the query's tokens limits what the later ones can add up to.
     reach = _mean(scoring.token_score(F.col("left"), F.col("total")), F.lit(0.0))
-    more = (
+    open_ = materialize(
         titled.join(floor, "form_id", "left")
         .join(ordered.where("nth > 1"), "query_title")
         .where(reach >= F.coalesce(F.col("floor"), F.lit(0.0)))
-        .join(found, "needle")
-        .select("form_id", "title_key")
-        .distinct()
+        .select("form_id", "needle")
     )
+    more = open_.join(titles_of(open_), "needle").select("form_id", "title_key").distinct()
     final = _top(best.unionByName(by_title(more)), k)
     rank = Window.partitionBy("form_id").orderBy(F.col("match_score").desc(), *by_order)
     return (

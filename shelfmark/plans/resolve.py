@@ -77,8 +77,17 @@ def resolve(
     robots: DataFrame,
     strict_isbn: bool = False,
     listing: DataFrame | None = None,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
-    """One result row per clue of `clues(clue_id, isbn, title, author, publisher_id)`."""
+    """One result row per clue of `clues(clue_id, isbn, title, author, publisher_id)`.
+
+    `errors(clue_id, message)`: clues that failed on the way here, as by a source that did not
+    answer; they are not looked up and come out as not_found with the message as reason.
+    """
+    failed = None
+    if errors is not None:
+        failed = errors.groupBy("clue_id").agg(F.min("message").alias("message"))
+        clues, unanswered = clues.join(failed, "clue_id", "left_anti"), clues.select("clue_id").join(failed, "clue_id")
     asked = materialize(_clean(clues))
     hits = by_isbn(
         asked.select(F.col("request_isbn").alias("isbn")),
@@ -100,7 +109,8 @@ def resolve(
         ).otherwise(F.lit(REASON_EMPTY)),
         searched,
     )
-    return by_number.unionByName(searched).unionByName(nothing)
+    out = by_number.unionByName(searched).unionByName(nothing)
+    return out if failed is None else out.unionByName(not_found(unanswered, F.col("message"), out))
 
 
 def _matched_by_isbn(found: DataFrame) -> DataFrame:
@@ -200,7 +210,3 @@ def _search_branch(clues: DataFrame, catalog: DataFrame, bib: DataFrame, registr
         not_found(joined.where("best is null"), F.lit(REASON_NO_MATCH), matched)
     )
 
-
-def to_result_row_errors(clues: DataFrame, errors: DataFrame, like: DataFrame) -> DataFrame:
-    """Clues that failed upstream (`errors(clue_id, message)`) as not_found rows with the reason."""
-    return not_found(clues.join(errors, "clue_id"), F.col("message"), like)

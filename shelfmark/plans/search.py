@@ -10,10 +10,14 @@ from ..functions.text import empty_to_null, match_key, match_keys, token_keys
 from ..operators.enrich import enrich, stamp_defaults, with_distinct_authors
 from ..operators.filters import relevance_filter
 from ..operators.keyword_join import keyword_filter, token_and_filter
-from ..operators.ranking import MAX_LIMIT, clamp_limit, rank_by_score, top_per_group
+from ..operators.ranking import DEFAULT_LIMIT, rank_by_score, top_per_group
 from ..operators.score_join import score_join
 from ..storage import materialize
 
+# How local catalogs are searched, and rows that a source gives at most.
+ALL_TOKENS = ("pragprog",)
+WITH_AUTHOR = ("tatsu-zine",)
+SOURCE_LIMITS = {"google-books": 40}
 FORM = ["query_title", "query_author", "publisher_id"]
 
 
@@ -30,37 +34,48 @@ def prepare_catalog(catalog: DataFrame, bib: DataFrame, registry: DataFrame) ->
 
 
 def query_forms(queries: DataFrame) -> DataFrame:
-    """Queries with empty parts as null and the limit clamped."""
+    """Queries with empty parts as null and the usual limit where none is given.
+
+    Limits are taken as they are: whoever takes requests from outside clamps them, see
+    `ranking.clamp_limit`.
+    """
     return queries.select(
         "query_id",
         empty_to_null(F.col("title")).alias("query_title"),
         empty_to_null(F.col("author")).alias("query_author"),
         empty_to_null(F.col("publisher_id")).alias("publisher_id"),
-        clamp_limit(F.col("limit")).alias("limit"),
+        F.coalesce(F.col("limit"), F.lit(DEFAULT_LIMIT)).alias("limit"),
     )
 
 
+def _largest(forms: DataFrame) -> int:
+    return forms.agg(F.max("limit")).first()[0] or DEFAULT_LIMIT
+
+
 def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
     """(query_id, rank, source_id, position, match_score): the best rows per query and source.
 
     Queries that ask for the same are scored once. Rows of one source with equal title and
     authors score equally, and the source order decides among them, so only the first
-    `MAX_LIMIT` of each such group can ever be returned: the rest leave before the join.
+    rows of each such group, as many as the largest limit asked for, can ever be returned: the
+    rest leave before the join.
     """
     forms = materialize(query_forms(queries))
+    most = _largest(forms)
     distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
     candidates = top_per_group(
         books.select("source_id", "position", "title_key", "author_keys"),
         ["source_id", "title_key", "author_keys"],
         [F.col("position")],
-        F.lit(MAX_LIMIT),
+        F.lit(most),
+        cap=most,
     )
     scored = score_join(distinct.select(*FORM), candidates)
     small = registry.select("source_id", "scale", "ordinal")
     # Per query and source the order is by score and position; the registry only breaks ties
     # between sources, after the cut.
     best = top_per_group(
-        scored, [*FORM, "source_id"], [F.col("match_score").desc(), F.col("position")], F.lit(MAX_LIMIT)
+        scored, [*FORM, "source_id"], [F.col("match_score").desc(), F.col("position")], F.lit(most), cap=most
     )
     asked = forms.alias("f")
     hits = best.alias("b")
@@ -77,41 +92,52 @@ def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> Da
         ["query_id", "source_id"],
         [F.col("match_score").desc(), F.col("position")],
         F.col("limit"),
+        cap=most,
     ).drop("limit")
     return rank_by_score(cut.join(F.broadcast(small), "source_id"), "query_id").select(
         "query_id", "rank", "source_id", "position", "match_score"
     )
 
 
-def source_order_hits(
-    queries: DataFrame, books: DataFrame, registry: DataFrame, all_token_sources: tuple[str, ...] = ("pragprog",)
-) -> DataFrame:
+def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
     """(query_id, rank, source_id, position, match_score) cut before scoring.
 
     Every source filters its own catalog by keyword and stops at the limit; the rows that are left
-    are scored, and those with score 0 dropped. Sources in `all_token_sources` want every token
-    of the title (and the author) instead of the title as one text.
+    are scored, and those with score 0 dropped. Sources in ALL_TOKENS want every token of the title
+    (and the author) in title, description and, where the catalog has them, keywords; sources in
+    WITH_AUTHOR want the title as one text and the author.
     """
-    forms = query_forms(queries).withColumnsRenamed({"query_title": "title", "query_author": "author"})
+    forms = materialize(query_forms(queries).withColumnsRenamed({"query_title": "title", "query_author": "author"}))
+    most = _largest(forms)
+    words = F.col("keywords") if "keywords" in books.columns else F.array().cast("array<string>")
     rows = top_per_group(
-        books.select("source_id", "position", "title", "authors", "title_key", "author_keys", "description"),
-        ["source_id", "title", "authors", "description"],
+        books.select(
+            "source_id", "position", "title", "authors", "title_key", "author_keys", "description", words.alias("keywords")
+        ),
+        ["source_id", "title", "authors", "description", "keywords"],
         [F.col("position")],
-        F.lit(MAX_LIMIT),
+        F.lit(most),
+        cap=most,
     )
-    by_token = F.col("source_id").isin(*all_token_sources)
+    by_token, by_author = F.col("source_id").isin(*ALL_TOKENS), F.col("source_id").isin(*WITH_AUTHOR)
     index = rows.where(by_token).select(
         "source_id",
         "position",
-        F.lower(F.concat_ws(" ", "title", "description")).alias("haystack"),
+        F.lower(F.concat_ws(" ", "title", "description", F.array_join("keywords", " "))).alias("haystack"),
         F.array_join("authors", ", ").alias("author_text"),
     )
-    hits = keyword_filter(forms, rows.where(~by_token)).unionByName(token_and_filter(forms, index))
+    hits = (
+        keyword_filter(forms, rows.where(~by_token & ~by_author))
+        .unionByName(keyword_filter(forms, rows.where(by_author), with_author=True))
+        .unionByName(token_and_filter(forms, index))
+    )
     asked = hits.join(forms, "query_id").where(
         F.col("publisher_id").isNull() | (F.col("publisher_id") == F.col("source_id"))
     )
-    cut = top_per_group(asked, ["query_id", "source_id"], [F.col("position")], F.col("limit"))
-    pairs = cut.join(rows.drop("title", "description", "authors"), ["source_id", "position"]).select(
+    own = F.create_map(*[F.lit(x) for kv in SOURCE_LIMITS.items() for x in kv])
+    limit = F.least(F.col("limit"), F.coalesce(F.try_element_at(own, F.col("source_id")), F.col("limit")))
+    cut = top_per_group(asked.withColumn("limit", limit), ["query_id", "source_id"], [F.col("position")], F.col("limit"), cap=most)
+    pairs = cut.join(rows.drop("title", "description", "authors", "keywords"), ["source_id", "position"]).select(
         "*",
         match_key(F.col("title")).alias("query_key"),
         token_keys(F.col("title")).alias("query_tokens"),

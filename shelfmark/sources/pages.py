@@ -81,8 +81,14 @@ def extract_stores(links: DataFrame, key: str) -> DataFrame:
 
 def first_wins(entries: Column) -> Column:
     """Map of array<struct<key, value>>; the first value of a key counts."""
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    numbered = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    # Sorted by key and place, the first row of a key differs from the row before it.
+    firsts = F.transform(
+        F.array(numbered),
+        lambda rows: F.filter(rows, lambda e, i: (i == 0) | ~F.get(rows, i - 1)["key"].eqNullSafe(e["key"])),
+    )[0]
+    ordered = F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["key"].alias("key"), e["value"].alias("value"))))
+    return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def last_wins(entries: Column) -> Column:
@@ -128,18 +134,17 @@ def kv_tags(html: Column) -> Column:
     return last_wins(F.filter(pairs, lambda p: (p["key"] != "") & p["value"].isNotNull()))
 
 
+def kv_entries(text: Column) -> Column:
+    """array<struct<key, value>> of the "key：value" or tab-separated lines, in order."""
+    cut = "\\t|："
+    lines = F.transform(F.split(text, "\\r?\\n"), trim_blanks)
+    parts = F.transform(lines, lambda x: F.struct(trim_blanks(F.split(x, cut, 2)[0]).alias("key"), trim_blanks(F.get(F.split(x, cut, 2), F.lit(1))).alias("value")))
+    return F.filter(parts, lambda e: (e["key"] != "") & (e["value"] != ""))
+
+
 def kv_lines(text: Column) -> Column:
     """Map of "key：value" or tab-separated lines; a later key replaces an earlier one."""
-    pattern = "^(.+?)[\\t：]\\s*(.+)$"
-    lines = F.transform(F.split(text, "\\r?\\n"), trim_blanks)
-    entries = F.transform(
-        F.filter(lines, lambda x: x.rlike(pattern)),
-        lambda x: F.struct(
-            trim_blanks(F.regexp_extract(x, pattern, 1)).alias("key"),
-            trim_blanks(F.regexp_extract(x, pattern, 2)).alias("value"),
-        ),
-    )
-    return last_wins(entries)
+    return last_wins(kv_entries(text))
 
 
 # Words that end an author line.

@@ -19,7 +19,7 @@ from ..functions.text import (
 from ..functions.urls import resolve_url
 from ..schemas import as_books
 from . import rulesets as R
-from .pages import kv_lines, line_classifier
+from .pages import kv_entries, kv_lines, line_classifier
 from .registry import SOURCES
 
 SHOP_JSON = "struct<product:struct<sales_price_including_tax:bigint,model_number:string>>"
@@ -41,7 +41,9 @@ def _by_op(column: str, readers: dict[str, Column], usual: Column) -> Column:
     out = None
     for op in sorted(set(R.OPS[column].values())):
         named = [s for s, o in R.OPS[column].items() if o == op]
-        hit = F.col("source_id").isin(*named)
+        hit = F.col("source_id").isin(*[s for s in named if "/" not in s])
+        for source, kind in (s.split("/") for s in named if "/" in s):
+            hit = hit | ((F.col("source_id") == source) & (F.col("page_kind") == kind))
         out = F.when(hit, readers[op]) if out is None else out.when(hit, readers[op])
     return out.otherwise(usual)
 
@@ -67,7 +69,7 @@ def _title() -> Column:
         {
             "marks": strip_format_marks(raw),
             "lines": join_title_lines(raw),
-            "quotes": strip_outer_quotes(raw),
+            "quotes": F.coalesce(_field("clean_title"), strip_outer_quotes(raw)),
             "site": site,
             "parts": title_with_parts(raw, sub, F.coalesce(_field("lead"), F.lit(""))),
         },
@@ -78,11 +80,15 @@ def _title() -> Column:
 def _authors() -> Column:
     text, role = _field("authors"), people.strip_role_word
     each = lambda clean: F.filter(F.transform(_all("authors"), clean), lambda n: n != "")
+    each_of = lambda name, clean: F.filter(F.transform(_all(name), lambda n: trim_blanks(clean(n))), lambda n: n != "")
     split = people.split_authors
-    kv = F.col("kv")
-    keyed = F.concat_ws("、", *[F.try_element_at(kv, F.lit(k)) for k in ("著者", "著", "翻訳", "翻訳者", "訳者", "訳")])
+    keyed = F.filter("kv_rows", lambda e: e["key"].isin("著者", "著", "翻訳", "翻訳者", "訳者", "訳"))
     wide = lambda n: role(people.strip_brackets(n, "wide"))
-    listed = F.filter(_all("items"), lambda x: ~x.rlike("^(定価|ISBN|発行)") & x.rlike("[\\[［]"))
+    # The first item that is neither price, ISBN, size nor stock.
+    listed = F.filter(_all("items"), lambda x: ~x.rlike("^(定価|ISBN|[A-Z][0-9]／)|在庫|品切"))
+    named = F.filter(
+        F.transform(listed, lambda x: split(x, "ideographic", lambda n: people.strip_brackets(n, "square"))), lambda names: F.size(names) > 0
+    )
     return _by_op(
         "authors",
         {
@@ -95,17 +101,15 @@ def _authors() -> Column:
             "labelled_wide": split(
                 _labelled("著者"), "wide_blank", lambda n: people.strip_colon_role(people.strip_brackets(n, "round"))
             ),
-            "vendor_wide": split(text, "bibliography", wide),
+            "vendor_wide": F.coalesce(each_of("author_links", wide), split(text, "bibliography", wide)),
             "vendor": split(F.from_json(_field("vendor_json"), VENDOR_JSON)["vendor"], "vendor"),
             "newline": split(text, "newline"),
             "english": split(F.regexp_replace(text, "(?i)^by\\s+", ""), "english"),
             "english_and": split(text, "english_and"),
             "comma_role": split(text, "newline", role),
             "comma_parens": split(text, "comma_blank", people.strip_trailing_parens),
-            "keys": split(keyed, "comma"),
-            "items": F.flatten(
-                F.transform(listed, lambda x: split(x, "ideographic", lambda n: people.strip_brackets(n, "square")))
-            ),
+            "keys": F.flatten(F.transform(keyed, lambda e: split(e["value"], "comma"))),
+            "items": F.get(named, F.lit(0)),
             "lines": F.col("by_line.authors"),
         },
         _all("authors"),
@@ -173,7 +177,7 @@ def _isbn() -> Column:
 def _publisher() -> Column:
     text = _field("publisher")
     own = _lookup(R.PUBLISHERS, _lookup({s[0]: s[1] for s in SOURCES}, F.lit("")))
-    company = F.coalesce(*[F.try_element_at(F.col("kv"), F.lit(k)) for k in ("発行", "発行元", "発売")])
+    company = F.try_element_at(F.filter("kv_rows", lambda e: e["key"].startswith("発行") | (e["key"] == "発売")), F.lit(-1))["value"]
     return F.coalesce(
         _by_op(
             "publisher",
@@ -224,6 +228,14 @@ def _stores(url: Column) -> Column:
     return F.when(F.size(once) > 0, once)
 
 
+def folder_pages(extracted: DataFrame) -> DataFrame:
+    """(page_url, url): the folders that list pages of `ipa` name, each a list page of its own."""
+    links = extracted.where("error is null and source_id = 'ipa' and page_kind = 'list'").select(
+        F.col("url").alias("page_url"), F.explode(_all("folder")).alias("href")
+    )
+    return links.select("page_url", resolve_url(F.col("page_url"), F.col("href")).alias("url")).distinct()
+
+
 def books_from_fields(extracted: DataFrame, registry: DataFrame) -> DataFrame:
     """Book rows of list and detail pages, keyed by `page_url`; items without title or link are dropped.
 
@@ -237,6 +249,7 @@ def books_from_fields(extracted: DataFrame, registry: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "kv": kv_lines(F.coalesce(_field("meta"), F.lit(""))),
+                "kv_rows": kv_entries(F.coalesce(_field("meta"), F.lit(""))),
                 "by_line": line_classifier(F.coalesce(_field("lines"), F.lit(""))),
                 "shop": F.from_json(_field("shop_json"), SHOP_JSON),
             }
@@ -251,26 +264,38 @@ def books_from_fields(extracted: DataFrame, registry: DataFrame) -> DataFrame:
     link = F.when(F.col("source_id") == "leanpub", F.concat(F.col("__base"), F.lit("/"), slug)).otherwise(
         resolve_url(root, _field("url"))
     )
+    # The link that leads to the book itself and has a text.
+    own_link = F.concat(F.lit("/"), slug, F.lit("\n"))
+    linked_title = F.split(F.get(F.filter(_all("linked"), lambda x: x.startswith(own_link)), F.lit(0)), "\n", 2)[1]
+    picture = F.when(
+        (F.col("source_id") == "oreilly-japan") & ~detail,
+        F.concat(F.col("__base"), F.lit("/books/images/picture_large"), _field("isbn"), F.lit(".jpeg")),
+    ).otherwise(resolve_url(root, _field("cover")))
     notice = lambda t: t.startswith("本ページの情報") | F.contains(t, F.lit("本事業は終了"))
     description = F.when(
         F.col("source_id") == "ipa", F.get(F.filter(_all("description"), lambda t: ~notice(t)), F.lit(0))
     ).otherwise(strip_site_name(_field("description"), "^＜翔泳社の公式通販＞\\s*[｜|]\\s*"))
     one = (F.col("source_id") != "c-r") | detail | (F.size(_all("title")) == 1)
+    # Folders are lists of their own, see `folder_pages`; a row of column heads is no book.
+    entry = detail | ((F.col("source_id") != "ipa") | _field("folder").isNull()) & (
+        (F.col("source_id") != "personal-media") | _field("heads").isNull() & F.contains(_field("url"), F.lit("/book/"))
+    )
     required = (F.col("source_id") != "ipa") | ~detail | _field("required").isNotNull()
-    books = rows.where(one & required).select(
+    books = rows.where(one & required & entry).select(
         F.col("url").alias("page_url"),
         "page_kind",
         "source_id",
         "position",
         F.when(detail, F.col("url")).otherwise(link).alias("url"),
-        _title().alias("title"),
+        F.when((F.col("source_id") == "leanpub") & ~detail, linked_title).otherwise(_title()).alias("title"),
         F.coalesce(_authors(), F.array().cast("array<string>")).alias("authors"),
         _publisher().alias("publisher"),
         _date().alias("published_at"),
         F.col("__language").alias("language"),
         _isbn().alias("isbn"),
         _price().alias("price"),
-        resolve_url(root, _field("cover")).alias("cover_image_url"),
+        picture.alias("cover_image_url"),
+        stores.extract_asin(F.array_join(_all("asin"), " ")).alias("page_asin"),
         description.alias("description"),
         stores.drm_from_text(_field("guide")).alias("guide_drm"),
         _field("buy").alias("buy_url"),
@@ -278,6 +303,7 @@ def books_from_fields(extracted: DataFrame, registry: DataFrame) -> DataFrame:
         _field("media").alias("media"),
         _field("category").alias("category"),
         _all("statuses").alias("statuses"),
+        F.get(_all("more"), F.lit(0)).alias("more_url"),
         "fields",
     )
     dollars = F.col("source_id").isin("pragprog", "leanpub") & F.col("price").isNotNull()
@@ -288,7 +314,7 @@ def books_from_fields(extracted: DataFrame, registry: DataFrame) -> DataFrame:
         "ebook_stores",
         F.when(
             F.col("buy_url").isNotNull(),
-            F.array(F.struct(F.lit("インプレスブックス").alias("name"), F.col("buy_url").alias("url"), F.col("guide_drm").alias("drm"))),
+            F.array(F.struct(F.lit("インプレスブックス").alias("name"), F.col("url").alias("url"), F.col("guide_drm").alias("drm"))),
         ).otherwise(F.col("ebook_stores")),
-    ).where("title != '' and url != ''")
-    return as_books(full, "page_url", "page_kind", "media", "category", "statuses")
+    ).withColumn("asin", F.coalesce("page_asin", stores.asin_from_stores(F.col("ebook_stores")))).where("title != '' and url != ''")
+    return as_books(full, "page_url", "page_kind", "media", "category", "statuses", "more_url")

@@ -45,8 +45,8 @@ def decode_bodies(spark, d):
 
 
 @query("page_links", r"""
-SELECT page_id, i AS pos, hrefs[i + 1] AS href FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM pages), range(0, 100) r(i)
-WHERE i < len(hrefs)""")
+SELECT page_id, unnest(range(0, len(hrefs)))::INT AS pos, unnest(hrefs) AS href
+FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM pages)""")
 def page_links(spark, d):
     return P.page_links(table(spark, d, "pages").select("page_id", "html"))
 
@@ -107,7 +107,7 @@ def max_page_q(spark, d):
 WITH p AS (SELECT page_id, html, {_SITE} AS listing, row_number() OVER (PARTITION BY {_SITE} ORDER BY page_id) AS page_no FROM pages),
 l AS (SELECT listing, greatest(1, page_id % 4)::INT AS last_page FROM p WHERE page_no = 1),
 h AS (SELECT p.listing, page_no, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs FROM p JOIN l ON l.listing = p.listing WHERE page_no <= last_page)
-SELECT listing, page_no, i, hrefs[i + 1] AS item FROM h, range(0, 100) r(i) WHERE i < len(hrefs)""")
+SELECT listing, page_no, unnest(range(0, len(hrefs)))::INT AS i, unnest(hrefs) AS item FROM h""")
 def paginated_union(spark, d):
     from pyspark.sql import Window
 
@@ -122,7 +122,8 @@ def paginated_union(spark, d):
 
 _LINKS_SQL = r"""
 hl AS (SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs FROM pages),
-lk AS (SELECT page_url, page_id, i AS pos, site || hrefs[i + 1] AS url, i % 3 = 2 AS is_folder, page_id % 2 = 0 AS is_index FROM hl, range(0, 100) r(i) WHERE i < len(hrefs)),
+lx AS (SELECT page_url, page_id, site, unnest(range(0, len(hrefs)))::INT AS i, unnest(hrefs) AS href FROM hl),
+lk AS (SELECT page_url, page_id, i AS pos, site || href AS url, i % 3 = 2 AS is_folder, page_id % 2 = 0 AS is_index FROM lx),
 inner_ AS (SELECT url AS folder, 'k' || n AS title, folder_id, n AS pos, 'https://inner.example.com/' || (length(url) + n) AS url FROM (
   SELECT DISTINCT url, length(url) AS folder_id FROM lk WHERE is_folder AND is_index), range(0, 3) q(n))"""
 
@@ -299,17 +300,17 @@ def extract_detail(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", "html", lit("site").alias("source_id"), lit("detail").alias("page_kind"))
     got = extract(pages, _SITE_RULES).where("error is null")
     first = lambda n: F.get(F.try_element_at("fields", lit(n)), lit(0)).alias(n)
-    return got.join(pages.select("page_id", "url"), "url").select("page_id", first("title"), first("lang"), first("ad"), first("foot"))
+    return got.select("page_id", first("title"), first("lang"), first("ad"), first("foot"))
 
 
 @query("extract_list_items", f"""
-SELECT page_id, i AS position, hrefs[i + 1] AS href, {_decoded("texts[i + 1]")} AS label FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs,
-  regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a>', 1) AS texts FROM pages), range(0, 100) r(i) WHERE i < len(hrefs)""")
+SELECT page_id, position, href, {_decoded("label")} AS label FROM (SELECT page_id, unnest(range(0, len(hrefs))) AS position, unnest(hrefs) AS href, unnest(texts) AS label
+FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs, regexp_extract_all(html, '<li><a href="[^"]*">(.*?)</a>', 1) AS texts FROM pages))""")
 def extract_list_items(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", "html", lit("site").alias("source_id"), lit("list").alias("page_kind"))
     got = extract(pages, _SITE_RULES).where("error is null")
     first = lambda n: F.get(F.try_element_at("fields", lit(n)), lit(0))
-    return got.join(pages.select("page_id", "url"), "url").select("page_id", "position", first("url").alias("href"), first("text").alias("label"))
+    return got.select("page_id", "position", first("url").alias("href"), first("text").alias("label"))
 
 
 @query("microdata", v.with_views("""

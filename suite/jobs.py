@@ -16,6 +16,8 @@ from shelfmark.storage import materialize
 from . import views as v
 from .columns import _AUTHOR_SQL, _AUTHORS_SQL, _MEAN_SQL, _SAME_SQL, _TITLE_SQL, VALIDATION_SQL, validation_columns
 from .registry import query, table
+from shelfmark.operators.ranking import clamp_limit
+
 from .tables import ASKS, BIB_SQL, SOURCES_SQL, _ENRICH_SQL, asks, bib_books
 
 col, lit = F.col, F.lit
@@ -84,11 +86,16 @@ ranked AS (SELECT query_id, source_id, k, match_score, row_number() OVER (PARTIT
   AND fq.query_author IS NOT DISTINCT FROM cut.query_author AND fq.publisher_id IS NOT DISTINCT FROM cut.publisher_id AND rn <= n)"""
 
 
+def _requests(spark, d):
+    """Queries as they come from outside, with their limit clamped."""
+    return asks(spark, d).withColumn("limit", clamp_limit(col("limit")))
+
+
 @query("search_books", v.with_views("""
 SELECT query_id, rank, ranked.source_id, ranked.k, match_score, shelf.title, shelf.isbn FROM ranked JOIN shelf ON shelf.k = ranked.k""",
     BIB_SQL, SOURCES_SQL, _SHELF_SQL, ASKS, _ranked_sql("asks", 'least(coalesce("limit", 10), 50)')))
 def search_books(spark, d):
-    out = search(asks(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark))
+    out = search(_requests(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark))
     return out.select("query_id", "rank", "source_id", col("position").alias("k"), "match_score", "title", "isbn")
 
 
@@ -102,11 +109,13 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY match_score D
       (query IS NOT NULL OR query_author IS NOT NULL)
       AND (query IS NULL OR len(list_filter(string_split(lower(trim(query)), ' '), lambda x: NOT contains(lower(shelf.title || coalesce(' ' || description, '')), x))) = 0)
       AND (query_author IS NULL OR contains(lower(replace(authors_text, '|', ', ')), lower(query_author)))
-      ELSE contains(lower(shelf.title), lower(trim(query))) END) WHERE rn <= n)) WHERE match_score > 0""",
+      WHEN source_id = 'tatsu-zine' THEN contains(lower(shelf.title), lower(trim(query)))
+      AND (query_author IS NULL OR contains(lower(replace(authors_text, '|', ' ')), lower(trim(query_author))))
+      ELSE contains(lower(shelf.title), lower(trim(query))) END) WHERE rn <= CASE source_id WHEN 'google-books' THEN least(n, 40) ELSE n END)) WHERE match_score > 0""",
     BIB_SQL, SOURCES_SQL, _SHELF_SQL.replace("e.title, s.ordinal", "e.title, e.description, e.authors_text, s.ordinal").replace(
         "AS authors_text\n", "AS authors_text, bib.description\n"), ASKS))
 def search_books_source_order(spark, d):
-    out = search(asks(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark), "source_order")
+    out = search(_requests(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark), "source_order")
     return out.select("query_id", "rank", "source_id", col("position").alias("k"), "match_score")
 
 
@@ -149,6 +158,30 @@ def isbn_resolve(spark, d):
     return _isbn_out(by_isbn(v.book_rows(spark, d).select("isbn"), **_inputs(spark, d)))
 
 
+# Keyword listings of the owning source: a row of another book, for some ISBNs then one of the same.
+_LISTED_SQL = """
+listing AS (SELECT isbn AS keyword, code_source AS source_id, 2 * k AS position, 'Other ' || k AS title, NULL AS isbn, 'https://list.example.com/' || k AS url FROM book WHERE k % 7 = 3
+  UNION ALL SELECT isbn, code_source, 2 * k + 1, 'Same ' || k, isbn, 'https://list.example.com/same/' || k FROM book WHERE k % 14 = 3),
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY coalesce(isbn <> keyword, true), position) AS nth FROM listing
+  WHERE source_id IS NOT NULL) WHERE nth = 1)"""
+_LISTED_CHAIN_SQL = _CHAIN_SQL.replace("  UNION ALL SELECT isbn, 4,", """  UNION ALL SELECT l.keyword, 3, 'isbn:publisher', l.title, l.isbn, l.source_id, l.url FROM listed l JOIN bib ON bib.isbn = l.keyword
+  UNION ALL SELECT isbn, 4,""")
+
+
+@query("isbn_resolve_listing", v.with_views(f"SELECT isbn, {_ISBN_COLS} FROM by_isbn", BIB_SQL, _LISTED_SQL, _LISTED_CHAIN_SQL))
+def isbn_resolve_listing(spark, d):
+    """The chain with keyword listings: the row of the same ISBN, else a source's first row."""
+    from shelfmark.plans.by_isbn import by_isbn
+
+    rows = v.book_rows(spark, d)
+    listed = lambda keep, place, word, isbn, path: rows.where(keep).select(
+        col("isbn").alias("keyword"), col("code_source").alias("source_id"), place.alias("position"), F.concat(lit(word), col("k").cast("string")).alias("title"),
+        isbn.alias("isbn"), F.concat(lit(path), col("k").cast("string")).alias("url"))
+    root = "https://list.example.com/"
+    listing = listed("k % 7 = 3", 2 * col("k"), "Other ", lit(None).cast("string"), root).unionByName(listed("k % 14 = 3", 2 * col("k") + 1, "Same ", col("isbn"), f"{root}same/"))
+    return _isbn_out(by_isbn(rows.select("isbn"), **_inputs(spark, d), listing=listing.where("source_id is not null")))
+
+
 _WANTED_SQL = "wanted AS (SELECT DISTINCT CASE WHEN k % 10 = 0 THEN '9780' || substring(isbn, 5, 9) ELSE isbn END AS isbn FROM book)"
 
 
@@ -205,7 +238,7 @@ _OUT = "isbn_matches, isbn_title_agree, title_exact, same_work, edition_differs"
 _AMB = "via = 'search' AND second IS NOT NULL AND match_score < 1 AND match_score >= 0.5::DOUBLE AND match_score - second < 0.1::DOUBLE"
 
 
-@query("resolve_books", v.with_views(f"""
+_RESOLVE_ROWS = f"""
 SELECT valid.clue_id, CASE WHEN {_AMB} THEN 'ambiguous' ELSE 'matched' END AS status,
   CASE WHEN via = 'isbn' THEN (CASE WHEN isbn_title_agree = 'false' THEN 'low' ELSE 'high' END)
     WHEN asked IS NOT NULL AND isbn_matches <> 'true' THEN 'low' WHEN match_score >= 0.9::DOUBLE THEN 'high' WHEN match_score >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence,
@@ -215,13 +248,26 @@ SELECT valid.clue_id, CASE WHEN {_AMB} THEN 'ambiguous' ELSE 'matched' END AS st
 FROM valid LEFT JOIN top ON top.clue_id = valid.clue_id
 UNION ALL SELECT clue_id, 'not_found', 'low', NULL, NULL, 0::DOUBLE, 'none', 'null', 'null', 'null', NULL, 'null', NULL,
   CASE WHEN title IS NOT NULL OR author IS NOT NULL THEN '{REASON_NO_MATCH}' WHEN asked IS NOT NULL THEN '{REASON_ISBN[0]}' || isbn || '{REASON_ISBN[1]}' ELSE '{REASON_EMPTY}' END
-  FROM rest WHERE clue_id NOT IN (SELECT clue_id FROM best)""",
-    v.CLUES, BIB_SQL, SOURCES_SQL, _SHELF_SQL, _CHAIN_SQL, _RESOLVE_SQL))
+  FROM rest WHERE clue_id NOT IN (SELECT clue_id FROM best)"""
+
+
+@query("resolve_books", v.with_views(_RESOLVE_ROWS, v.CLUES, BIB_SQL, SOURCES_SQL, _SHELF_SQL, _CHAIN_SQL, _RESOLVE_SQL))
 def resolve_books(spark, d):
     out = resolve(v.clue_rows(spark, d), **_inputs(spark, d))
     return resolved_columns(out)
 
 
+@query("resolve_books_failed", v.with_views(f"""
+SELECT * FROM ({_RESOLVE_ROWS}) WHERE clue_id % 9 <> 2
+UNION ALL SELECT clue_id, 'not_found', 'low', NULL, NULL, 0::DOUBLE, 'none', 'null', 'null', 'null', NULL, 'null', NULL, 'no answer to clue ' || clue_id
+FROM clues WHERE clue_id % 9 = 2""", v.CLUES, BIB_SQL, SOURCES_SQL, _SHELF_SQL, _CHAIN_SQL, _RESOLVE_SQL))
+def resolve_books_failed(spark, d):
+    """Clues of which some failed before they were looked up."""
+    clues = v.clue_rows(spark, d)
+    errors = clues.where("clue_id % 9 = 2").select("clue_id", F.concat(lit("no answer to clue "), col("clue_id").cast("string")).alias("message"))
+    return resolved_columns(resolve(clues, **_inputs(spark, d), errors=errors))
+
+
 def resolved_columns(out):
     """Results as plain columns."""
     return out.select(

@@ -383,7 +383,7 @@ def _near(spark, d):
 SELECT source_id, k FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY k) AS rn FROM book) WHERE rn <= 3 + length(source_id) % 7"""))
 def per_source_limit(spark, d):
     rows = v.catalog(spark, d).select("source_id", col("position").alias("k"))
-    return ranking.top_per_group(rows, ["source_id"], [col("k")], 3 + F.length("source_id") % 7)
+    return ranking.top_per_group(rows, ["source_id"], [col("k")], 3 + F.length("source_id") % 7, cap=9)
 
 
 @query("rank_by_score", v.with_views("SELECT clue_id, k, rank FROM ranked", *_NEAR_VIEWS))

@@ -9,6 +9,7 @@ from shelfmark.operators import joins, ranking
 from shelfmark.operators.enrich import enrich
 from shelfmark.operators.score_join import contained_pairs, score_join
 from shelfmark.operators.top_matches import top_matches
+from shelfmark.plans.search import ranked_hits
 from shelfmark.schemas import as_books
 from shelfmark.sources.registry import isbn_codes, sources
 
@@ -94,10 +95,21 @@ def test_rank_is_the_same_after_repartition(spark):
 
 def test_top_per_group_plan_limits_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
-    plan = ranking.top_per_group(df, ["g"], [F.col("id")], F.lit(5))._jdf.queryExecution().executedPlan().toString()
+    plan = ranking.top_per_group(df, ["g"], [F.col("id")], F.lit(5), cap=5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
+def test_limits_over_the_usual_bound_are_kept(spark):
+    q, b = small_catalog(spark)
+    books = spark.range(120).select(
+        F.lit("saiensu").alias("source_id"), F.col("id").alias("position"), F.lit("same book").alias("title"),
+        F.array(F.lit("one author")).alias("authors"), F.lit("samebook").alias("title_key"), F.array(F.lit("oneauthor")).alias("author_keys"),
+    )
+    asked = spark.createDataFrame([(1, "same book", None, None, 60), (2, "same book", None, None, None)], "query_id long, title string, author string, publisher_id string, limit int")
+    hits = ranked_hits(asked, books, sources(spark))
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 60, 2: 10}
+
+
 def test_score_join_has_no_nested_loop(spark):
     q, b = small_catalog(spark)
     plan = score_join(q, b)._jdf.queryExecution().executedPlan().toString()
