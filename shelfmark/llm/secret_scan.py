@@ -90,11 +90,12 @@ def train(samples: DataFrame) -> list[float]:
 def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     """Labelled strings: values of known secrets and digests against long words of the same corpus.
 
-    Taken from the SAMPLE_DOCUMENTS documents whose texts have the smallest hashes, SAMPLE strings of
-    each class at most.
+    Taken from some SAMPLE_DOCUMENTS documents, those whose texts have the smallest hashes, and SAMPLE
+    strings of each class at most. A document is taken or left by its hash, so nothing is sorted.
     """
     spark: SparkSession = docs.sparkSession
-    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).orderBy(F.xxhash64("__text")).limit(SAMPLE_DOCUMENTS)
+    share = SAMPLE_DOCUMENTS / max(SAMPLE_DOCUMENTS, docs.count())
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     scanned = known(some)
     values = F.flatten(F.array(*[F.transform(f"__{k}", lambda x: x["value"]) for k in KINDS[:3]]))
     secret = scanned.select(F.explode(values).alias("string")).where("string rlike '[0-9]'")
