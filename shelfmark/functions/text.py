@@ -143,6 +143,16 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
+# Named characters; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def decode_entities(c: Column) -> Column:
+    for name, char in ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def html_block_text(c: Column) -> Column:
     """Markup to text, keeping line breaks as newlines and &nbsp; as a blank."""
     return F.replace(strip_html(F.regexp_replace(c, "(?i)<br\\s*/?>", "\n")), F.lit("&nbsp;"), F.lit(" "))

@@ -14,12 +14,17 @@ from ..functions.people import split_authors
 from ..functions.stores import classify_store
 from ..functions.dates import parse_date
 from ..functions.isbn import extract_isbn
-from ..functions.text import empty_to_null, strip_html, trim_blanks
+from ..functions.text import decode_entities, empty_to_null, strip_html, trim_blanks
 from ..operators.ranking import first_match
 from ..operators.summary import max_page
 
-LINK = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"
-META = "(?is)<meta\\s[^>]*>"
+# A tag's attributes, in which a quoted value may hold anything; a value, quoted or bare.
+_BEFORE_HREF = "(?:[^>\"'\\s]++|\\s(?!href\\s*=)|\"[^\"]*+\"|'[^']*+')*+"
+_VALUE = "(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+LINK = f"(?is)<a(?=[\\s/]){_BEFORE_HREF}\\shref\\s*=\\s*{_VALUE}"
+META = "(?is)<meta\\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Parts of a page whose tags are no elements of it.
+UNSEEN = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
 CHARSET = "(?i)charset=[\"']?([^;\"'\\s]+)"
 
 
@@ -58,10 +63,19 @@ def decode_bodies(df: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every link of a page in document order, as (…, pos, href)."""
     keep = [c for c in pages.columns if c != html]
-    links = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))
+    links = F.transform(F.regexp_extract_all(_seen(F.col(html)), F.lit(LINK), F.lit(1)), _bare_value)
     return pages.select(*keep, F.posexplode(links).alias("pos", "href"))
 
 
+def _seen(html: Column) -> Column:
+    return F.regexp_replace(html, UNSEEN, "")
+
+
+def _bare_value(c: Column) -> Column:
+    """An attribute's value without its quotes, with entities decoded."""
+    return decode_entities(F.regexp_replace(c, "^([\"'])(.*)\\1$", "$2"))
+
+
 def extract_stores(links: DataFrame, key: str) -> DataFrame:
     """(key, ebook_stores): the first link of each known store, in document order.
 
@@ -97,11 +111,12 @@ def last_wins(entries: Column) -> Column:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*[\"']([^\"']*)[\"']", 1)
+    return _bare_value(F.regexp_extract(tag, f"(?is)\\s{name}\\s*=\\s*{_VALUE}", 1))
 
 
 def meta_tags(html: Column) -> Column:
     """Map of <meta> name or property to content, and "title" to the page title."""
+    html = _seen(html)
     tags = F.regexp_extract_all(html, F.lit(META), F.lit(0))
     entries = F.transform(
         tags,

@@ -69,3 +69,16 @@ def test_key_value_maps(spark):
     df = spark.createDataFrame([("<dl><dt>a<dd>1</dd><dt>b</dt><dd>2</dd></dl><th>c</th><td> 3 </td>", "k：v\nk\tw\nnone")], "h string, t string")
     r = df.select(pages.kv_tags(F.col("h")).alias("h"), pages.kv_lines(F.col("t")).alias("t")).first()
     assert r.t == {"k": "w"} and r.h["c"] == "3"
+
+
+def test_links_of_untidy_markup(spark):
+    page = """<!-- <a href="/no"> --><script>var x = '<a href="/no">'</script><A class=x HREF=/bare>1</a>
+    <a title="a > b" href='/one?x=1&amp;y=2'>2</a><abbr href="/no"></abbr><a data-href="/no" href = "/last">3</a><a name=top>"""
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert [(r.pos, r.href) for r in pages.page_links(df).collect()] == [(0, "/bare"), (1, "/one?x=1&y=2"), (2, "/last")]
+
+
+def test_meta_tags_of_untidy_markup(spark):
+    page = """<meta name=author content=Ann><!-- <meta name="no" content="x"> --><meta content='a &amp; "b" > c' property="og:title"><title>T</title>"""
+    row = spark.createDataFrame([(page,)], "html string").select(pages.meta_tags(F.col("html")).alias("m")).first()
+    assert row.m == {"title": "T", "author": "Ann", "og:title": 'a & "b" > c'}
