@@ -38,7 +38,9 @@ _LAST = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _SPANS = "doc bigint, tag int, start int, end int"
-_ANCHORS = "key bigint, context bigint, doc bigint, tag int, at int"
+#: `place` is tag, whether the row is known to be covered, and the byte in the text: 31, 1 and 31 bits.
+_ANCHORS = "key bigint, context bigint, doc bigint, place bigint"
+_MARKS = "key bigint, doc bigint, tag int, at int, covered int"
 _TEXTS = "key bigint, doc bigint, tag int, at int, before int, bytes binary"
 
 
@@ -98,8 +100,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """One row for each anchor of every document.
 
     A context that HOT rows of a batch share would make a hot key. There only the smallest document's
-    rows keep the key; the others are known to be covered, which a negative place says, and are dealt
-    out by document.
+    rows keep the key; the others are known to be covered and are dealt out by document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if not own:
                 continue
             own, at, key, context = map(np.concatenate, (own, places, keys, contexts))
-            d, t, key, context = doc[own], tag[own], key.view(np.int64), context.view(np.int64)
+            d, t, key, context = doc[own], tag[own].astype(np.int64), key.view(np.int64), context.view(np.int64)
             order = np.argsort(context, kind="stable")
             start = np.flatnonzero(np.r_[True, context[order][1:] != context[order][:-1]])
             size = np.diff(np.r_[start, len(order)])
@@ -124,8 +125,8 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 same = same[key[same] == key[same[0]]]
                 known = same[d[same] > d[same].min()]
                 key[known] = (d[known] * 0x9E3779B1 + at[known]) * 0x85EBCA6B
-                at[known] = -1 - at[known]
-            yield _batch(_ANCHORS, key, context, d, t, at)
+                at[known] |= 1 << 31
+            yield _batch(_ANCHORS, key, context, d, t << 32 | at)
 
     return docs.mapInArrow(run, _ANCHORS)
 
@@ -134,14 +135,11 @@ def _meet(found: DataFrame) -> DataFrame:
     """Anchors by key: rows whose context a smaller document has (covered), and the smallest document
     of every context of a key that has several, at all its places. Keys are read in order, so a key
     of very many rows needs no more memory than another."""
-    schema = f"{_ANCHORS}, covered int"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a key whose other contexts, if any, are still to come
         now = (None, None, None)  # key and context of the last row, smallest document of the context
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            key, context, doc = cols[:3]
+            key, context, doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             n = len(key)
             if not n:
                 continue
@@ -150,9 +148,8 @@ def _meet(found: DataFrame) -> DataFrame:
             starts = np.flatnonzero(new)
             run_of = np.cumsum(new) - 1
             least = np.where(run_of < 0, now[2] if now[2] is not None else 0, doc[starts][run_of] if len(starts) else 0)
-            known = cols[4] < 0
-            covered = ~new & (doc > least) | known
-            cols[4] = np.where(known, -1 - cols[4], cols[4])
+            covered = ~new & (doc > least) | (place >> 31 & 1).astype(bool)
+            cols = (key, doc, (place >> 32).astype(np.int32), (place & ((1 << 31) - 1)).astype(np.int32))
             # The first row of a context counts if its key has another context: the row before or after it.
             follows = new & ~new_key
             leads = np.zeros(n, bool)
@@ -163,16 +160,16 @@ def _meet(found: DataFrame) -> DataFrame:
                 several[group[follows & (group >= 0)]] = True
                 leads[opening] = several
             if held is not None and (follows & (np.cumsum(new_key) == 0)).any():
-                yield _batch(schema, *held, np.zeros(1, np.int32))
+                yield _batch(_MARKS, *held, np.zeros(1, np.int32))
                 held = None
             take = covered | follows | leads | (~new & (doc == least))
-            yield _batch(schema, *(c[take] for c in cols), covered[take].astype(np.int32))
+            yield _batch(_MARKS, *(c[take] for c in cols), covered[take].astype(np.int32))
             if len(opening):
                 i = opening[-1]
                 held = None if leads[i] else [c[i : i + 1].copy() for c in cols]
             now = (key[-1], context[-1], least[-1])
 
-    return found.repartition("key").sortWithinPartitions("key", "context", "doc").mapInArrow(run, schema)
+    return found.repartition("key").sortWithinPartitions("key", "context", "doc").mapInArrow(run, _MARKS)
 
 
 def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -192,16 +189,29 @@ def covered(key: np.ndarray, doc: np.ndarray, before: np.ndarray, parts: list[by
     """For every context (row; keys ascending) and every a: whether its string that begins a bytes before
     the anchor stands around the same anchor in a smaller document."""
     n, reach = len(key), length - gram
+    out = np.zeros((n, reach + 1), bool)
     sizes = np.array([len(p) for p in parts], np.int64)
     hashes = Hashes(b"".join(parts))
     at = np.cumsum(sizes) - sizes + before
     after = sizes - before
+    # Equal strings agree in half of what they have besides the anchor, before it or after it.
+    half = (reach + 1) // 2
+    alike = np.zeros(n, bool)
+    for low, high, fits in ((half, 0, before >= half), (0, gram + half, after >= gram + half)):
+        i = np.flatnonzero(fits)
+        text = hashes.of(at[i] - low, at[i] + high) ^ (key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, which, times = np.unique(text, return_inverse=True, return_counts=True)
+        alike[i] |= times[which] > 1
+    if not alike.any():
+        return out
+    chosen = np.flatnonzero(alike)
+    key, doc, before, at, after = (x[chosen] for x in (key, doc, before, at, after))
     order = mergesort(hashes, at, after, key)
     key, doc, before, at, after = (x[order] for x in (key, doc, before, at, after))
+    n = len(key)
     same = np.r_[False, key[1:] == key[:-1]]
     common = np.zeros(n, np.int64)
     common[1:] = hashes.common(at[1:], at[:-1], np.where(same[1:], np.minimum(after[1:], after[:-1]), 0))
-    out = np.zeros((n, reach + 1), bool)
     window = np.arange(length)
     best = np.maximum(common, np.r_[common[1:], 0])
     by_doc = np.argsort(doc, kind="stable")
@@ -222,10 +232,8 @@ def covered(key: np.ndarray, doc: np.ndarray, before: np.ndarray, parts: list[by
         for s in range(0, len(i), SORTED):
             x, y = i[s : s + SORTED], head[s : s + SORTED]
             equal = (hashes.data[(at[x] - a)[:, None] + window] == hashes.data[(at[y] - a)[:, None] + window]).all(1)
-            out[x[equal], a] = True
-    back = np.zeros_like(out)
-    back[order] = out
-    return back
+            out[chosen[order[x[equal]]], a] = True
+    return out
 
 
 def _spans_of(hit: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
@@ -301,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     # Only where ids repeat, texts of one id are told apart by their checksum and length.
     again = not rows.groupBy("doc").count().where("count > 1").isEmpty()
-    tag = (F.xxhash64("text") % (1 << 31)).cast("int") if again else F.lit(0)
+    tag = F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int") if again else F.lit(0)
     rows = rows.select("id", "doc", tag.alias("tag"), "text")
     with _dropping_shuffles(spark):
         found = spans(rows.select("doc", "tag", "text"), length, gram)
