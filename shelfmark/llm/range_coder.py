@@ -19,7 +19,7 @@ LANES = 4096
 #: Confidence levels of a predictor, contexts of order 2, bits of the weights' total.
 LEVELS, SLOTS, BITS = 8, 1 << 18, 12
 #: Added to an id's frequency when seen; frequencies are halved above LIMIT; steps between updates.
-GAIN, LIMIT, EVERY = 24, 1 << 22, 4
+GAIN, LIMIT, EVERY = 16, 1 << 20, 4
 TOP, BOTTOM, WORD = np.uint64(1 << 48), np.uint64(1 << 42), np.uint64(16)
 _HEAD = struct.Struct("<4sIIIIII")
 
@@ -27,7 +27,8 @@ _HEAD = struct.Struct("<4sIIIIII")
 class Model:
     """Predictions that encoder and decoder make alike."""
 
-    def __init__(self, vocabulary: int):
+    def __init__(self, vocabulary: int, decoding: bool = False):
+        self.decoding = decoding
         self.counts = np.zeros(vocabulary, np.int64)
         self.seen: list[np.ndarray] = []
         self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
@@ -44,6 +45,9 @@ class Model:
                 self.counts >>= 1
         self.below = np.concatenate([[0], np.cumsum(self.counts + 1)]).astype(np.uint64)
         self.total = self.below[-1]
+        if self.decoding:
+            # Which id each part of the total belongs to.
+            self.symbols = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts + 1)
 
     def _shares(self) -> None:
         """Per context the bounds of the three predictors in a total of 2^BITS, none of them empty."""
@@ -163,7 +167,7 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int, vocabulary: int) -> np
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = code << WORD | take(every)
-    model = Model(vocabulary)
+    model = Model(vocabulary, decoding=True)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     rows = np.zeros((steps, lanes), np.uint32)
@@ -182,7 +186,7 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int, vocabulary: int) -> np
         rest = np.flatnonzero(chosen == 2)
         part = sz[rest] // model.total
         value = np.minimum((cd[rest] - lo[rest]) // part, model.total - np.uint64(1))
-        y = np.searchsorted(model.below, value, side="right") - 1
+        y = model.symbols[value.astype(np.int64)]
         start = model.below[y]
         lo[rest] += part * start
         sz[rest] = part * (model.below[y + 1] - start)
