@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC = b"SMT1"
-LANES = 4096
+LANES = 8192
 #: Confidence levels of a predictor, contexts of order 2, bits of the weights' total.
 LEVELS, SLOTS, BITS = 8, 1 << 18, 12
 #: Added to an id's frequency when seen; frequencies are halved above LIMIT; steps between updates.
-GAIN, LIMIT, EVERY = 16, 1 << 20, 4
+GAIN, LIMIT, EVERY = 16, 1 << 19, 4
 TOP, BOTTOM, WORD = np.uint64(1 << 48), np.uint64(1 << 42), np.uint64(16)
 _HEAD = struct.Struct("<4sIIIIII")
 
@@ -31,8 +32,8 @@ class Model:
         self.decoding = decoding
         self.counts = np.zeros(vocabulary, np.int64)
         self.seen: list[np.ndarray] = []
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        # Of each context the id that followed last, times LEVELS, and how often in a row it did.
+        self.after1, self.after2 = np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)
         self.weights = np.tile(np.array([2, 2, 12], np.int64), (2 * LEVELS * LEVELS, 1))
         self._frequencies()
         self._shares()
@@ -53,23 +54,24 @@ class Model:
         """Per context the bounds of the three predictors in a total of 2^BITS, none of them empty."""
         whole = 1 << BITS
         parts = 1 + self.weights[:, :2] * (whole - 3) // self.weights.sum(1, keepdims=True)
-        self.bounds = np.zeros((len(parts), 4), np.uint64)
-        self.bounds[:, 1], self.bounds[:, 2], self.bounds[:, 3] = parts[:, 0], parts.sum(1), whole
+        bounds = np.zeros((len(parts), 4), np.uint64)
+        bounds[:, 1], bounds[:, 2], bounds[:, 3] = parts[:, 0], parts.sum(1), whole
+        self.bounds = bounds.reshape(-1)
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """Predictions after the ids `before`, `last` of every lane."""
         self.last = last.copy()
         self.slot = ((before * 0x9E3779B1 + last * 0x85EBCA6B) >> 7) & (SLOTS - 1)
-        self.guess1, self.guess2 = self.next1[last], self.next2[self.slot]
-        self.level1, self.level2 = self.sure1[last], self.sure2[self.slot]
+        one, two = self.after1.take(last), self.after2.take(self.slot)
+        self.guess1, self.guess2 = one // LEVELS, two // LEVELS
+        self.level1, self.level2 = one % LEVELS, two % LEVELS
         self.context = 2 * (LEVELS * self.level2 + self.level1) + (self.guess1 == self.guess2)
 
     def learn(self, ids: np.ndarray, chosen: np.ndarray, step: int) -> None:
         """What came; where lanes share a context, the last lane's id stays."""
-        self.next1[self.last] = ids
-        self.sure1[self.last] = np.where(ids == self.guess1, np.minimum(self.level1 + 1, LEVELS - 1), 0)
-        self.next2[self.slot] = ids
-        self.sure2[self.slot] = np.where(ids == self.guess2, np.minimum(self.level2 + 1, LEVELS - 1), 0)
+        base = (ids * LEVELS).astype(np.int32)
+        self.after1[self.last] = base + (ids == self.guess1) * np.minimum(self.level1 + 1, LEVELS - 1)
+        self.after2[self.slot] = base + (ids == self.guess2) * np.minimum(self.level2 + 1, LEVELS - 1)
         self.weights += np.bincount(3 * self.context + chosen, minlength=self.weights.size).reshape(-1, 3)
         if self.weights.max() > 1 << 16:
             self.weights = (self.weights + 1) >> 1
@@ -107,24 +109,19 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         model.look(last[:k], before[:k])
         chosen = np.where(x == model.guess2, 0, np.where(x == model.guess1, 1, 2))
         part = sz >> np.uint64(BITS)
-        start = model.bounds[model.context, chosen]
+        bound = 4 * model.context + chosen
+        start = model.bounds.take(bound)
         lo += part * start
-        sz[:] = part * (model.bounds[model.context, chosen + 1] - start)
+        sz[:] = part * (model.bounds.take(bound + 1) - start)
         rest = np.flatnonzero(chosen == 2)
         y = x[rest]
         part = sz[rest] // model.total
         start = model.below[y]
         lo[rest] += part * start
         sz[rest] = part * (model.below[y + 1] - start)
-        while True:
-            ready = _ready(lo, sz)
-            if not len(ready):
-                break
-            v = lo[ready]
+        for ready, words in _settled(lo, sz):
             out_lane.append(ready)
-            out_word.append((v >> TOP_SHIFT).astype(np.uint16))
-            lo[ready] = v << WORD
-            sz[ready] <<= WORD
+            out_word.append(words)
         before[:k] = last[:k]
         last[:k] = x
         model.learn(x, chosen, step)
@@ -137,17 +134,28 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     return word[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=lanes)
 
 
-TOP_SHIFT = np.uint64(48)
-
-
-def _ready(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lanes whose first 16 bits are settled; an interval that is small but astride is cut to settle it."""
-    settled = (low ^ (low + size)) < TOP
-    small = size < BOTTOM
-    astride = small & ~settled
-    if astride.any():
-        size[astride] = -low[astride] & (BOTTOM - np.uint64(1))
-    return np.flatnonzero(settled | small)
+def _settled(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shifts out the first 16 bits of all lanes where they are settled, until no lane has any.
+
+    An interval that is small but astride of two such values is cut to settle it.
+    """
+    lanes, lo, sz = None, low, size
+    while True:
+        settled = (lo ^ (lo + sz)) < TOP
+        small = sz < BOTTOM
+        astride = small & ~settled
+        if astride.any():
+            sz[astride] = -lo[astride] & (BOTTOM - np.uint64(1))
+        now = np.flatnonzero(settled | small)
+        if lanes is not None:
+            # The others of these lanes are done.
+            low[lanes], size[lanes] = lo, sz
+        if not len(now):
+            return
+        lanes = now if lanes is None else lanes[now]
+        lo, sz = lo[now], sz[now]
+        yield lanes, (lo >> np.uint64(48)).astype(np.uint16)
+        lo, sz = lo << WORD, sz << WORD
 
 
 def decode(words: np.ndarray, counts: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
@@ -177,11 +185,12 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int, vocabulary: int) -> np
         model.look(last[:k], before[:k])
         part = sz >> np.uint64(BITS)
         value = (cd - lo) // part
-        bounds = model.bounds[model.context]
-        chosen = (value >= bounds[:, 1]).astype(np.int64) + (value >= bounds[:, 2])
-        start = model.bounds[model.context, chosen]
+        first = 4 * model.context
+        chosen = (value >= model.bounds.take(first + 1)).astype(np.int64) + (value >= model.bounds.take(first + 2))
+        bound = 4 * model.context + chosen
+        start = model.bounds.take(bound)
         lo += part * start
-        sz[:] = part * (model.bounds[model.context, chosen + 1] - start)
+        sz[:] = part * (model.bounds.take(bound + 1) - start)
         x = np.where(chosen == 0, model.guess2, model.guess1)
         rest = np.flatnonzero(chosen == 2)
         part = sz[rest] // model.total
@@ -191,12 +200,7 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int, vocabulary: int) -> np
         lo[rest] += part * start
         sz[rest] = part * (model.below[y + 1] - start)
         x[rest] = y
-        while True:
-            ready = _ready(lo, sz)
-            if not len(ready):
-                break
-            lo[ready] <<= WORD
-            sz[ready] <<= WORD
+        for ready, _ in _settled(lo, sz):
             cd[ready] = cd[ready] << WORD | take(ready)
         rows[step, :k] = x
         before[:k] = last[:k]

@@ -22,7 +22,7 @@ from .range_coder import pack_block, unpack_block
 from .tokens import encoder
 
 #: Ids of a block, unless one document has more.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 _BLOCKS = "file int, block int, first bigint, n_tokens bigint, data binary"
 _COUNT = struct.Struct("<QI")
 
