@@ -18,6 +18,11 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 JOBS = [
     "resolve_books",
     "isbn_resolve",
+    "books_by_isbn",
+    "search_books",
+    "search_books_source_order",
+    "score_join",
+    "source_records",
     "enrich",
     "bibliography_to_books",
     "keyword_filter",
@@ -59,8 +64,10 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
     clues = views.clue_rows(spark, SF_DIR).count()
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").count()
+    pairs = queries["score_join"](spark, SF_DIR).count()
     rates = {
         "clues_per_sec": round(clues / times["resolve_books"], 1),
+        "pairs_per_sec": round(pairs / times["score_join"], 1),
         "pages_per_sec": round(pages / times["extract_detail"], 1),
     }
     print(

@@ -14,6 +14,7 @@ from ..sources import rulesets
 from ..sources.html import extract
 from ..sources.pages import follow_link
 from ..sources.records import books_from_fields, folder_pages
+from ..storage import materialize
 
 
 def catalog_from_pages(pages: DataFrame, registry: DataFrame, robots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,8 +30,11 @@ def catalog_from_pages(pages: DataFrame, registry: DataFrame, robots: DataFrame)
     reason = F.when(F.col("source_id").isNull(), "no source").when(~F.col("allowed"), "robots.txt")
     checked = routed.withColumn("reason", reason)
     usable = checked.where("reason is null").select("url", "html", "source_id", "page_kind")
-    found = extract(usable, rulesets.rules())
-    rows = valid_rows(media_filter(books_from_fields(found, registry)))
+    # Written, so that pages are parsed once for their books, folders and errors.
+    found = materialize(extract(usable, rulesets.rules()))
+    read = valid_rows(books_from_fields(found, registry))
+    # Lists mix printed and electronic editions; detail pages are of the edition asked for.
+    rows = media_filter(read.where("page_kind = 'list'")).unionByName(read.where("page_kind = 'detail'"))
 
     # Linked pages may lie outside the address of the source that names them.
     seen = robots_join(further, robots).where("allowed").select("url", extract_asin(F.col("html")).alias("asin"))

@@ -397,11 +397,11 @@ def stamp_defaults_q(spark, d):
     return stamp_defaults(books, v.sources(spark)).select(k.alias("k"), "language", "currency", "asin")
 
 
-# --- Scores: every book against the clue of the customer with the same number ---
+# --- Scores: every book against two clues, those of its number and the one before, counted around ---
 
 _PAIRS = """
-pairs AS (SELECT c.clue_id, c.title AS query, c.author AS query_author, b.* FROM clues c JOIN book b
-  ON b.k = c.clue_id OR b.k = c.clue_id + 1),
+pairs AS (SELECT c.clue_id, c.title AS query, c.author AS query_author, b.* FROM (SELECT *, count(*) OVER () AS n FROM clues) c JOIN book b
+  ON b.k % n = c.clue_id % n OR b.k % n = (c.clue_id + 1) % n),
 keyed AS (SELECT *, """ + v.sql_key("query") + " AS q, " + v.sql_key("title") + " AS t, " + v.sql_key("query_author") + """ AS a,
   list_filter(list_transform(string_split(replace(query, '　', ' '), ' '), lambda x: """ + v.sql_key("x") + """), lambda x: x <> '') AS toks,
   list_transform(CASE WHEN authors_text = '' THEN []::VARCHAR[] ELSE string_split(authors_text, '|') END, lambda x: """ + v.sql_key("x") + """) AS au
@@ -420,8 +420,10 @@ def _scored(sql):
 
 def _keyed(spark, d):
     b, c = v.book_rows(spark, d), v.clue_rows(spark, d)
-    near = c.withColumn("k", F.explode(F.array(col("clue_id"), col("clue_id") + 1)))
-    pairs = near.select("clue_id", "k", col("isbn").alias("clue_isbn"), col("title").alias("query"), col("author").alias("query_author")).join(b, "k")
+    n = c.count()
+    near = c.withColumn("place", F.explode(F.array(col("clue_id") % n, (col("clue_id") + 1) % n)))
+    asked = near.select("clue_id", "place", col("isbn").alias("clue_isbn"), col("title").alias("query"), col("author").alias("query_author"))
+    pairs = asked.join(b.withColumn("place", col("k") % n), "place").drop("place")
     authors = F.when(col("authors_text") == "", F.array().cast("array<string>")).otherwise(F.split("authors_text", "[|]"))
     return pairs.select(
         "*",

@@ -366,3 +366,51 @@ def source_records(spark, d):
 
 def _pick_name(names):
     return F.element_at(F.array(*[lit(x) for x in names]), (col("k") % len(names) + 1).cast("int"))
+
+
+# One page per book, in the layout of one of six sources; the last kind leads to a further page.
+@query("catalog_from_pages", v.with_views("""
+SELECT CASE k % 6 WHEN 0 THEN 'saiensu' WHEN 1 THEN 'maruzen-publishing' WHEN 2 THEN 'personal-media' WHEN 3 THEN 'juse-p' WHEN 4 THEN 'cq-publishing' ELSE 'manatee' END AS source_id,
+  CASE k % 6 WHEN 0 THEN 'https://www.saiensu.co.jp/b/' || k WHEN 1 THEN 'https://www.maruzen-publishing.co.jp/book/' || k WHEN 2 THEN 'https://www.personal-media.co.jp/book/' || k
+    WHEN 3 THEN 'https://www.juse-p.co.jp/products/' || k WHEN 4 THEN 'https://cc.cqpub.co.jp/lib/' || k ELSE 'https://book.mynavi.jp/manatee/detail/id=' || k END AS url,
+  p_name AS title, CASE WHEN k % 6 = 1 THEN replace(author1, ' ', '|') || '|' || p_brand WHEN k % 6 IN (3, 4) THEN author1 || '|' || p_brand WHEN k % 6 = 0 THEN author1 ELSE '' END AS authors,
+  CASE WHEN k % 6 IN (2, 3) THEN floor(p_retailprice) END AS price,
+  CASE k % 6 WHEN 1 THEN '2021-0' || (1 + k % 9) || '-11' END AS published_at,
+  CASE WHEN k % 6 = 5 AND k % 4 = 1 THEN 'B' || lpad(k::VARCHAR, 9, '0') END AS asin
+FROM book WHERE NOT (k % 6 = 3 AND starts_with(k::VARCHAR, '1'))
+UNION ALL SELECT 'rejected', 'https://www.juse-p.co.jp/products/' || k, 'robots.txt', '', NULL, NULL, NULL FROM book WHERE k % 6 = 3 AND starts_with(k::VARCHAR, '1')
+UNION ALL SELECT 'rejected', 'https://elsewhere.example.com/' || k, 'no source', '', NULL, NULL, NULL FROM book WHERE k % 10 = 0"""))
+def catalog_from_pages_q(spark, d):
+    from shelfmark.operators.joins import robots_rules
+    from shelfmark.plans.catalog import catalog_from_pages
+
+    k = col("k").cast("string")
+    amount = F.format_number(F.floor("p_retailprice"), 0)
+    kinds = [
+        ("https://www.saiensu.co.jp/b/", "detail", F.concat(lit("<h2 class='mainDetail_bookTitle'>"), col("p_name"),
+            lit("</h2><ul class=mainDetail_authorList><li><a class=link_item>"), col("author1"), lit("</a></ul>"))),
+        ("https://www.maruzen-publishing.co.jp/book/", "detail", F.concat(lit("<title>"), col("p_name"), lit(" | 丸善出版</title><div id=bookData><table><tr><th>著者<td>"), col("author1"),
+            lit("　"), col("p_brand"), lit("<tr><th>出版年月日<td>2021/0"), (1 + col("k") % 9).cast("string"), lit("/11</table></div>"))),
+        ("https://www.personal-media.co.jp/list/", "list", F.concat(lit("<table><tr><th>書名<th>価格<tr><td><a href='/book/"), k, lit("'>"), col("p_name"), lit("</a><td>"), amount, lit("円</table>"))),
+        ("https://www.juse-p.co.jp/products/", "detail", F.concat(lit("<h2 class=c-ttl-02>"), col("p_name"), lit("</h2><div class=product-details><ul><li>A5／99頁<li>"), col("author1"), lit("、"), col("p_brand"),
+            lit("[著]<li>定価 "), amount, lit("円<li>在庫あり</ul></div>"))),
+        ("https://cc.cqpub.co.jp/lib/", "detail", F.concat(lit("<div class=itemTitleWrapper><h2>"), col("p_name"), lit("</h2></div><table summary='商品詳細'><tr><th>著者<td><a>"), col("author1"), lit("</a> <a>"),
+            col("p_brand"), lit("（社）</a></table>"))),
+        ("https://book.mynavi.jp/manatee/detail/id=", "detail", F.concat(lit("<h1 class=title>"), col("p_name"), lit("</h1><a href='https://book.mynavi.jp/ec/products/detail/id="), k, lit("'>more</a>"))),
+    ]
+    rows = v.book_rows(spark, d)
+    own = [rows.where(f"k % 6 = {i}").select(F.concat(lit(root), k).alias("url"), html.alias("html"), lit(kind).alias("page_kind")) for i, (root, kind, html) in enumerate(kinds)]
+    further = rows.where("k % 6 = 5 and k % 4 = 1").select(
+        F.concat(lit("https://book.mynavi.jp/ec/products/detail/id="), k).alias("url"), F.concat(lit("<a href='https://www.amazon.co.jp/dp/B"), F.lpad(k, 9, "0"), lit("'>k</a>")).alias("html"), lit("linked").alias("page_kind"))
+    strange = rows.where("k % 10 = 0").select(F.concat(lit("https://elsewhere.example.com/"), k).alias("url"), lit("").alias("html"), lit("detail").alias("page_kind"))
+    pages = own[0]
+    for more in [*own[1:], further, strange]:
+        pages = pages.unionByName(more)
+    robots = robots_rules(spark.createDataFrame([("https://www.juse-p.co.jp", "User-agent: *\nDisallow: /products/1")], "origin string, content string"), "librarybot")
+    books, rejected = catalog_from_pages(pages, v.sources(spark), robots)
+    none = lit(None)
+    return books.select(
+        "source_id", "url", "title", F.array_join("authors", "|").alias("authors"), col("price").cast("double").alias("price"),
+        col("published_at").cast("string").alias("published_at"), "asin",
+    ).unionByName(rejected.select(
+        lit("rejected").alias("source_id"), "url", col("reason").alias("title"), lit("").alias("authors"), none.cast("double").alias("price"), none.cast("string").alias("published_at"), none.cast("string").alias("asin")))
