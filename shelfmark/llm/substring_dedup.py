@@ -33,7 +33,7 @@ STEP = 1 << 20
 #: brought together one by one instead.
 SORTED, CROWD = 20_000, 20_000
 #: Rows of one batch that share a context from which on most of them need not meet the others.
-HOT = 16
+HOT = 8
 _LAST = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -86,6 +86,13 @@ def anchors(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, n
         yield place + base, h[anchor], context
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts, so that few are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
@@ -104,7 +111,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 512):
             doc, tag = _ids(b)
             own, places, keys, contexts = [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
@@ -177,7 +184,7 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 128):
             for doc, tag, text, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
                 low = [max(0, m["at"] - reach) for m in marks]
                 yield _batch(_TEXTS, [m["key"] for m in marks], [doc] * len(marks), [tag] * len(marks), [m["at"] for m in marks], [m["at"] - x for m, x in zip(marks, low)], [text[x : m["at"] + length] for m, x in zip(marks, low)])
@@ -286,8 +293,8 @@ def spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     reach = length - gram
     whole = met.where("covered = 1").select("doc", "tag", F.greatest(F.lit(0), F.col("at") - reach).cast("int").alias("start"), (F.col("at") + length).cast("int").alias("end"))
     marks = met.where("covered = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "at")).alias("marks"))
-    contexts = materialize(_contexts(long.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks"), length, gram))
-    crowds = materialize(contexts.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    contexts = _contexts(long.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks"), length, gram)
+    crowds = materialize(met.where("covered = 0").groupBy("key").count().where(F.col("count") > CROWD).select("key"))
     found = whole
     if crowds.isEmpty():
         found = found.unionByName(_sort(contexts, length, gram))
@@ -318,7 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *T._parse_datatype_string("n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 128):
             out = []
             for body, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 merged: list[list[int]] = []
