@@ -53,11 +53,14 @@ def _decode(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
 def decode_bodies(df: DataFrame) -> DataFrame:
     """`df(url, body, content_type)` with `html`: gunzipped if packed, decoded by its charset.
 
-    A charset that is missing or unknown counts as UTF-8; a broken gzip body gives null.
+    A charset that is missing or unknown counts as UTF-8; a broken gzip body gives null and says so in
+    `error`, which is null for all other rows.
     """
     decode = F.pandas_udf(_decode, "string")
     charset = empty_to_null(F.lower(F.regexp_extract(F.coalesce("content_type", F.lit("")), CHARSET, 1)))
-    return df.withColumn("html", decode("body", charset)).drop("body", "content_type")
+    broken = F.col("body").isNotNull() & F.col("html").isNull()
+    decoded = df.withColumn("html", decode("body", charset))
+    return decoded.withColumn("error", F.when(broken, "broken gzip body")).drop("body", "content_type")
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:

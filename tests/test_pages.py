@@ -82,3 +82,9 @@ def test_meta_tags_of_untidy_markup(spark):
     page = """<meta name=author content=Ann><!-- <meta name="no" content="x"> --><meta content='a &amp; "b" > c' property="og:title"><title>T</title>"""
     row = spark.createDataFrame([(page,)], "html string").select(pages.meta_tags(F.col("html")).alias("m")).first()
     assert row.m == {"title": "T", "author": "Ann", "og:title": 'a & "b" > c'}
+
+
+def test_broken_bodies_are_named(spark):
+    rows = [(1, "é".encode("latin-1"), "text/html; charset=latin-1"), (2, b"\x1f\x8bnot gzip", None), (3, None, None), (4, "é".encode(), "text/html; charset=unknown")]
+    got = pages.decode_bodies(spark.createDataFrame(rows, "id int, body binary, content_type string")).collect()
+    assert sorted((r.id, r.html, r.error) for r in got) == [(1, "é", None), (2, None, "broken gzip body"), (3, None, None), (4, "é", None)]
