@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; then it starts afresh.
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: Bytes of the pieces that are found by array operations; longer ones are looked up one by one.
 WIDTH = 24
 
