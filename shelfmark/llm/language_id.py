@@ -65,14 +65,20 @@ def sample(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: st
     """Labelled documents for `train`: whole texts, of every language those with the smallest hashes.
 
     About SAMPLE_DOCUMENTS of a language, fewer where the texts of all would be longer than
-    SAMPLE_CHARS; documents are taken or left by their hash, so no group is sorted.
+    SAMPLE_CHARS: languages below an equal part of them keep all, the others divide what is left.
+    Documents are taken or left by their hash, so no group is sorted.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).collect()
     shares = {r[0]: min(1.0, SAMPLE_DOCUMENTS / r.n) for r in sizes}
-    fits = min(1.0, SAMPLE_CHARS / max(1.0, sum(r.chars * shares[r[0]] for r in sizes)))
+    left = float(SAMPLE_CHARS)
+    for i, r in enumerate(sorted(sizes, key=lambda r: r.chars * shares[r[0]])):
+        wanted = r.chars * shares[r[0]]
+        fits = min(1.0, left / (len(sizes) - i) / max(1.0, wanted))
+        shares[r[0]] *= fits
+        left -= wanted * fits
     # One entry for each language that the model will have.
-    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v * fits)]) if shares else F.create_map(F.lit(""), F.lit(0.0))
+    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)]) if shares else F.create_map(F.lit(""), F.lit(0.0))
     place = F.pmod(F.xxhash64(id_col, text), F.lit(1 << 30)) / float(1 << 30)
     return known.where(place < share[F.col(lang)]).select(lang, text)
 

@@ -74,3 +74,11 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op4_language_id"](spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     right, every = got.where("lang = lang_pred").count(), got.count()
     assert every > 30 and right >= 0.95 * every
+
+
+def test_long_texts_leave_a_small_language_its_documents(spark):
+    long = spark.range(400).selectExpr("id AS doc_id", "repeat('long words ', 9000) AS text", "'a' AS lang")
+    few = spark.range(1000, 1020).selectExpr("id AS doc_id", "concat('kurze worte ', id) AS text", "'b' AS lang")
+    taken = {r.lang: (r.n, r.chars) for r in li.sample(long.unionByName(few)).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    assert taken["b"][0] == 20
+    assert 0.5 * li.SAMPLE_CHARS < taken["a"][1] < 1.5 * li.SAMPLE_CHARS
