@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host, origin, path_and_query
+from ..storage import materialize
 from .ranking import first_match
 
 
@@ -97,29 +98,41 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     )
 
 
-def robots_join(urls: DataFrame, rules: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+#: URLs of one origin that meet its rules in one task, and parts that URLs without origin are dealt to.
+SPLIT, LOST = 100_000, 1_000
+
+
+def robots_join(urls: DataFrame, rules: DataFrame, registry: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
     """`urls(url, …)` with `allowed`: longest matching path decides, ties go to the earlier rule.
 
     URLs without a rules file or a matching rule are allowed. Rules are folded to one row per
     origin, which is no more than the one file they came from, so that each URL meets one row.
-    With `registry` only the origins of registered sources count; those few are broadcast.
+    With `registry` only the origins of registered sources count; those few are broadcast. Without
+    it, origins are counted first: the URLs of one with more than `split` of them are dealt to parts,
+    and its rules copied to each.
     """
-    per_origin = rules.groupBy("origin").agg(
+    per_origin = rules.groupBy(F.col("origin").alias("__origin")).agg(
         F.array_sort(
             F.collect_list(F.struct((-F.length("path")).alias("n"), "ordinal", "path", "allow"))
         ).alias("__rules")
     )
-    if registry is not None:
-        known = registry.select(origin(F.col("base_url")).alias("origin")).distinct()
-        per_origin = F.broadcast(per_origin.join(F.broadcast(known), "origin", "left_semi"))
+    located = urls.withColumn("__origin", origin(F.col("url"))).withColumn("__path", path_and_query(F.col("url")))
     first = F.get(F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(0))
-    return (
-        urls.withColumn("__origin", origin(F.col("url")))
-        .withColumn("__path", path_and_query(F.col("url")))
-        .join(per_origin.withColumnRenamed("origin", "__origin"), "__origin", "left")
-        .withColumn("allowed", F.coalesce(first["allow"], F.lit(True)))
-        .drop("__origin", "__path", "__rules")
-    )
+    if registry is not None:
+        known = registry.select(origin(F.col("base_url")).alias("__origin")).distinct()
+        met = located.join(F.broadcast(per_origin.join(F.broadcast(known), "__origin", "left_semi")), "__origin", "left")
+    else:
+        counted = located.groupBy("__origin").count().where(F.col("count") > split)
+        # Fewer rows than all URLs divided by `split`.
+        crowded = materialize(counted.join(per_origin, "__origin", "left_semi").select("__origin", F.ceil(F.col("count") / split).cast("int").alias("__of")))
+        of, own = F.coalesce("__of", F.lit(1)), F.xxhash64(F.monotonically_increasing_id())
+        part = F.when(F.col("__origin").isNull(), F.pmod(own, F.lit(LOST))).otherwise(F.pmod(own, of)).cast("int")
+        dealt = located.join(F.broadcast(crowded), "__origin", "left").withColumn("__part", part).drop("__of")
+        copied = per_origin.join(F.broadcast(crowded), "__origin", "left").select(
+            "__origin", "__rules", F.explode(F.sequence(F.lit(0), of - 1)).alias("__part")
+        )
+        met = dealt.join(copied, ["__origin", "__part"], "left").drop("__part")
+    return met.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("__origin", "__path", "__rules")
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, registry: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,14 @@
 """The few best books per query, without scoring every pair that shares a common word.
 
-Tokens of a query are taken from the rarest to the most common, as their rarest n-gram tells. The
-books found under the first token (and under the author) give a score the k-th best book has at
-least. A book that contains none of the first tokens can only match the rest, which bounds its
-score; common tokens whose bound stays below the k-th best score of every query that has them are
-never paired with titles. Ties are kept, so the result is exactly that of scoring all pairs.
+A title score counts the query's tokens in a title. The books that hold both of a query's two rarest
+tokens are scored first; the `k`-th best of them is a bound for every group (a source, or all books).
+A book that holds at most one of a query's first tokens can match that one and the later ones, so
+pairs of tokens are followed, rarest first, only as far as this reaches the bound: an equi-join on
+both tokens. A book that holds one single token cannot go before the first books, in the order that
+breaks ties, which hold it: `k` of them are kept for every token and group once, for all queries, and
+looked at only where one token alone reaches the bound. Books of a matching author are found in the
+same way: all that hold a token of the query, and the first `k` of the author. Ties are kept, so the
+result is exactly that of scoring all pairs.
 """
 
 from __future__ import annotations
@@ -15,158 +19,205 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import match_key, token_keys
 from ..storage import materialize
-from .ranking import top_per_group
-from .score_join import author_scores, pairs_under, rarest_grams
+from .score_join import author_scores, contained_pairs
 
-ORDER = ["minor", "ordinal", "position"]
+FORM = ["query_title", "query_author", "publisher_id"]
+#: With more tokens, rounded scores of different numbers of tokens may be equal: such queries are
+#: scored against every title that holds one of them.
+LONG = 400
+EVERY = "*"
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    """Best k books of each form; a book found on two ways counts once, with its better score."""
-    keys = ["form_id", "source_id", *ORDER]
-    once = scored.groupBy(*keys).agg(F.max("match_score").alias("match_score"))
-    order = [F.col("match_score").desc(), *[F.col(c) for c in ORDER]]
-    return top_per_group(once, ["form_id"], order, F.lit(k), cap=k)
+def _lists(shelf: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first `k` rows of each group, and their number in it."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return shelf.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 
 
-def _mean(title: Column, author: Column) -> Column:
-    mean = scoring.mean_score(
-        title, author, F.col("query_title").isNotNull(), F.col("query_author").isNotNull()
-    )
-    return scoring.round3(mean)
-
-
-def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: int) -> DataFrame:
-    """(query columns, source_id, position, match_score, rank): the best `k` books per query.
+def best_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, per_source: bool) -> DataFrame:
+    """(query columns, source_id, position, match_score, rank): the best books per query.
 
-    `queries(query_title, query_author, publisher_id)` must be distinct;
-    `books(source_id, position, title_key, author_keys)`. Order as in `ranking.score_order`.
+    `queries(query_title, query_author, publisher_id, limit)` must be distinct but for the limit;
+    `books(source_id, position, title_key, author_keys)`. With `per_source` the best `limit` books of
+    every source, ranked within it by score and position, else the best `limit` of all sources, ranked
+    as in `ranking.score_order`. Books with a score of 0 are no hits; a query without parts has none.
     """
-    small = registry.select(
-        "source_id", (F.coalesce(F.col("scale"), F.lit("")) == "minor").alias("minor"), "ordinal"
-    )
-    placed = books.join(F.broadcast(small), "source_id")
+    small = registry.select("source_id", (F.coalesce(F.col("scale"), F.lit("")) == "minor").alias("minor"), "ordinal")
     forms = materialize(
-        queries.select(
+        queries.where("limit > 0").select(
             F.monotonically_increasing_id().alias("form_id"),
-            "query_title",
-            "query_author",
-            "publisher_id",
+            *FORM,
+            F.col("limit").cast("int").alias("k"),
             match_key(F.col("query_title")).alias("query_key"),
             token_keys(F.col("query_title")).alias("tokens"),
         )
     )
-    titled = forms.where("query_key != ''")
-
-    texts = titled.groupBy("query_title").agg(F.first("tokens").alias("tokens"))
-    needles = (
-        texts.select("query_title", F.size("tokens").alias("total"), F.explode("tokens").alias("needle"))
-        .groupBy("query_title", "total", "needle")
-        .agg(F.count("*").alias("times"))
+    most = forms.agg(F.max("k")).first()[0] or 1
+    order = ["position"] if per_source else ["minor", "ordinal", "position"]
+    placed = books.join(F.broadcast(small), "source_id").select("source_id", *order, "title_key", "author_keys")
+    by_grp = _grouped(placed, forms, per_source)
+    book = ["source_id", *order]
+
+    # Queries with equal titles share everything but the author.
+    texts = forms.where("query_key != ''").groupBy("query_title").agg(
+        F.min("form_id").alias("text_id"), F.first("query_key").alias("query_key"), F.first("tokens").alias("tokens")
     )
-    shelf = books.where("title_key != ''").select(F.col("title_key").alias("haystack")).distinct()
-    rarest = materialize(rarest_grams(needles.select("needle").distinct(), shelf))
-    # Tokens of each query text, rarest first; `left` is what the token and the later ones can match.
-    rarity = Window.partitionBy("query_title").orderBy("df", "needle")
-    ordered = materialize(
-        needles.join(rarest.select("needle", "df"), "needle")
-        .withColumn("nth", F.row_number().over(rarity))
-        .withColumn("left", F.sum("times").over(rarity.rowsBetween(0, Window.unboundedFollowing)))
-        .select("query_title", "needle", "total", "nth", "left")
+    tokens = materialize(
+        texts.select("query_title", "text_id", "query_key", F.size("tokens").alias("total"), F.explode("tokens").alias("needle"))
+        .groupBy("query_title", "text_id", "query_key", "total", "needle")
+        .agg(F.count("*").cast("int").alias("times"))
     )
+    titles = placed.where("title_key != ''").select(F.col("title_key").alias("haystack")).distinct()
+    postings = materialize(contained_pairs(tokens.select("needle").distinct(), titles).withColumnRenamed("haystack", "title_key"))
+
+    units, parts = _units(forms, tokens, placed, per_source)
+    groups = [r.source_id for r in registry.select("source_id").collect()]
+    plain = _by_title(units.where("author_key = ''"), tokens, postings, by_grp, order, most, groups)
+    named = _by_author(units.where("author_key != ''"), tokens, postings, by_grp, order, most)
+    found = plain.unionByName(named)
+
+    mean = scoring.mean_score(F.col("title_score"), F.col("author_score"), F.col("has_title"), F.col("has_author"))
+    scored = parts.join(found, "unit_id").where("nth <= k").withColumn("match_score", scoring.round3(mean)).where("match_score > 0")
+    # A query without author has one list, in order already; others merge several.
+    single = scored.where("not has_author").withColumn("rank", F.col("nth"))
+    several = scored.where("has_author").groupBy("form_id", "grp", *book, "k").agg(F.max("match_score").alias("match_score"))
+    w = Window.partitionBy("form_id", "grp").orderBy(F.col("match_score").desc(), *order)
+    several = several.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).where("rank <= k")
+    cols = ["form_id", "source_id", "position", "match_score", "rank"]
+    hits = single.select(*cols).unionByName(several.select(*cols))
+    return hits.join(forms.select("form_id", *FORM), "form_id").select(*FORM, "source_id", "position", "match_score", "rank")
 
-    def titles_of(tokens: DataFrame) -> DataFrame:
-        """(needle, title_key) of all titles that hold one of the tokens."""
-        asked = rarest.join(tokens.select("needle").distinct(), "needle", "left_semi")
-        return pairs_under(asked, shelf).withColumnRenamed("haystack", "title_key")
-
-    # Books with equal titles score equally: the first k of each title are enough, per source for
-    # queries that name one. A book whose author matches too comes in through the author.
-    flat = placed.select("source_id", *ORDER, "title_key").where("title_key != ''")
-    by_order = [F.col(c) for c in ORDER]
-    any_source = materialize(top_per_group(flat, ["title_key"], by_order, F.lit(k), cap=k))
-    one_source = materialize(
-        top_per_group(flat, ["title_key", "source_id"], by_order, F.lit(k), cap=k)
-    )
 
-    def by_title(pairs: DataFrame) -> DataFrame:
-        """Scored books of (form_id, title_key) pairs."""
-        score = scoring.title_match_score(F.col("query_key"), F.col("tokens"), F.col("title_key"))
-        scored = pairs.join(titled, "form_id").withColumn(
-            "match_score", _mean(score, F.lit(0.0))
-        ).select("form_id", "publisher_id", "title_key", "match_score")
-        # Per form only the best k titles can hold the best k books. With a source named, a title
-        # may have no book there, so all of them go on.
-        free = _best_titles(scored.where("publisher_id is null"), any_source, k)
-        bound = scored.where("publisher_id is not null").join(
-            one_source.withColumnRenamed("source_id", "publisher_id"), ["title_key", "publisher_id"]
-        ).withColumn("source_id", F.col("publisher_id"))
-        cols = ["form_id", "source_id", *ORDER, "match_score"]
-        return free.select(*cols).unionByName(bound.select(*cols))
-
-    lead = ordered.where("nth = 1")
-    first = by_title(
-        titled.select("form_id", "query_title").join(lead, "query_title")
-        .join(titles_of(lead), "needle").select("form_id", "title_key")
-    )
-    best = materialize(_top(first.unionByName(_by_author(forms, placed, k)), k))
+def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: int) -> DataFrame:
+    """(query columns, source_id, position, match_score, rank): the best `k` books per query of all sources."""
+    return best_hits(queries.withColumn("limit", F.lit(k)), books, registry, per_source=False)
 
-    floor = best.groupBy("form_id").agg(
-        F.when(F.count("*") >= k, F.min("match_score")).otherwise(F.lit(0.0)).alias("floor")
-    )
-    # A missing part of the query's tokens limits what the later ones can add up to.
-    reach = _mean(scoring.token_score(F.col("left"), F.col("total")), F.lit(0.0))
-    open_ = materialize(
-        titled.join(floor, "form_id", "left")
-        .join(ordered.where("nth > 1"), "query_title")
-        .where(reach >= F.coalesce(F.col("floor"), F.lit(0.0)))
-        .select("form_id", "needle")
-    )
-    more = open_.join(titles_of(open_), "needle").select("form_id", "title_key").distinct()
-    final = _top(best.unionByName(by_title(more)), k)
-    rank = Window.partitionBy("form_id").orderBy(F.col("match_score").desc(), *by_order)
-    return (
-        final.where("match_score > 0")
-        .withColumn("rank", F.row_number().over(rank))
-        .join(forms.select("form_id", "query_title", "query_author", "publisher_id"), "form_id")
-        .select("query_title", "query_author", "publisher_id", "source_id", "position", "match_score", "rank")
-    )
 
+def _grouped(placed: DataFrame, forms: DataFrame, per_source: bool) -> DataFrame:
+    """Books with the group they compete in: their source, or all books; sources that a query names as well."""
+    own = placed.withColumn("grp", F.col("source_id"))
+    if per_source:
+        return own
+    asked = forms.where("publisher_id is not null").select(F.col("publisher_id").alias("grp")).distinct()
+    return placed.withColumn("grp", F.lit(EVERY)).unionByName(own.join(asked, "grp", "left_semi").select(*placed.columns, "grp"))
 
-def _best_titles(scored: DataFrame, shelf: DataFrame, k: int) -> DataFrame:
-    """Books of the titles that can hold the best k books of a form.
 
-    Titles compete through their first book, so a title beaten by k others is out.
+def _units(forms: DataFrame, tokens: DataFrame, placed: DataFrame, per_source: bool) -> tuple[DataFrame, DataFrame]:
+    """Lists that queries are made of, each needed once, and which of them a query takes.
+
+    A unit is a query title (or none), a group, and an author of books (or none).
     """
-    lead = shelf.withColumn("place", F.struct(*ORDER)).groupBy("title_key").agg(F.min("place").alias("place"))
-    kept = top_per_group(
-        scored.join(lead, "title_key"),
-        ["form_id"],
-        [F.col("match_score").desc(), F.col("place").asc()],
-        F.lit(k),
-        cap=k,
-    )
-    return kept.select("form_id", "title_key", "match_score").join(shelf, "title_key")
+    ids = tokens.select("query_title", "text_id").distinct()
+    scope = F.coalesce("publisher_id", F.lit("" if per_source else EVERY)).alias("scope")
+    flags = [F.col("query_title").isNotNull().alias("has_title"), F.col("query_author").isNotNull().alias("has_author")]
+    known = forms.join(ids, "query_title", "left").select("form_id", "query_author", scope, "k", F.coalesce("text_id", F.lit(-1)).alias("text_id"), *flags)
+    plain = known.where("text_id >= 0").withColumn("author_key", F.lit("")).withColumn("author_score", F.lit(0.0))
+    names = placed.select(F.explode("author_keys").alias("author_key")).where("author_key != ''").distinct()
+    matches = author_scores(known.where("has_author").select("query_author").distinct(), names)
+    named = known.where("has_author").join(matches, "query_author")
+    taken = materialize(plain.unionByName(named.select(*plain.columns)).drop("query_author"))
+    keys = ["text_id", "scope", "author_key"]
+    units = materialize(taken.groupBy(*keys).agg(F.max("k").alias("most")).withColumn("unit_id", F.monotonically_increasing_id()))
+    return units, taken.join(units.drop("most"), keys).drop(*keys)
 
 
-def _by_author(forms: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """Scored books found through the query author, with the title part in their score."""
-    names = placed.select("source_id", *ORDER, "title_key", F.explode("author_keys").alias("author_key")).where(
-        "author_key != ''"
-    )
-    asked = forms.where("query_author is not null")
-    matches = author_scores(
-        asked.select("query_author").distinct(), names.select("author_key").distinct()
+def _title_score() -> Column:
+    return F.when(F.col("query_key") == F.col("title_key"), F.lit(1.0)).otherwise(scoring.token_score(F.col("matched"), F.col("total")))
+
+
+def _scope_of(frame: DataFrame) -> DataFrame:
+    """Rows of the group that the unit asks for: a named source, all books, or every source by itself."""
+    return frame.where((F.col("scope") == "") | (F.col("scope") == F.col("grp")))
+
+
+def _ordered(tokens: DataFrame, postings: DataFrame) -> DataFrame:
+    """Tokens of each text, rarest first, with what a text can still match.
+
+    `reach`: most tokens of a title that holds at most one token before this one; `single`: of a title
+    that holds only one token.
+    """
+    rarity = postings.groupBy("needle").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("text_id").orderBy("df", "needle")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    after = w.rowsBetween(0, Window.unboundedFollowing)
+    return tokens.join(rarity, "needle").select(
+        "*",
+        F.row_number().over(w).alias("nth"),
+        (F.coalesce(F.max("times").over(before), F.lit(0)) + F.sum("times").over(after)).alias("reach"),
+        F.max("times").over(Window.partitionBy("text_id")).alias("single"),
     )
-    scored = asked.join(matches, "query_author")
-    # Without a title all books of one author score equally: the first k per source are enough.
-    firsts = top_per_group(names, ["author_key", "source_id"], [F.col(c) for c in ORDER], F.lit(k), cap=k)
-    alone = scored.where("query_title is null").join(firsts, "author_key")
-    both = scored.where("query_title is not null").join(names, "author_key")
-    title = scoring.title_match_score(F.col("query_key"), F.col("tokens"), F.col("title_key"))
-    return (
-        alone.unionByName(both)
-        .where(F.col("publisher_id").isNull() | (F.col("publisher_id") == F.col("source_id")))
-        .withColumn("match_score", _mean(title, F.col("author_score")))
-        .select("form_id", "source_id", *ORDER, "match_score")
+
+
+def _by_title(units: DataFrame, tokens: DataFrame, postings: DataFrame, shelf: DataFrame, order: list[str], most: int, groups: list[str]) -> DataFrame:
+    """(unit_id, grp, book, title_score, nth) of books by their titles alone."""
+    book = ["source_id", *order]
+    ordered = materialize(_ordered(tokens, postings))
+    short = ordered.where(F.col("total") <= LONG)
+    # Pairs of tokens that some query has, and the titles that hold both.
+    a = short.select("text_id", F.col("needle").alias("x"), F.col("nth").alias("first"))
+    b = short.select("text_id", F.col("needle").alias("y"), "nth", "reach", "total")
+    pairs = a.join(b, "text_id").where("first < nth").select("text_id", "nth", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "reach", "total")
+    both = (
+        postings.select("title_key", F.col("needle").alias("x"))
+        .join(postings.select("title_key", F.col("needle").alias("y")), "title_key")
+        .where("x < y")
+        .join(pairs.select("x", "y").distinct(), ["x", "y"])
     )
+    # Books of one title and group score equally: the first of them are enough.
+    firsts = materialize(_lists(shelf.where("title_key != ''"), ["title_key", "grp"], order, most).drop("nth", "author_keys"))
+    held = materialize(both.join(firsts, "title_key"))
+    every = F.when(F.col("scope") == "", F.array(*[F.lit(g) for g in groups])).otherwise(F.array("scope"))
+    asked = units.select("unit_id", "text_id", "most", F.explode(every).alias("grp"))
+    texts = tokens.select("text_id", "query_key", "total").distinct()
+    words = tokens.groupBy("text_id").agg(F.collect_list(F.struct("needle", "times")).alias("words"))
+
+    def scored(found: DataFrame) -> DataFrame:
+        """Books (unit_id, text_id, grp, book, title_key, most) with their whole title score, each once."""
+        once = found.groupBy("unit_id", "grp", *book).agg(*[F.first(c).alias(c) for c in ("text_id", "title_key", "most")])
+        inside = F.filter("words", lambda w: F.contains(F.col("title_key"), w["needle"]))
+        matched = F.aggregate(inside, F.lit(0), lambda n, w: n + w["times"])
+        full = once.join(words, "text_id").join(texts, "text_id").withColumn("matched", matched)
+        return full.select("unit_id", "grp", *book, _title_score().alias("title_score"), "most")
+
+    cols = ["unit_id", "text_id", "grp", *book, "title_key", "most"]
+    equal = asked.join(texts, "text_id").join(firsts, (F.col("query_key") == F.col("title_key")) & (asked["grp"] == firsts["grp"]))
+    equal = equal.drop(firsts["grp"]).select(*cols)
+    lead = asked.join(pairs.where("nth = 2"), "text_id").join(held, ["x", "y", "grp"]).select(*cols)
+    w = Window.partitionBy("unit_id", "grp").orderBy(F.col("title_score").desc(), *order)
+
+    def best(found: DataFrame) -> DataFrame:
+        dealt = found.repartition("unit_id", "grp").groupBy("unit_id", "grp", *book).agg(F.max("title_score").alias("title_score"), F.first("most").alias("most"))
+        return dealt.withColumn("nth", F.row_number().over(w)).where("nth <= most")
+
+    first = materialize(best(scored(lead.unionByName(equal))))
+    bounds = first.where("nth = most").select("unit_id", "grp", F.col("title_score").alias("bound"))
+    open_ = asked.join(bounds, ["unit_id", "grp"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    reached = scoring.token_score(F.col("reach"), F.col("total")) >= F.col("bound")
+    more = open_.join(pairs.where("nth > 2"), "text_id").where(reached).select("unit_id", "text_id", "grp", "most", "x", "y")
+    more = more.join(held, ["x", "y", "grp"]).select(*cols)
+    lists = _lists(postings.join(firsts, "title_key"), ["needle", "grp"], order, most).withColumnRenamed("nth", "place")
+    alone = open_.join(short, "text_id").where(scoring.token_score(F.col("single"), F.col("total")) >= F.col("bound"))
+    alone = alone.join(lists, ["needle", "grp"]).where("place <= most").withColumnRenamed("times", "matched")
+    alone = alone.select("unit_id", "grp", *book, _title_score().alias("title_score"), "most")
+    long = asked.join(ordered.where(F.col("total") > LONG), "text_id").join(postings, "needle").join(firsts, ["title_key", "grp"]).select(*cols)
+    rest = scored(more.unionByName(long)).unionByName(alone)
+    return best(first.drop("nth").unionByName(rest)).drop("most")
+
+
+def _by_author(units: DataFrame, tokens: DataFrame, postings: DataFrame, shelf: DataFrame, order: list[str], most: int) -> DataFrame:
+    """(unit_id, grp, book, title_score, nth) of books of one author."""
+    book = ["source_id", *order]
+    asked_names = units.select("author_key").distinct()
+    named = shelf.withColumn("author_key", F.explode(F.array_distinct("author_keys"))).drop("author_keys").join(asked_names, "author_key", "left_semi")
+    held = named.where("title_key != ''").join(postings, "title_key")
+    texts = tokens.select("text_id", "query_key", "total", "needle", "times")
+    with_title = _scope_of(units.join(texts, "text_id").join(held, ["author_key", "needle"]))
+    matched = with_title.groupBy("unit_id", "grp", *book, "title_key", "query_key", "total", "most").agg(F.sum("times").cast("int").alias("matched"))
+    matched = matched.select("unit_id", "grp", *book, _title_score().alias("title_score"), "most")
+    # Books that hold no token score equally: the first of the author are enough.
+    lists = _lists(named, ["author_key", "grp"], order, most).withColumnRenamed("nth", "place").drop("title_key")
+    rest = _scope_of(units.join(lists, "author_key").where("place <= most")).select("unit_id", "grp", *book, F.lit(0.0).alias("title_score"), "most")
+    merged = matched.unionByName(rest).repartition("unit_id", "grp")
+    once = merged.groupBy("unit_id", "grp", *book).agg(F.max("title_score").alias("title_score"), F.first("most").alias("most"))
+    w = Window.partitionBy("unit_id", "grp").orderBy(F.col("title_score").desc(), *order)
+    return once.withColumn("nth", F.row_number().over(w)).where("nth <= most").drop("most")

@@ -11,7 +11,7 @@ from ..operators.enrich import enrich, stamp_defaults, with_distinct_authors
 from ..operators.filters import relevance_filter
 from ..operators.keyword_join import keyword_filter, token_and_filter
 from ..operators.ranking import DEFAULT_LIMIT, rank_by_score, top_per_group
-from ..operators.score_join import score_join
+from ..operators.top_matches import best_hits
 from ..storage import materialize
 
 # How local catalogs are searched, and rows that a source gives at most.
@@ -55,45 +55,17 @@ def _largest(forms: DataFrame) -> int:
 def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
     """(query_id, rank, source_id, position, match_score): the best rows per query and source.
 
-    Queries that ask for the same are scored once. Rows of one source with equal title and
-    authors score equally, and the source order decides among them, so only the first
-    rows of each such group, as many as the largest limit asked for, can ever be returned: the
-    rest leave before the join.
+    Queries that ask for the same are scored once, as many rows as the largest of them wants.
     """
     forms = materialize(query_forms(queries))
-    most = _largest(forms)
     distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
-    candidates = top_per_group(
-        books.select("source_id", "position", "title_key", "author_keys"),
-        ["source_id", "title_key", "author_keys"],
-        [F.col("position")],
-        F.lit(most),
-        cap=most,
+    best = best_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FORM]
+    # The registry breaks ties between sources only, after each source was cut.
+    cut = best.alias("b").join(forms.alias("f"), same).where("b.rank <= f.limit").select(
+        "f.query_id", "b.source_id", "b.position", "b.match_score"
     )
-    scored = score_join(distinct.select(*FORM), candidates)
     small = registry.select("source_id", "scale", "ordinal")
-    # Per query and source the order is by score and position; the registry only breaks ties
-    # between sources, after the cut.
-    best = top_per_group(
-        scored, [*FORM, "source_id"], [F.col("match_score").desc(), F.col("position")], F.lit(most), cap=most
-    )
-    asked = forms.alias("f")
-    hits = best.alias("b")
-    cond = (
-        F.col("f.query_title").eqNullSafe(F.col("b.query_title"))
-        & F.col("f.query_author").eqNullSafe(F.col("b.query_author"))
-        & F.col("f.publisher_id").eqNullSafe(F.col("b.publisher_id"))
-    )
-    per_query = hits.join(asked, cond).select(
-        "f.query_id", "f.limit", "b.source_id", "b.position", "b.match_score"
-    )
-    cut = top_per_group(
-        per_query,
-        ["query_id", "source_id"],
-        [F.col("match_score").desc(), F.col("position")],
-        F.col("limit"),
-        cap=most,
-    ).drop("limit")
     return rank_by_score(cut.join(F.broadcast(small), "source_id"), "query_id").select(
         "query_id", "rank", "source_id", "position", "match_score"
     )

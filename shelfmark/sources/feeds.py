@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.people import split_authors
 from ..functions.text import empty_to_null, strip_html, trim_blanks
-from ..functions.urls import force_https, resolve_url
-from ..schemas import EDGES, INDEX, KEYED_CATALOG, VOLUMES
+from ..functions.urls import force_https, host, resolve_url
+from ..schemas import EDGES, INDEX, KEYED_CATALOG, VOLUMES, as_books
 
 KEYED_BASE = "https://gihyo.jp"
 INDEX_BASE = "https://pragprog.com"
@@ -131,3 +131,33 @@ def flatten_edges(feed: DataFrame, body: str = "body", limit: Column | None = No
         F.substring(p["firstPublishedAt"], 1, 10).try_cast("date").alias("published_at"),
         _own_store("技術書典", "free", url).alias("ebook_stores"),
     )
+
+
+#: How the feed of each source is read.
+READERS = {"gihyo": explode_keyed_catalog, "google-books": read_volumes, "pragprog": read_index, "techbookfest": flatten_edges}
+# Hosts that serve a source's feed outside its own address.
+FEED_HOSTS = {"www.googleapis.com": "google-books"}
+
+
+def feed_source(url: Column, source: Column) -> Column:
+    """The source of a feed's URL: that of its address, or that which its host serves."""
+    hosts = F.create_map(*[F.lit(x) for kv in FEED_HOSTS.items() for x in kv])
+    return F.coalesce(source, F.try_element_at(hosts, host(url)))
+
+
+def read_feeds(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Book rows of `feeds(url, html, source_id)`, bodies of any source, and (url, reason) of the others.
+
+    Rows are keyed by `page_url`, have the page kind `feed`, and name in `more_url` the page that
+    completes them. A body that is no JSON, and a source without a reader, is told as unread.
+    """
+    known = F.col("source_id").isin(*READERS)
+    good = known & F.get_json_object("html", "$").isNotNull()
+    unread = feeds.where(~F.coalesce(good, F.lit(False))).select("url", F.lit("unread feed").alias("reason"))
+    books = None
+    for source, read in READERS.items():
+        own = feeds.where(good & (F.col("source_id") == source)).select(F.col("url").alias("page_url"), F.col("html").alias("body"))
+        rows = read(own).withColumn("page_kind", F.lit("feed")).withColumn("more_url", F.col("url") if source == "gihyo" else F.lit(None).cast("string"))
+        rows = as_books(rows, "page_url", "page_kind", "more_url")
+        books = rows if books is None else books.unionByName(rows)
+    return books, unread

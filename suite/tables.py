@@ -360,11 +360,12 @@ def partial_results(spark, d):
     return good.select("event_id", lit("row").alias("kind")).unionByName(bad.select("event_id", lit("error").alias("kind")))
 
 
-# --- Windows and set operations: ten books around each customer's number, with a score ---
+# --- Windows and set operations: the books at the ten places around each customer's number, with a score ---
 
 _NEAR_SQL = f"""
 near AS (SELECT c_custkey AS clue_id, b.k, b.source_id, s.ordinal, s.scale, ((c_custkey * 7 + b.k * 3) % 11)::DOUBLE / 10::DOUBLE AS match_score
-  FROM customer JOIN book b ON b.k >= c_custkey AND b.k < c_custkey + 10 AND b.k <> c_custkey + c_custkey % 9 JOIN sources s USING (source_id)),
+  FROM (SELECT c_custkey, unnest(range(10)) AS o FROM customer) JOIN book b ON b.k % (SELECT count(*) FROM customer) = (c_custkey + o) % (SELECT count(*) FROM customer)
+    AND b.k <> c_custkey + c_custkey % 9 JOIN sources s USING (source_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY match_score DESC, coalesce(scale, '') = 'minor', ordinal, k) AS rank FROM near),
 pair AS (SELECT *, lead(match_score) OVER (PARTITION BY clue_id ORDER BY rank) AS second FROM ranked)"""
 _NEAR_VIEWS = (SOURCES_SQL, _NEAR_SQL)
@@ -372,11 +373,12 @@ _NEAR_VIEWS = (SOURCES_SQL, _NEAR_SQL)
 
 def _near(spark, d):
     c = table(spark, d, "customer").select(col("c_custkey").alias("clue_id"))
-    near = c.withColumn("k", F.explode(F.sequence(col("clue_id"), col("clue_id") + 9))).where("k <> clue_id + clue_id % 9")
-    books = v.book_rows(spark, d).select("k", "source_id")
+    n = c.count()
+    near = c.withColumn("place", F.explode(F.transform(F.sequence(col("clue_id"), col("clue_id") + 9), lambda k: k % n)))
+    books = v.book_rows(spark, d).select("k", "source_id", (col("k") % n).alias("place"))
     small = F.broadcast(v.sources(spark).select("source_id", "ordinal", "scale"))
     score = ((col("clue_id") * 7 + col("k") * 3) % 11).cast("double") / lit(10.0)
-    return near.join(books, "k").join(small, "source_id").withColumn("match_score", score).withColumn("position", col("k"))
+    return near.join(books, "place").where("k <> clue_id + clue_id % 9").drop("place").join(small, "source_id").withColumn("match_score", score).withColumn("position", col("k"))
 
 
 @query("per_source_limit", v.with_views("""

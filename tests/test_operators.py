@@ -2,12 +2,15 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scoring, text
 from shelfmark.operators import joins, ranking
 from shelfmark.operators.enrich import enrich
+from shelfmark.operators import score_join as joined
 from shelfmark.operators.score_join import contained_pairs, score_join
+from shelfmark.operators import top_matches as top
 from shelfmark.operators.top_matches import top_matches
 from shelfmark.plans.search import ranked_hits
 from shelfmark.schemas import as_books
@@ -25,6 +28,22 @@ def test_contained_pairs_is_lossless(spark):
     assert sorted(map(tuple, got)) == sorted((n, h) for n in needles for h in hay if n in h)
 
 
+def test_one_gram_in_most_titles_and_needles_is_dealt_to_bounded_cells(spark):
+    """90 % of 400 titles and of 300 needles share their rarest n-gram; nothing is lost, no cell is crowded."""
+    hay = [f"{i:03d}xyz{i % 7}" if i % 10 else f"{i:03d}other" for i in range(400)]
+    need = [f"xyz{i % 7}" if i < 7 else f"{i:03d}xyz" if i % 10 else f"{i:03d}oth" for i in range(300)]
+    needles = spark.createDataFrame([(x,) for x in sorted(set(need))], "needle string")
+    titles = spark.createDataFrame([(x,) for x in hay], "haystack string")
+    rarest = needles.select("needle", F.lit("xyz").alias("gram"), F.lit(360).cast("long").alias("df")).where("needle like '%xyz%'")
+    spread, dealt = joined.cells(rarest, titles, split=50, needles=20)
+    sides = spread.groupBy("gram", "row", "col").count().join(dealt.groupBy("gram", "row", "col").agg(F.count("*").alias("h")), ["gram", "row", "col"])
+    assert sides.agg(F.max(F.col("count") * F.col("h"))).first()[0] <= 4 * 50 * 20
+    assert sides.count() > 50
+    got = joined.pairs_under(rarest, titles, 50, 20).collect()
+    asked = [r.needle for r in rarest.collect()]
+    assert sorted(map(tuple, got)) == sorted((n, h) for n in asked for h in hay if n in h)
+
+
 def small_catalog(spark, seed=3, n=150):
     rnd = random.Random(seed)
     words = ["net", "network", "tcp", "ip", "data", "base", "a", "入門", "実践"]
@@ -84,6 +103,20 @@ def test_top_matches_equals_brute_force(spark):
             assert rows(top_matches(q, b, reg, k).select(*cols)) == rows(want.select(*cols))
 
 
+def test_best_hits_of_every_source_equal_brute_force(spark, monkeypatch):
+    """Also with rounded scores that merge, which queries of over LONG tokens have."""
+    reg = sources(spark)
+    for seed, long in ((5, 400), (6, 2)):
+        monkeypatch.setattr(top, "LONG", long)
+        q, b = small_catalog(spark, seed)
+        q = q.withColumn("limit", F.pmod(F.xxhash64(*q.columns), F.lit(4)).cast("int"))
+        w = Window.partitionBy("query_title", "query_author", "publisher_id", "source_id").orderBy(F.col("match_score").desc(), "position")
+        want = brute_force(q.drop("limit"), b).withColumn("rank", F.row_number().over(w))
+        same = [F.col(f"w.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("query_title", "query_author", "publisher_id")]
+        want = want.alias("w").join(q.alias("q"), same).where("rank <= limit").select("w.*")
+        assert rows(top.best_hits(q, b, reg, per_source=True).select(*want.columns)) == rows(want)
+
+
 def test_rank_is_the_same_after_repartition(spark):
     df = spark.range(500).select(
         (F.col("id") % 7).alias("q"), (F.col("id") % 3 / 3).alias("match_score"), F.lit(None).cast("string").alias("scale"),
@@ -160,6 +193,18 @@ def test_robots(spark):
     assert allowed(spark, "User-agent: *\r\nAllow: /x\r\nDisallow: /x", "bot", ["/x"]) == [True]
 
 
+def test_robots_of_an_origin_with_most_urls(spark):
+    """90 % of the URLs have one origin; its rules are copied to the parts its URLs are dealt to."""
+    files = spark.createDataFrame([("https://hot.example", "User-agent: *\nDisallow: /a"), ("https://s.example", ROBOTS)], "origin string, content string")
+    urls = [(i, f"https://hot.example/{'ab'[i % 2]}") for i in range(270)] + [(i, f"https://s.example/a{i}") for i in range(270, 290)]
+    urls += [(i, None if i % 2 else "nonsense") for i in range(290, 300)]
+    df = spark.createDataFrame(urls, "i int, url string")
+    rules = joins.robots_rules(files, "bot")
+    got = {r.i: r.allowed for r in joins.robots_join(df, rules, split=20).collect()}
+    assert got == {i: not (u or "").startswith(("https://hot.example/a", "https://s.example/a")) for i, u in urls}
+    assert got == {r.i: r.allowed for r in joins.robots_join(df, rules).collect()}
+
+
 def test_isbn_codes(spark):
     isbns = spark.createDataFrame([("9784297128152",), ("9784873117782",), ("9784000000000",), ("9780000000000",)], "isbn string")
     got = {r.isbn: r.source_id for r in joins.isbn_source_join(isbns, isbn_codes(spark)).collect()}
