@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,18 +22,18 @@ from . import hat_trie
 from .hat_trie import WORDS, HatTrie, Words, packed, unpacked
 
 #: Bytes of texts whose words are numbered at a time.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Words of 64 bits of the filter of frequent pairs, a power of two: 8 MB.
 FILTER = 1 << 20
 #: Parts of a first word's phrases that are merged apart.
 PARTS = 16
 #: Words that a task numbers before it starts anew; those of one more portion still have ids.
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 19
 #: Rows of a batch that a run is handed on in.
-ROWS = 1 << 14
+ROWS = 1 << 16
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(ord(".") if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ENTRY = "lang string, phrase string, first string, part int, n long"
+_ENTRY = "lang string, prefix long, phrase string, n long"
 
 
 def _cut(texts: list[bytes]) -> Iterator[bytes]:
@@ -79,33 +80,31 @@ def _pair_hash_column(lang: Column, a: Column, b: Column) -> Column:
 
 
 def _runs(subtrees, words: Words) -> Iterator[pa.RecordBatch]:
-    """Each subtree as a sorted run of phrases; small runs share a batch."""
-    langs, phrases, firsts, parts, counts = columns = [], [], [], [], []
-    kinds = [pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-
-    def drained() -> pa.RecordBatch:
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-        for c in columns:
-            c.clear()
-        arrays[1:3] = [a.cast(pa.string()) for a in arrays[1:3]]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "first", "part", "n"])
-
-    names, part_of = words.names, {}
-    for (lang, first), box in subtrees:
-        run = sorted((b" ".join([names[i] for i in unpacked(first, r)]), r >> hat_trie.BITS * (WORDS - 2), c) for r, c in box.items())
-        for phrase, second, n in run:
-            part = part_of.get(second)
-            if part is None:
-                part = part_of[second] = xxhash.xxh64_intdigest(names[second]) % PARTS
-            langs.append(lang)
-            phrases.append(phrase)
-            firsts.append(names[first])
-            parts.append(part)
-            counts.append(n)
-        if len(langs) >= ROWS:
-            yield drained()
-    if langs:
-        yield drained()
+    """Subtrees as runs (lang, prefix, phrase, n) sorted by words.
+
+    `prefix` stands for the first word and for one of PARTS parts of its followers.
+    """
+    names, place = pa.array(words.names, pa.binary()), None
+    for lang, first, rest, counts in subtrees:
+        if not len(first):
+            continue
+        if place is None:
+            place = np.empty(len(words.names), np.int64)
+            place[sorted(range(len(words.names)), key=words.names.__getitem__)] = np.arange(len(words.names))
+            place[0] = -1
+            marks = np.array([xxhash.xxh64_intdigest(w, 1) for w in words.names], np.uint64)
+        ids = unpacked(first, rest)
+        by = np.lexsort([place[i] for i in reversed(ids)])
+        ids, counts = [i[by] for i in ids], counts[by]
+        prefix = (marks[ids[0]] & np.uint64((1 << 63) - PARTS)) | (marks[ids[1]] % np.uint64(PARTS))
+        for at in range(0, len(counts), ROWS):
+            part = [i[at : at + ROWS] for i in ids]
+            # A word that is not there is null, and nulls are left out of the phrase.
+            texts = [pc.if_else(pa.array(i > 0), names.take(pa.array(i)), None) for i in part]
+            phrase = pc.binary_join_element_wise(*texts, b" ", null_handling="skip").cast(pa.string())
+            n = len(phrase)
+            columns = [pa.array([lang] * n), pa.array(prefix[at : at + n].view(np.int64)), phrase, pa.array(counts[at : at + n])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "phrase", "n"])
 
 
 def _counted(lengths: tuple[int, ...], frequent):
@@ -162,8 +161,7 @@ def _counted(lengths: tuple[int, ...], frequent):
 def _merged(texts: DataFrame, lengths: tuple[int, ...], frequent, least: int) -> DataFrame:
     """(lang, phrase, n) of the phrases of these lengths that occur `least` times or more."""
     runs = texts.mapInArrow(_counted(lengths, frequent), _ENTRY)
-    dealt = runs.repartition("lang", "first", "part")
-    return dealt.groupBy("lang", "first", "part", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n")
+    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n")
 
 
 def _filter(pairs: DataFrame):

@@ -17,7 +17,7 @@ BITS = 21
 _LOW = (1 << BITS) - 1
 #: Entries of a container before it bursts.
 BURST = 4096
-#: Levels of words above the containers.
+#: Most levels of words above the containers.
 DEPTH = 2
 #: Entries of all containers before the largest subtrees leave, until half of them are gone.
 ENTRIES = 1 << 20
@@ -46,72 +46,110 @@ def packed(ids: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def unpacked(first: int, rest: int) -> list[int]:
-    ids = [first, *(rest >> BITS * k & _LOW for k in range(WORDS - 2, -1, -1))]
-    return [i for i in ids if i]
+class Node(dict):
+    """A container that has burst: containers, or nodes, by the next word."""
 
 
 class HatTrie:
-    """Counts under (group, first word): a container, or a node of containers by the next word."""
+    """Counts under a group and a first word: a container, or a node once it has burst."""
 
     def __init__(self):
-        self.roots: dict[tuple, dict] = {}
-        self.burst: set[tuple] = set()
-        self.sizes: dict[tuple, int] = {}
+        self.groups: dict[str, dict[int, dict]] = {}
         self.entries = 0
 
-    def add(self, group, first: np.ndarray, rest: np.ndarray) -> None:
+    def add(self, group: str, first: np.ndarray, rest: np.ndarray) -> None:
         """Count phrases given by first ids and packed rests."""
         if not len(first):
             return
-        by = np.lexsort((rest, first))
-        first, rest = first[by], rest[by]
-        new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
-        counts = np.diff(np.r_[new, len(first)]).tolist()
-        first, rest = first[new], rest[new].tolist()
-        cuts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]).tolist()
-        for low, high in zip(cuts, [*cuts[1:], len(rest)]):
-            self._count((group, int(first[low])), rest[low:high], counts[low:high])
-
-    def _count(self, path: tuple, rest: list[int], counts: list[int], level: int = 1) -> None:
-        if path in self.burst:
-            shift, low = BITS * (WORDS - 1 - level), 0
-            while low < len(rest):
-                word, high = rest[low] >> shift & _LOW, low
-                while high < len(rest) and rest[high] >> shift & _LOW == word:
-                    high += 1
-                self._count((*path, word), rest[low:high], counts[low:high], level + 1)
-                low = high
-            return
-        box = self.roots.get(path)
-        if box is None:
-            box = self.roots[path] = {}
-        before = len(box)
-        for r, c in zip(rest, counts):
-            box[r] = box.get(r, 0) + c
-        more = len(box) - before
-        self.entries += more
-        top = path[:2]
-        self.sizes[top] = self.sizes.get(top, 0) + more
-        if len(box) > BURST and level <= DEPTH:
-            self.burst.add(path)
-            shift = BITS * (WORDS - 1 - level)
-            del self.roots[path]
-            for r, c in box.items():
-                child = (*path, r >> shift & _LOW)
-                self.roots.setdefault(child, {})[r] = c
-
-    def spill(self, keep: int) -> Iterator[tuple[tuple, dict[int, int]]]:
-        """Take whole subtrees out, the largest first, until at most `keep` entries are left."""
-        gone = []
-        for top in sorted(self.sizes, key=lambda t: -self.sizes[t]):
+        low = BITS * (WORDS - 2)
+        if not (rest & ((1 << low) - 1)).any():
+            # Phrases of two words at most fit into one number.
+            key, counts = np.unique(first << BITS | rest >> low, return_counts=True)
+            first, rest = key >> BITS, (key & _LOW) << low
+        else:
+            by = np.lexsort((rest, first))
+            first, rest = first[by], rest[by]
+            new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])])
+            counts = np.diff(np.r_[new, len(first)])
+            first, rest = first[new], rest[new]
+        cuts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        top, rest, counts = self.groups.setdefault(group, {}), rest.tolist(), counts.tolist()
+        before = 0
+        for word, start, end in zip(first[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rest)]):
+            box = top.get(word)
+            if box is None:
+                box = top[word] = {}
+            if type(box) is Node:
+                self._down(box, rest[start:end], counts[start:end], 1)
+                continue
+            before = len(box)
+            for r, c in zip(rest[start:end], counts[start:end]):
+                box[r] = box.get(r, 0) + c
+            self.entries += len(box) - before
+            if len(box) > BURST:
+                top[word] = self._burst(box, 1)
+
+    def _burst(self, box: dict[int, int], level: int) -> Node:
+        node, shift = Node(), BITS * (WORDS - 1 - level)
+        for r, c in box.items():
+            node.setdefault(r >> shift & _LOW, {})[r] = c
+        return node
+
+    def _down(self, node: Node, rest: list[int], counts: list[int], level: int) -> None:
+        """Counts of sorted rests below a node of this level."""
+        shift, low = BITS * (WORDS - 1 - level), 0
+        while low < len(rest):
+            word, high = rest[low] >> shift & _LOW, low
+            while high < len(rest) and rest[high] >> shift & _LOW == word:
+                high += 1
+            box = node.get(word)
+            if box is None:
+                box = node[word] = {}
+            if type(box) is Node:
+                self._down(box, rest[low:high], counts[low:high], level + 1)
+            else:
+                before = len(box)
+                for r, c in zip(rest[low:high], counts[low:high]):
+                    box[r] = box.get(r, 0) + c
+                self.entries += len(box) - before
+                if len(box) > BURST and level < DEPTH:
+                    node[word] = self._burst(box, level + 1)
+            low = high
+
+    def spill(self, keep: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """Take whole subtrees out, the largest first, until at most `keep` entries are left.
+
+        Gives (group, first ids, packed rests, counts), all subtrees of a group together.
+        """
+        sizes = sorted(((_size(box), group, word) for group, top in self.groups.items() for word, box in top.items()), key=lambda x: -x[0])
+        chosen: dict[str, list[int]] = {}
+        for size, group, word in sizes:
             if self.entries <= keep:
                 break
-            gone.append(top)
-            self.entries -= self.sizes.pop(top)
-        chosen, boxes = set(gone), {}
-        for path in [p for p in self.roots if p[:2] in chosen]:
-            boxes.setdefault(path[:2], {}).update(self.roots.pop(path))
-        self.burst = {p for p in self.burst if p[:2] not in chosen}
-        for top in gone:
-            yield top, boxes.get(top, {})
+            chosen.setdefault(group, []).append(word)
+            self.entries -= size
+        for group, words in chosen.items():
+            rests, counts, lengths = [], [], []
+            for word in words:
+                before = len(rests)
+                _gather(self.groups[group].pop(word), rests, counts)
+                lengths.append(len(rests) - before)
+            yield group, np.repeat(np.array(words, np.int64), lengths), np.array(rests, np.int64), np.array(counts, np.int64)
+
+
+def _size(box: dict) -> int:
+    return sum(map(_size, box.values())) if type(box) is Node else len(box)
+
+
+def _gather(box: dict, rests: list[int], counts: list[int]) -> None:
+    if type(box) is Node:
+        for inner in box.values():
+            _gather(inner, rests, counts)
+    else:
+        rests.extend(box)
+        counts.extend(box.values())
+
+
+def unpacked(first: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Ids of all words of phrases, by place; 0 where a phrase has ended."""
+    return [first, *(rest >> BITS * k & _LOW for k in range(WORDS - 2, -1, -1))]

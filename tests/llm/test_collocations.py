@@ -88,7 +88,7 @@ def run_here(rows, monkeypatch, spark):
     for lengths, frequent in (((1, 2), None), ((3, 4), Bits), ((1, 2, 3, 4), None)):
         found = Counter()
         for b in collocations._counted(lengths, frequent)(iter(batches)):
-            for lang, phrase, n in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
+            for lang, phrase, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
                 found[lang, phrase] += n
         want = Counter()
         for lang, t in texts:
@@ -118,17 +118,22 @@ def test_trie_keeps_counts_through_bursts_and_spills(monkeypatch):
     monkeypatch.setattr(hat_trie, "BURST", 3)
     r = np.random.default_rng(1)
     trie, want, got = HatTrie(), Counter(), Counter()
-    for _ in range(50):
-        ids = [r.integers(1, 6, 40) for _ in range(4)]
+
+    def taken(keep):
+        for _, first, rest, counts in trie.spill(keep):
+            for ids, n in zip(zip(*(i.tolist() for i in hat_trie.unpacked(first, rest))), counts.tolist()):
+                got[tuple(i for i in ids if i)] += n
+
+    for n in range(50):
+        ids = [r.integers(1, 6, 40) for _ in range(1 + n % 4)]
         trie.add("en", ids[0], packed(ids))
         want.update(zip(*(c.tolist() for c in ids)))
-        assert trie.entries == sum(map(len, trie.roots.values()))
-        for (_, first), box in trie.spill(150):
-            for rest, n in box.items():
-                got[tuple(hat_trie.unpacked(first, rest))] += n
-        assert trie.entries <= 150
-    assert trie.burst
-    for (_, first), box in trie.spill(-1):
-        for rest, n in box.items():
-            got[tuple(hat_trie.unpacked(first, rest))] += n
-    assert got == want and trie.entries == 0 and not trie.roots
+        assert trie.entries == sum(hat_trie._size(b) for b in trie.groups["en"].values())
+        if n == 40:
+            boxes = trie.groups["en"].values()
+            assert any(type(b) is hat_trie.Node and any(type(x) is hat_trie.Node for x in b.values()) for b in boxes)
+        if n % 10 == 9:
+            taken(150)
+            assert trie.entries <= 150
+    taken(-1)
+    assert got == want and trie.entries == 0 and not any(trie.groups.values())
