@@ -24,7 +24,8 @@ from .registry import SOURCES
 
 SHOP_JSON = "struct<product:struct<sales_price_including_tax:bigint,model_number:string>>"
 VENDOR_JSON = "struct<vendor:string>"
-COVER_SLUG = "cloudfront\\.net/([a-zA-Z0-9_-]+)/s_featured"
+# Fixed value: where a cover's address names its book.
+COVER_SLUG = "cloudfront\\.net/([^/]+)/s_featured"
 
 
 def _field(name: str) -> Column:
@@ -133,9 +134,9 @@ def _date() -> Column:
 
 
 def _price() -> Column:
-    text, meta = _field("price"), _field("meta")
+    text = _field("price")
     usual = money.parse_price(text)
-    listed = F.regexp_extract(meta, "価格[：:]\\s*([0-9,]+\\s*円\\s*(?:[＋+]税|税別|本体)?)", 1)
+    listed = _labelled("価格")
     shop = F.col("shop")["product"]["sales_price_including_tax"]
     first_item = F.get(F.filter(_all("items"), lambda x: x.startswith("定価")), F.lit(0))
     readers = {

@@ -4,6 +4,6 @@ that computes the same result in another engine."""
 
 def load():
     """The registry with all queries in it."""
-    from . import columns, ingest, jobs, registry, tables  # noqa: F401
+    from . import columns, ingest, jobs, layouts, registry, tables  # noqa: F401
 
     return registry
