@@ -28,7 +28,7 @@ FILTER = 1 << 20
 #: Parts of a first word's phrases that are merged apart.
 PARTS = 16
 #: Words that a task numbers before it starts anew; those of one more portion still have ids.
-VOCABULARY = 1 << 19
+VOCABULARY = 1 << 18
 #: Rows of a batch that a run is handed on in.
 ROWS = 1 << 16
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -79,28 +79,33 @@ def _pair_hash_column(lang: Column, a: Column, b: Column) -> Column:
     return F.xxhash64(a).bitwiseXOR(turn(F.xxhash64(b), 21)).bitwiseXOR(turn(F.xxhash64(lang), 42))
 
 
-def _runs(subtrees, words: Words) -> Iterator[pa.RecordBatch]:
-    """Subtrees as runs (lang, prefix, phrase, n) sorted by words.
+class Hashes:
+    """64-bit hashes of a task's words by id, made once each."""
+
+    def __init__(self):
+        self.of = np.zeros(1, np.uint64)
+
+    def upto(self, words: Words) -> np.ndarray:
+        if len(words.names) > len(self.of):
+            new = [xxhash.xxh64_intdigest(w, 42) for w in words.names[len(self.of) :]]
+            self.of = np.r_[self.of, np.array(new, np.uint64)]
+        return self.of
+
+
+def _runs(subtrees, words: Words, hashes: Hashes) -> Iterator[pa.RecordBatch]:
+    """Subtrees as runs (lang, prefix, phrase, n), sorted by the ids of their words.
 
     `prefix` stands for the first word and for one of PARTS parts of its followers.
     """
-    names, place = pa.array(words.names, pa.binary()), None
+    names, marks = pa.array(words.names, pa.binary()), hashes.upto(words)
     for lang, first, rest, counts in subtrees:
-        if not len(first):
-            continue
-        if place is None:
-            place = np.empty(len(words.names), np.int64)
-            place[sorted(range(len(words.names)), key=words.names.__getitem__)] = np.arange(len(words.names))
-            place[0] = -1
-            marks = np.array([xxhash.xxh64_intdigest(w, 1) for w in words.names], np.uint64)
-        ids = unpacked(first, rest)
-        by = np.lexsort([place[i] for i in reversed(ids)])
-        ids, counts = [i[by] for i in ids], counts[by]
+        by = np.lexsort((rest, first))
+        counts = counts[by]
+        ids = unpacked(first[by], rest[by])
         prefix = (marks[ids[0]] & np.uint64((1 << 63) - PARTS)) | (marks[ids[1]] % np.uint64(PARTS))
         for at in range(0, len(counts), ROWS):
-            part = [i[at : at + ROWS] for i in ids]
             # A word that is not there is null, and nulls are left out of the phrase.
-            texts = [pc.if_else(pa.array(i > 0), names.take(pa.array(i)), None) for i in part]
+            texts = [names.take(pa.array(i[at : at + ROWS], mask=i[at : at + ROWS] == 0)) for i in ids if i.any()]
             phrase = pc.binary_join_element_wise(*texts, b" ", null_handling="skip").cast(pa.string())
             n = len(phrase)
             columns = [pa.array([lang] * n), pa.array(prefix[at : at + n].view(np.int64)), phrase, pa.array(counts[at : at + n])]
@@ -114,7 +119,7 @@ def _counted(lengths: tuple[int, ...], frequent):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words, hashes = HatTrie(), Words(), np.zeros(1, np.uint64)
+        trie, words, hashes = HatTrie(), Words(), Hashes()
 
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
@@ -128,10 +133,7 @@ def _counted(lengths: tuple[int, ...], frequent):
                     before = ids[-(WORDS - 1) :]
                     good = None
                     if frequent is not None:
-                        if len(words.names) > len(hashes):
-                            new = [xxhash.xxh64_intdigest(w, 42) for w in words.names[len(hashes) :]]
-                            hashes = np.r_[hashes, np.array(new, np.uint64)]
-                        h = _pair_hash(lang, hashes, ids[:-1], ids[1:])
+                        h = _pair_hash(lang, hashes.upto(words), ids[:-1], ids[1:])
                         good = (ids[:-1] > 0) & (ids[1:] > 0)
                         for slot, bit in ((h, h >> np.uint64(20)), (h >> np.uint64(26), h >> np.uint64(46))):
                             good &= (frequent.value[(slot & np.uint64(FILTER - 1)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
@@ -147,13 +149,13 @@ def _counted(lengths: tuple[int, ...], frequent):
                         rests.append(packed([c[ok] for c in cols]))
                     trie.add(lang, np.concatenate(firsts), np.concatenate(rests))
                     if trie.entries > hat_trie.ENTRIES:
-                        yield from _runs(trie.spill(hat_trie.ENTRIES // 2), words)
+                        yield from _runs(trie.spill(hat_trie.ENTRIES // 2), words, hashes)
                     if len(words.names) > VOCABULARY:
-                        yield from _runs(trie.spill(-1), words)
+                        yield from _runs(trie.spill(-1), words, hashes)
                         last = [words.names[i] for i in before]
-                        trie, words, hashes = HatTrie(), Words(), np.zeros(1, np.uint64)
+                        trie, words, hashes = HatTrie(), Words(), Hashes()
                         before = np.array([words[w] for w in last])
-        yield from _runs(trie.spill(-1), words)
+        yield from _runs(trie.spill(-1), words, hashes)
 
     return run
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # The forms of known secrets. Runs of hex digits are entered at their first digit only.
 ASSIGN = """(?i:password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -19,14 +21,17 @@ HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
 MIN_VALUE = 8
 
 KINDS = ("assign", "access", "hex", "random")
-#: Runs that the models judge: 20 characters or more, with a letter and a digit.
-RUN = "A-Za-z0-9_+/-"
-CANDIDATE = f"(?<![{RUN}])(?=[{RUN}]*[0-9])(?=[{RUN}]*[A-Za-z])[{RUN}]{{20,}}"
-SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/-"
+#: Parts that the models judge, each by itself: 16 characters or more with a letter and a digit, not
+#: divided by anything else. So a key behind a path, or after a prefix with _ or -, is judged alone.
+LEAST = 16
+PART = "A-Za-z0-9+"
+CANDIDATE = f"(?<![{PART}])(?=[A-Za-z+]*+[0-9])(?=[0-9+]*+[A-Za-z])[{PART}]{{{LEAST},}}"
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+"
 N = len(SYMBOLS) + 1
 #: Nats by which a candidate has to be likelier as a random string, in all and per character.
-MARGIN, MARGIN_PER_CHARACTER = 12.0, 0.4
-#: Labelled strings of each class, and documents they are taken from, that the models are fitted on.
+MARGIN, MARGIN_PER_CHARACTER = 12.0, 0.7
+#: Labelled strings of each class, and distinct documents they are taken from, about, that the models
+#: are fitted on.
 SAMPLE, SAMPLE_DOCUMENTS = 20_000, 4000
 BACKOFF = 20.0
 CHUNK = 512
@@ -87,23 +92,52 @@ def train(samples: DataFrame) -> list[float]:
     return [r - o for o, r in zip(*logs)]
 
 
+def _identifiers(words: DataFrame) -> DataFrame:
+    """Ordinary parts with digits, made of words of the corpus as names in code and addresses are.
+
+    Two words in camel case, in small letters or in capitals, with a number behind or between them, and
+    numbers and dates by themselves.
+    """
+    numbered = words.select("string", F.xxhash64("string").alias("h"))
+    other = numbered.select(F.col("string").alias("second"), F.pmod("h", F.lit(1 << 20)).alias("at"), F.row_number().over(Window.partitionBy(F.pmod("h", F.lit(64))).orderBy("h")).alias("nth"), F.pmod("h", F.lit(64)).alias("part"))
+    first = other.select(F.col("second").alias("first"), "at", "nth", "part")
+    pairs = first.join(other.select("second", "part", (F.col("nth") - 1).alias("nth")), ["part", "nth"])
+    year, low, high = (1990 + F.col("at") % 45).cast("string"), (F.col("at") % 10).cast("string"), (F.col("at") % 1000).cast("string")
+    day = F.concat(year, F.lpad((1 + F.col("at") % 12).cast("string"), 2, "0"), F.lpad((1 + F.col("at") % 28).cast("string"), 2, "0"))
+    a, b = F.col("first"), F.col("second")
+    made = F.array(
+        F.concat(F.initcap(a), F.initcap(b), low), F.concat(a, b, high), F.concat(a, low, b), F.concat(F.upper(a), high), F.concat(F.lower(a), F.initcap(b), year),
+        day, F.concat(a, day), F.concat(day, F.lit("T"), high), F.concat(F.lit("v"), low, high), F.concat(a, F.initcap(b)), F.concat(F.initcap(b), F.initcap(a), F.initcap(b), high),
+    )
+    return pairs.select(F.explode(made).alias("string"))
+
+
 def samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled strings: values of known secrets and digests against long words of the same corpus.
+    """Labelled strings: values of known secrets and digests against words and identifiers.
 
-    Taken from some SAMPLE_DOCUMENTS documents, those whose texts have the smallest hashes, and SAMPLE
-    strings of each class at most. A document is taken or left by its hash, so nothing is sorted.
+    Taken from about SAMPLE_DOCUMENTS distinct texts, those with the smallest hashes, and SAMPLE strings
+    of each class at most. A text is taken or left by its hash, so nothing is sorted, and its copies
+    count once.
     """
     spark: SparkSession = docs.sparkSession
-    share = SAMPLE_DOCUMENTS / max(SAMPLE_DOCUMENTS, docs.count())
-    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__h", F.xxhash64("__text"))
+    distinct = texts.agg(F.approx_count_distinct("__h")).first()[0]
+    share = SAMPLE_DOCUMENTS / max(SAMPLE_DOCUMENTS, distinct)
+    some = texts.where(F.pmod("__h", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("__h").agg(F.first("__text").alias("__text"))
+    some = materialize(some.select("__text"))
     scanned = known(some)
     values = F.flatten(F.array(*[F.transform(f"__{k}", lambda x: x["value"]) for k in KINDS[:3]]))
-    secret = scanned.select(F.explode(values).alias("string")).where("string rlike '[0-9]'")
-    made = spark.range(SAMPLE // 4).select(F.explode(F.array(F.sha2(F.col("id").cast("string"), 256), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id")), 256))))).alias("string"))
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit("[A-Za-z][A-Za-z_-]{5,}"), F.lit(0)))).alias("string")).distinct()
+    parts = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(f"[{PART}]{{8,}}"), F.lit(0))))
+    secret = scanned.select(F.explode(parts).alias("string")).where("string rlike '[0-9]'")
+    digest = lambda *c: F.sha2(F.concat(*c), 256)
+    long = F.base64(F.unhex(digest(F.lit("b"), F.col("id").cast("string"))))
+    made = spark.range(SAMPLE // 4).select(F.explode(F.array(digest(F.col("id").cast("string")), F.regexp_replace(long, "[/=]", ""))).alias("string"))
+    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("string")).distinct()
     few = lambda df, n: df.orderBy(F.xxhash64("string"), "string").limit(n)
+    words = materialize(few(words, SAMPLE // 2))
+    ordinary = words.unionByName(few(_identifiers(words).distinct(), SAMPLE // 2))
     randoms = few(secret.distinct(), SAMPLE // 2).unionByName(made)
-    return randoms.withColumn("random", F.lit(True)).unionByName(few(words, SAMPLE).withColumn("random", F.lit(False)))
+    return randoms.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
 
 
 def known(docs: DataFrame) -> DataFrame:
@@ -124,10 +158,11 @@ def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """All columns of `docs` and `spans`: array of (start, kind number in KINDS, end), sorted.
 
     Spans of one kind do not overlap; a random string that overlaps a known form is not listed again.
-    Null and empty texts have no spans. A column `spans` of the input is replaced.
+    Null and empty texts have no spans; repeated rows each have theirs; an empty table gives an empty
+    table. A column `spans` of the input is replaced.
     """
     out = known(docs.drop("spans").withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
-    out = _found(out, "random", CANDIDATE, 0, 20)
+    out = _found(out, "random", CANDIDATE, 0, LEAST)
     base = F.concat("__assign", "__access", "__hex")
     apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     likely = lambda x: ratio(x["value"], model) >= F.greatest(F.lit(MARGIN), MARGIN_PER_CHARACTER * F.length(x["value"]))
@@ -145,7 +180,7 @@ def listing(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """`docs` with every span of its texts replaced by MARK; null texts stay null."""
+    """`docs` with every span of its texts replaced by MARK; null texts stay null, repeated rows stay."""
     step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(F.struct(
         x["end"].alias("at"),
         F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(MARK))).otherwise("")).alias("out"),
