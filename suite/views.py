@@ -80,7 +80,7 @@ def stored(make):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in kept:
-            kept[key] = materialize(make(spark, sf_dir))
+            kept[key] = materialize(make(spark, sf_dir), keep=True)
         return kept[key]
 
     get.__doc__ = make.__doc__
