@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators.joins import robots_rules
+from shelfmark.plans.catalog import catalog_from_pages
+from shelfmark.plans.details import KEYED_PAGE, book_details_from_pages
 from shelfmark.sources import rulesets
 from shelfmark.sources.html import extract
 from shelfmark.sources.records import books_from_fields
 
 from . import views as v
 from .registry import query
+from .tables import BIB_SQL, bib_books
 
 TWO = "author1 || '|' || p_brand"
 PRICE, DAY = "floor(p_retailprice)", "'2024-05-06'"
@@ -158,7 +162,6 @@ DETAIL = {
         {"authors": TWO, "published_at": DAY, "isbn": "isbn", "publisher": "p_brand"}),
 }
 
-#: Publisher of rows whose page names none, by source; the sources' names otherwise.
 FIELDS = ("title", "authors", "price", "published_at", "isbn", "publisher")
 EMPTY = {"title": "p_name", "authors": "''", "price": "NULL", "published_at": "NULL", "isbn": "NULL", "publisher": "NULL"}
 
@@ -175,18 +178,22 @@ def _sql(layouts) -> str:
     return v.with_views(f"SELECT k, {', '.join(columns)} FROM book")
 
 
-def _records(spark, d, layouts, kind):
-    """Pages of all books and the records read from them; publishers only where the page names one."""
+def _fill(text: str):
+    """A column of texts whose «slots» are the parts of each book."""
     k = F.col("k").cast("string")
     slots = {
         "name": F.col("p_name"), "type": F.col("p_type"), "author": F.col("author1"), "brand": F.col("p_brand"), "k": k, "isbn": F.col("isbn"),
-        "amount": F.format_number(F.floor("p_retailprice"), 0), "plain": F.floor("p_retailprice").cast("string"),
+        "amount": F.format_number(F.floor("p_retailprice"), 0), "plain": F.floor("p_retailprice").cast("string"), "number": F.lpad(k, 9, "0"),
         "dashed": F.concat(F.lit("978-4-"), F.substring("isbn", 5, 8), F.lit("-"), F.substring("isbn", 13, 1)),
     }
+    return F.concat(*[slots[p] if j % 2 else F.lit(p) for j, p in enumerate(text.replace("»", "«").split("«"))])
+
+
+def _records(spark, d, layouts, kind):
+    """Pages of all books and the records read from them; publishers only where the page names one."""
     html, source = None, None
     for i, (name, (text, _)) in enumerate(layouts.items()):
-        pieces = text.replace("»", "«").split("«")
-        page = F.concat(*[slots[p] if j % 2 else F.lit(p) for j, p in enumerate(pieces)])
+        page = _fill(text)
         here = F.col("k") % len(layouts) == i
         html = F.when(here, page) if html is None else html.when(here, page)
         source = F.when(here, name) if source is None else source.when(here, name)
@@ -208,3 +215,80 @@ def list_records(spark, d):
 @query("detail_records", _sql(DETAIL))
 def detail_records(spark, d):
     return _records(spark, d, DETAIL, "detail")
+
+
+def _pages(books, *kinds):
+    """Pages (url, html, page_kind) of the books that fit a condition, by (condition, url, html, page kind)."""
+    out = None
+    for condition, url, html, kind in kinds:
+        rows = books.where(condition).select(_fill(url).alias("url"), _fill(html).alias("html"), F.lit(kind).alias("page_kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+ENTRY = '{"series":"","title":"«name»","subtitle":"","author":{"著":{"«author»":""}},"price":[«plain»],"release":["2024.05.06"],"url":"/book/«k»","cover":["","","",""]}'
+
+
+# Feeds of four sources, broken ones among them, and list rows of which half have a detail page.
+@query("catalog_from_feeds", v.with_views("""
+SELECT CASE k % 5 WHEN 0 THEN 'gihyo' WHEN 1 THEN 'google-books' WHEN 2 THEN 'pragprog' WHEN 3 THEN 'techbookfest' ELSE 'seshop' END AS source_id,
+  CASE k % 5 WHEN 0 THEN 'https://gihyo.jp/book/' || k WHEN 1 THEN 'https://books.google.com/books?id=v' || k WHEN 2 THEN 'https://pragprog.com/titles/' || k
+    WHEN 3 THEN 'https://techbookfest.org/product/' || k ELSE 'https://www.seshop.com/product/detail/' || k END AS url,
+  p_name AS title, CASE k % 5 WHEN 2 THEN author1 || '|' || p_brand WHEN 3 THEN '' WHEN 4 THEN CASE WHEN k % 2 = 0 THEN author1 ELSE '' END ELSE author1 END AS authors,
+  CASE WHEN k % 5 IN (0, 3, 4) THEN floor(p_retailprice) END::DOUBLE AS price, CASE WHEN k % 5 IN (0, 4) THEN '2024-05-06' END AS published_at,
+  CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN 'B' || lpad(k::VARCHAR, 9, '0') END AS asin, CASE WHEN k % 5 = 4 AND k % 2 = 0 THEN isbn END AS isbn
+FROM book
+UNION ALL SELECT 'rejected', 'https://pragprog.com/broken/' || k, 'unread feed', '', NULL, NULL, NULL, NULL FROM book WHERE k % 10 = 2"""))
+def catalog_from_feeds(spark, d):
+    volume = '{"items":[{"id":"v«k»","volumeInfo":{"title":"«name»","authors":["«author»"],"infoLink":"http://books.google.com/books?id=v«k»"},"saleInfo":{}}]}'
+    index = '{"results":[{"record_type":"book","href":"/titles/«k»","title":"«name»","author":"«author» and «brand»"},{"record_type":"news","title":"x"}]}'
+    edges = '{"data":{"searchProducts":{"edges":[{"node":{"product":{"databaseID":"«k»","name":"«name»","ebookVariant":{"price":«plain»}}}},{"node":{}}]}}}'
+    shop = "https://www.seshop.com/product"
+    detail = "<h1>Detail «name»</h1><a href='/product/author/1'>«author»</a><meta name='cxenseparse:sho-isbn' content='«isbn»'><meta name='cxenseparse:sho-price' content='1'>"
+    pages = _pages(
+        v.book_rows(spark, d),
+        ("k % 5 = 0", "https://gihyo.jp/api_gh/site/search?search=«k»", '{"list":{"978-4-999-«number»-0":' + ENTRY + "}}", "feed"),
+        ("k % 5 = 0 and k % 3 = 0", "https://gihyo.jp/book/«k»", "<a href='https://www.amazon.co.jp/dp/B«number»'>k</a>", "linked"),
+        ("k % 5 = 1", "https://www.googleapis.com/books/v1/volumes?q=«k»", volume, "feed"),
+        ("k % 5 = 2", "https://pragprog.com/index/«k».json", index, "feed"),
+        ("k % 5 = 3", "https://techbookfest.org/api/«k»", edges, "feed"),
+        ("k % 5 = 4", "https://www.seshop.com/list/«k»", LIST["seshop"][0], "list"),
+        ("k % 5 = 4 and k % 2 = 0", f"{shop}/detail/«k»", detail, "detail"),
+        ("k % 10 = 2", "https://pragprog.com/broken/«k»", "{broken", "feed"),
+    )
+    none = robots_rules(spark.createDataFrame([("https://none.example.com", "")], "origin string, content string"), "librarybot")
+    books, rejected = catalog_from_pages(pages, v.sources(spark), none)
+    own = books.select(
+        "source_id", "url", "title", F.array_join("authors", "|").alias("authors"), F.col("price").cast("double").alias("price"),
+        F.col("published_at").cast("string").alias("published_at"), "asin", F.when(F.col("source_id") == "seshop", F.col("isbn")).alias("isbn"))
+    bad = rejected.select(F.lit("rejected").alias("source_id"), "url", F.col("reason").alias("title"), F.lit("").alias("authors"))
+    return own.unionByName(bad, allowMissingColumns=True)
+
+
+# Details of all books from fetched pages: page of a source, keyed answer with and without the number, nothing fetched, no source.
+@query("details_from_pages", v.with_views("""
+SELECT CASE k % 4 WHEN 1 THEN 'https://gihyo.jp/book/2024/978-4-999-' || lpad(k::VARCHAR, 9, '0') || '-0' WHEN 3 THEN 'https://elsewhere.example.com/' || k
+    ELSE 'https://www.saiensu.co.jp/b/' || k END AS url,
+  CASE k % 4 WHEN 2 THEN 'not fetched' WHEN 3 THEN 'no source' ELSE 'ok' END AS outcome,
+  CASE k % 4 WHEN 0 THEN p_name WHEN 1 THEN CASE WHEN k % 8 = 1 THEN p_name ELSE 'Paper ' || p_name END END AS title,
+  CASE WHEN k % 4 = 0 THEN bib.description END AS description, CASE WHEN k % 8 = 1 THEN 'B' || lpad(k::VARCHAR, 9, '0') END AS asin
+FROM book LEFT JOIN bib ON bib.isbn = book.isbn""", BIB_SQL))
+def details_from_pages(spark, d):
+    wrong = '"978-4-999-000000000-9":' + ENTRY.replace("«name»", "Paper «name»").replace("/book/«k»", "/paper/«k»")
+    pages = _pages(
+        v.book_rows(spark, d),
+        ("k % 4 in (0, 3)", "https://www.saiensu.co.jp/b/«k»", "<h2 class=mainDetail_bookTitle>«name»</h2><i class=bookDetail_isbn>ISBN «dashed»</i>", "detail"),
+        ("k % 8 = 1", KEYED_PAGE.format("978-4-999-«number»-0"), '{"list":{' + wrong + ',"978-4-999-«number»-0":' + ENTRY + "}}", "detail"),
+        ("k % 8 = 5", KEYED_PAGE.format("978-4-999-«number»-0"), '{"list":{' + wrong + "}}", "detail"),
+        ("k % 8 = 1", "https://gihyo.jp/book/«k»", "<a href='https://www.amazon.co.jp/dp/B«number»'>k</a>", "detail"),
+    ).drop("page_kind")
+    asked = _pages(
+        v.book_rows(spark, d),
+        ("k % 4 in (0, 2)", "https://www.saiensu.co.jp/b/«k»", "", ""),
+        ("k % 4 = 1", "https://gihyo.jp/book/2024/978-4-999-«number»-0", "", ""),
+        ("k % 4 = 3", "https://elsewhere.example.com/«k»", "", ""),
+    ).select("url")
+    none = robots_rules(spark.createDataFrame([("https://none.example.com", "")], "origin string, content string"), "librarybot")
+    good, bad = book_details_from_pages(asked, pages, v.sources(spark), none, bib_books(spark, d))
+    own = good.select(F.col("asked_url").alias("url"), F.lit("ok").alias("outcome"), "title", "description", "asin")
+    return own.unionByName(bad.select("url", F.col("reason").alias("outcome")), allowMissingColumns=True)

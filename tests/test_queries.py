@@ -10,7 +10,7 @@ from tests.compare import connect, run_spark, run_sql
 DATA = "/root/testdata/sf0.001"
 NAMES = ["normalize_for_match", "contributors", "validation", "enrich", "robots_join", "score_join", "error_summary",
          "page_links", "expand_folders", "explode_keyed_catalog", "extract_list_items", "search_books", "book_details", "resolve_books",
-         "list_records", "detail_records", "catalog_from_pages", "rank_by_score", "best_and_second", "ambiguous", "top3_candidates", "input_order"]
+         "list_records", "detail_records", "catalog_from_pages", "catalog_from_feeds", "details_from_pages", "rank_by_score", "best_and_second", "ambiguous", "top3_candidates", "input_order"]
 
 
 @pytest.fixture(scope="module")
