@@ -1,7 +1,9 @@
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from shelfmark.llm import sharding
 
@@ -43,3 +45,47 @@ def test_keys_follow_the_ring_while_there_is_room(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize(("shards", "slack"), [(8, 0.0), (5, 0.2), (3, 5.0)])
+def test_shards_of_every_cell_by_walking_the_ring(spark, shards, slack):
+    """Round by round each cell goes on clockwise to its next shard, cells of a shard in their order."""
+    rows = [(i, f"t{i % 9}", None) for i in range(1500)] + [(7, "hot", None)] * 400
+    places = {}
+    for n in range(shards):
+        for replica in range(sharding.REPLICAS):
+            at = zlib.crc32(f"shard {n} place {replica}".encode()) % sharding.SLOTS
+            while at in places:
+                at = (at + 1) % sharding.SLOTS
+            places[at] = n
+
+    def cell(row):
+        key = xxhash.xxh64_intdigest(struct.pack("<q", row[0]), 42)
+        signed = key - (1 << 64) if key >> 63 else key
+        mixed = xxhash.xxh64_intdigest(row[1].encode(), xxhash.xxh64_intdigest(struct.pack("<q", signed), 42))
+        mixed = mixed - (1 << 64) if mixed >> 63 else mixed
+        return signed % sharding.SLOTS * sharding.CELLS + (mixed >> 20) % sharding.CELLS
+
+    def clockwise(at):
+        met = []
+        for step in range(sharding.SLOTS):
+            n = places.get((at + step) % sharding.SLOTS)
+            if n is not None and n not in met:
+                met.append(n)
+        return met
+
+    share, extra = divmod(len(rows), shards)
+    room = [int((share + (n < extra)) * (1 + slack)) for n in range(shards)]
+    left, want = Counter(cell(r) for r in rows), {}
+    for turn in range(shards):
+        for c in sorted(left):
+            n = clockwise(c // sharding.CELLS)[turn]
+            took = min(left[c], room[n])
+            room[n] -= took
+            left[c] -= took
+            if took:
+                want[c, n] = want.get((c, n), 0) + took
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    texts = {zlib.crc32(t.encode()): t for _, t, _ in rows}
+    got = Counter((cell((r.doc_id, texts[r.text_crc32])), r.shard) for r in sharding.shard(df, shards=shards, slack=slack).collect())
+    assert got == want
