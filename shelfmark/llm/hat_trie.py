@@ -20,7 +20,7 @@ BURST = 4096
 #: Most levels of words above the containers.
 DEPTH = 2
 #: Entries of all containers before the largest subtrees leave, until half of them are gone.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 
 
 class Words(dict):
