@@ -26,6 +26,22 @@ def test_query(spark, con, name):
     assert run_spark(reg.QUERIES[name](spark, DATA)) == run_sql(con, reg.ORACLES[name])
 
 
+def test_stored_inputs_are_read_by_all_cores(spark):
+    from suite import tables, views
+
+    for made in (views.book_rows, views.clue_rows, tables.asks, views.catalog):
+        assert len(made(spark, DATA).inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
+def test_places_around_a_customer_are_not_broadcast(spark):
+    from suite import tables
+
+    near = tables._near(spark, DATA)
+    assert near.count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # that of the registry
+
+
 def test_every_query_has_sql():
     reg = load()
     assert set(reg.QUERIES) == set(reg.ORACLES) and len(reg.QUERIES) > 100
