@@ -58,6 +58,15 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes that are at hand; 0 of none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), STEP):
+        part = np.ascontiguousarray(hashes[at : at + STEP], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def with_fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all if None) of every row, and `fingerprint` (long) of its whole text.
 
