@@ -25,6 +25,8 @@ CAPACITY = 2048
 GROUP = 100_000
 #: Texts, and their characters, that are encoded at a time.
 TEXTS, CHARS = 500, 4 << 20
+#: Pieces that a worker remembers: far fewer than it could, since other stages have filled the executor before.
+CACHE = 300_000
 
 _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACES = "sequence_id bigint, offset bigint"
@@ -48,6 +50,12 @@ def batches_of(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def parts_of(texts: pa.Array) -> Iterator[list[str]]:
+    """As `batches_of`, but no more than TEXTS texts of a column are Python strings at a time."""
+    for at in range(0, len(texts), TEXTS):
+        yield from batches_of(texts.slice(at, TEXTS).to_pylist())
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of every whole text's ids and `end_id`: id, piece, start, length, ids_crc32."""
     taken = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -55,10 +63,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(tokenizer, blanks=True)
+        known = encoder(tokenizer, True, CACHE)
         for b in batches:
             rows, at = [], 0
-            for part in batches_of(b.column(1).to_pylist()):
+            for part in parts_of(b.column(1)):
                 for ids in known.encode(part):
                     ids += end
                     rows += [(at, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]

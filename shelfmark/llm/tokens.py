@@ -35,9 +35,9 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xB
 
 
 @cache
-def encoder(path: str, blanks: bool) -> Encoder:
+def encoder(path: str, blanks: bool, cache: int = CACHE) -> Encoder:
     """The encoder of this process, kept for its next tasks."""
-    return Encoder(path, blanks)
+    return Encoder(path, blanks, cache)
 
 
 class Pieces:
@@ -113,17 +113,17 @@ class Encoder:
     does by default.
     """
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, cache: int = CACHE):
         self.tokenizer = Tokenizer.from_file(path)
-        self.blanks = blanks
+        self.blanks, self.cache = blanks, cache
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = Pieces()
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.table.used > CACHE:
+        if self.table.used > self.cache:
             self.table = Pieces()
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         raw = [t.encode() for t in texts]
         plain = [len(b.translate(None, _RARE)) == len(b) and not any(x in t for x in self.special) for t, b in zip(texts, raw)]

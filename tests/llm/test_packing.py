@@ -71,3 +71,15 @@ def test_places_minimise_the_sum_of_squares():
         options = [{**gaps, "new": 16 - s}, *({**gaps, k: v - s} for k, v in gaps.items() if v >= s)]
         gaps[q] = gaps.get(q, 16) - s
         assert total(gaps) == min(map(total, options)) and count(16) == 0
+
+
+def test_worker_holds_few_texts_and_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([None if i % 7 == 0 else "x" * (i % 50) for i in range(1801)])
+    parts = list(packing.parts_of(texts.fill_null("")))
+    assert max(map(len, parts)) <= packing.TEXTS and sum(parts, []) == texts.fill_null("").to_pylist()
+    small = tokens.Encoder(PATH, True, 50)
+    lines = [" ".join(f"word{i + j}" for j in range(30)) for i in range(0, 600, 30)]
+    assert [ids for t in lines for ids in small.encode([t])] == tokens.Encoder(PATH, True).encode(lines)
+    assert small.table.used <= 50 + 30 and packing.CACHE < tokens.CACHE
