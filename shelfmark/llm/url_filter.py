@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAMPLE = 25_000
 #: Parts of the labelled URLs whose suffix statistics are taken from the other parts.
 FOLDS = 5
-#: Most frequent suffixes whose shares are kept; they are broadcast.
+#: Most frequent suffixes, whose shares are broadcast; those of all others are joined.
 SUFFIXES = 200_000
 TREES, DEPTH = 10, 4
 #: Pseudo-counts that draw the share of a rare suffix towards the share of all.
@@ -85,14 +85,28 @@ def with_features(urls: DataFrame, shares: DataFrame, url: str = "url", fold: Co
     # The row without suffix holds the share of all labelled URLs.
     base = F.broadcast(shares.where("suffix is null").select(F.col("fold").alias("__fold"), F.col("share").alias("__base")))
     known = shares.where("suffix is not null")
-    named = lambda c: F.broadcast(known.select(F.col("fold").alias("__fold"), F.col("suffix").alias(c), F.col("share").alias(f"{c}_share")))
-    out = out.join(base, "__fold", "left").join(named("__top"), ["__fold", "__top"], "left").join(named("__two"), ["__fold", "__two"], "left")
+    many = not known.where("rare").isEmpty()
+    out = out.join(base, "__fold", "left")
+    for c in ("__top", "__two", "__first"):
+        out = _with_share(out, known, c, url, many)
     suffix = F.coalesce("__top_share", "__base", F.lit(0.5))
-    out = out.join(named("__first"), ["__fold", "__first"], "left")
     shares_of = {"__suffix": suffix, "__domain": F.coalesce("__two_share", suffix), "__section": F.coalesce("__first_share", "__base", F.lit(0.5))}
     return out.withColumns(shares_of).drop("__top", "__two", "__first", "__top_share", "__two_share", "__first_share", "__base", "__fold")
 
 
+def _with_share(urls: DataFrame, known: DataFrame, column: str, url: str, many: bool) -> DataFrame:
+    """Adds `<column>_share`: of frequent suffixes from the broadcast ones, of rare ones by a join."""
+    named = lambda rows, c, share: rows.select(F.col("fold").alias("__fold"), F.col("suffix").alias(c), F.col("share").alias(share))
+    share = f"{column}_share"
+    out = urls.join(F.broadcast(named(known.where("not rare"), column, share)), ["__fold", column], "left")
+    if not many:
+        return out
+    # URLs whose share is found get a key that matches nothing and spreads them.
+    key = F.when(F.col(share).isNull(), F.col(column)).otherwise(F.concat(F.lit("://"), F.coalesce(F.col(url), F.lit(""))))
+    out = out.withColumn("__key", key).join(named(known.where("rare"), "__key", "__rare").hint("merge"), ["__fold", "__key"], "left")
+    return out.withColumn(share, F.coalesce(share, "__rare")).drop("__key", "__rare")
+
+
 def _section(path: Column) -> Column:
     """First part of a path with its slash, which no suffix of a host has."""
     return F.regexp_extract(path, "(?s)^(/[^/]*)", 1)
@@ -108,25 +122,27 @@ def distinct_labels(labelled: DataFrame, url: str = "url") -> DataFrame:
 
 
 def suffix_shares(labelled: DataFrame, url: str = "url") -> DataFrame:
-    """(fold, suffix, share): smoothed block shares of the last and the last two labels of hosts, and of
+    """(fold, suffix, share, rare): smoothed block shares of the last and the last two labels of hosts, and of
     the first parts of paths.
 
     Fold -1 is of all distinct labelled URLs, the others are of all but those of the fold. The share of
-    a suffix is drawn towards that of all URLs, which is the row whose suffix is null. Of all suffixes
-    the SUFFIXES most frequent ones are kept.
+    a suffix is drawn towards that of all URLs, which is the row whose suffix is null. `rare` says
+    that a suffix is none of the SUFFIXES most frequent ones, which alone are small enough to broadcast.
     """
     keys = F.array_distinct(F.array(F.lit(None).cast("string"), F.substring_index("host", ".", -1), F.substring_index("host", ".", -2), _section(F.col("path"))))
     counts = labelled.select(F.explode(keys).alias("suffix"), _fold(url).alias("fold"), "blocked").groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
     counts = materialize(counts)
     totals = counts.groupBy("suffix").agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
-    totals = materialize(totals.orderBy(F.col("suffix").isNotNull(), F.col("n_all").desc(), "suffix").limit(SUFFIXES + 1))
+    totals = materialize(totals)
+    often = totals.where("suffix is not null").orderBy(F.col("n_all").desc(), "suffix").limit(SUFFIXES).select("suffix", F.lit(False).alias("often"))
+    totals = materialize(totals.join(often, "suffix", "left").withColumn("rare", F.coalesce("often", F.col("suffix").isNotNull())).drop("often"))
     folds = totals.select("*", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))).alias("fold"))
     own = counts.withColumnRenamed("suffix", "s").withColumnRenamed("fold", "f")
     rest = folds.join(own, (F.col("f") == F.col("fold")) & F.col("s").eqNullSafe(F.col("suffix")), "left")
-    rest = rest.select("suffix", "fold", (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("bad_all") - F.coalesce("bad", F.lit(0.0))).alias("bad"))
+    rest = rest.select("suffix", "fold", "rare", (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("bad_all") - F.coalesce("bad", F.lit(0.0))).alias("bad"))
     prior = rest.where("suffix is null").select("fold", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("prior"))
     smoothed = F.when(F.col("suffix").isNull(), F.col("prior")).otherwise((F.col("bad") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR))
-    return materialize(rest.join(F.broadcast(prior), "fold").select("fold", "suffix", smoothed.alias("share")))
+    return materialize(rest.join(F.broadcast(prior), "fold").select("fold", "suffix", smoothed.alias("share"), "rare"))
 
 
 def train(labelled: DataFrame, shares: DataFrame, url: str = "url") -> GBTClassificationModel | None:
