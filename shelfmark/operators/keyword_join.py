@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, empty_to_null, trim_blanks
-from .score_join import contained_pairs
+from ..storage import materialize
+from .score_join import BROADCAST_ROWS, contained_pairs
+
+#: Rows and queries of one text that meet in one cell.
+ROWS, QUERIES = 20_000, 200
 
 
 def _needle(c: Column) -> Column:
@@ -24,6 +28,47 @@ def _pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     )
 
 
+def _answers(asked: DataFrame, found: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, source_id, position): rows of the texts found for a key, given to all queries of the key.
+
+    `asked(query_id, key, wanted)`, `found(key, text)`, `rows(text, source_id, position, names)`. Queries
+    come last, so that their many rows are not dealt out again; a key's rows and queries are split into
+    cells of at most about `ROWS` times `QUERIES`. Names are compared once for each author wanted.
+    """
+    found = materialize(found)
+    sizes = rows.groupBy(text).agg(F.count("*").alias("b"))
+    shape = (
+        found.join(sizes, text).groupBy(key).agg(F.sum("b").alias("b"))
+        .join(asked.groupBy(key).agg(F.count("*").alias("a")), key)
+        .select(key, F.ceil(F.col("b") / ROWS).cast("int").alias("cols"), F.ceil(F.col("a") / QUERIES).cast("int").alias("lines"))
+        .where("cols > 1 or lines > 1")
+    )
+    shape = materialize(shape)
+    if shape.count() <= BROADCAST_ROWS:
+        shape = F.broadcast(shape)
+    one = F.lit(1)
+    spark = asked.sparkSession
+    # As many parts as asked for: the answers are far larger than what is dealt out.
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(frame: DataFrame, books: DataFrame, ids: str) -> DataFrame:
+        """Pairs of a query (column `ids` of `frame`) and a row, each once."""
+        left = frame.join(shape, key, "left").withColumn("line", F.pmod(F.xxhash64(ids), F.coalesce("lines", one)).cast("int"))
+        left = left.withColumn("col", F.explode(F.sequence(F.lit(0), F.coalesce("cols", one) - 1))).drop("cols", "lines")
+        right = books.join(shape, key, "left").withColumn("col", F.pmod(F.xxhash64("source_id", "position"), F.coalesce("cols", one)).cast("int"))
+        right = right.withColumn("line", F.explode(F.sequence(F.lit(0), F.coalesce("lines", one) - 1))).drop("cols", "lines")
+        on = [key, "line", "col"]
+        return left.repartition(parts, *on).join(right.repartition(parts, *on), on)
+
+    books = found.join(rows, text).drop(text)
+    free = dealt(asked.where("wanted is null").select("query_id", key), books.drop("names"), "query_id")
+    named = asked.where("wanted is not null").select(key, "wanted")
+    answered = dealt(named.distinct(), books, "wanted").where(F.contains("names", F.col("wanted")))
+    by_author = answered.join(asked.select(key, "wanted", "query_id"), [key, "wanted"])
+    cols = ["query_id", "source_id", "position"]
+    return free.select(*cols).unionByName(by_author.select(*cols))
+
+
 def keyword_filter(queries: DataFrame, books: DataFrame, with_author: bool = False) -> DataFrame:
     """(query_id, source_id, position) of rows whose title contains the query title.
 
@@ -40,10 +85,9 @@ def keyword_filter(queries: DataFrame, books: DataFrame, with_author: bool = Fal
         *([F.lower(F.array_join("authors", " ")).alias("names")] if with_author else []),
     )
     found = _pairs(asked.select("needle"), rows.select("haystack"))
-    hits = asked.join(found, "needle").join(rows, "haystack")
-    if with_author:
-        hits = hits.where(F.col("wanted").isNull() | F.contains("names", F.col("wanted")))
-    return hits.select("query_id", "source_id", "position")
+    if not with_author:
+        asked, rows = asked.withColumn("wanted", F.lit(None).cast("string")), rows.withColumn("names", F.lit(None).cast("string"))
+    return _answers(asked, found, rows, "needle", "haystack")
 
 
 def token_and_filter(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -56,32 +100,21 @@ def token_and_filter(queries: DataFrame, index: DataFrame) -> DataFrame:
         "query_id", _needle(F.col("title")).alias("title"), _needle(F.col("author")).alias("wanted")
     )
     rows = index.select("source_id", "position", "haystack", F.lower("author_text").alias("names"))
-    tokens = (
+    titles = (
         asked.where("title is not null")
-        .select("title")
+        .select(F.col("title").alias("needle"))
         .distinct()
-        .withColumn("parts", F.array_distinct(F.split("title", f"{WS}+")))
-        .select("title", F.size("parts").alias("total"), F.explode("parts").alias("needle"))
-    )
-    found = _pairs(tokens.select("needle"), rows.select("haystack"))
-    complete = (
-        tokens.join(found, "needle")
-        .groupBy("title", "haystack", "total")
-        .agg(F.count("*").alias("n"))
-        .where("n = total")
-        .select("title", "haystack")
-    )
-    by_title = (
-        asked.join(complete, "title")
-        .join(rows, "haystack")
-        .where(F.col("wanted").isNull() | F.contains(F.coalesce("names", F.lit("")), F.col("wanted")))
-        .select("query_id", "source_id", "position")
+        .withColumn("parts", F.filter(F.array_distinct(F.split("needle", f"{WS}+")), lambda p: p != ""))
     )
+    texts = rows.select("haystack").where("haystack is not null and haystack != ''").distinct()
+    # A row is looked up under the rarest n-gram of all tokens and must hold the others as well.
+    complete = contained_pairs(titles, texts).withColumnRenamed("needle", "title")
+    by_title = _answers(asked.where("title is not null"), complete, rows, "title", "haystack")
     only_author = asked.where("title is null and wanted is not null")
     names = _pairs(
         only_author.select(F.col("wanted").alias("needle")), rows.select(F.col("names").alias("haystack"))
     ).select(F.col("needle").alias("wanted"), F.col("haystack").alias("names"))
     by_author = (
-        only_author.join(names, "wanted").join(rows, "names").select("query_id", "source_id", "position")
+        only_author.join(names.join(rows, "names").drop("names", "haystack"), "wanted").select("query_id", "source_id", "position")
     )
     return by_title.unionByName(by_author)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import scoring, text
 from shelfmark.operators import joins, ranking
 from shelfmark.operators.enrich import enrich
-from shelfmark.operators import score_join as joined
+from shelfmark.operators import keyword_join, score_join as joined
 from shelfmark.operators.score_join import contained_pairs, score_join
 from shelfmark.operators import top_matches as top
 from shelfmark.operators.top_matches import top_matches
@@ -44,6 +44,35 @@ def test_one_gram_in_most_titles_and_needles_is_dealt_to_bounded_cells(spark):
     assert sorted(map(tuple, got)) == sorted((n, h) for n in asked for h in hay if n in h)
 
 
+def test_all_tokens_are_looked_up_under_the_rarest_of_them(spark):
+    """A row is a candidate only under the rarest n-gram of all tokens, not under each token by itself."""
+    hay = [f"common {i % 5} word{i:03d}" for i in range(200)]
+    needles = spark.createDataFrame([("common word007", ["common", "word007"]), ("common 9", ["common", "9"])], "needle string, parts array<string>")
+    titles = spark.createDataFrame([(h,) for h in hay], "haystack string")
+    assert {(r.needle, r.df < 50) for r in joined.rarest_grams(needles, titles).collect()} == {("common word007", True), ("common 9", True)}
+    got = contained_pairs(needles, titles).collect()
+    assert sorted(map(tuple, got)) == sorted((n, h) for n, p in (("common word007", ["common", "word007"]), ("common 9", ["common", "9"])) for h in hay if all(x in h for x in p))
+
+
+def test_keyword_filters_in_small_cells(spark, monkeypatch):
+    """Texts of many rows and queries are dealt to cells; every answer comes once."""
+    monkeypatch.setattr(keyword_join, "ROWS", 3)
+    monkeypatch.setattr(keyword_join, "QUERIES", 2)
+    rnd = random.Random(11)
+    titles, names = ["red ring small", "red bolt", "old ring", "Red Ring"], [["Ann Lee"], ["Bob"], [], None]
+    books = [("gihyo", i, rnd.choice(titles), rnd.choice(names)) for i in range(60)]
+    asks = [(i, rnd.choice(["red ring", " RED ", "ring", "ring red", None, "zzz"]), rnd.choice([None, "lee", "Bob"])) for i in range(50)]
+    b = spark.createDataFrame(books, "source_id string, position bigint, title string, authors array<string>")
+    q = spark.createDataFrame(asks, "query_id bigint, title string, author string")
+    writes = lambda a, n: a is None or (n is not None and a.lower() in " ".join(n).lower())
+    got = keyword_join.keyword_filter(q, b, with_author=True).collect()
+    assert sorted(map(tuple, got)) == sorted((i, s, p) for i, t, a in asks for s, p, x, n in books if t and t.strip().lower() in x.lower() and writes(a, n))
+    index = b.select("source_id", "position", F.lower("title").alias("haystack"), F.array_join("authors", " ").alias("author_text"))
+    got = keyword_join.token_and_filter(q, index).collect()
+    has = lambda t, x: t is None or all(w in x.lower() for w in t.lower().split())
+    assert sorted(map(tuple, got)) == sorted((i, s, p) for i, t, a in asks for s, p, x, n in books if (t or a) and has(t, x) and writes(a, n))
+
+
 def small_catalog(spark, seed=3, n=150):
     rnd = random.Random(seed)
     words = ["net", "network", "tcp", "ip", "data", "base", "a", "入門", "実践"]
