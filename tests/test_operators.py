@@ -243,3 +243,16 @@ def test_isbn_codes(spark):
 def test_registry_is_unique(spark):
     reg = sources(spark).collect()
     assert len(reg) == 24 and len({r.source_id for r in reg}) == 24 and len({r.base_url for r in reg}) == 24
+
+
+def test_score_join_meets_titles_in_small_cells_and_scores_each_pair_once(spark, monkeypatch):
+    """Pairs share up to three tokens, one of them in nearly all titles; books of a title come in several rows."""
+    for name, n in (("TEXTS", 3), ("TITLES", 2), ("CHUNK", 2)):
+        monkeypatch.setattr(joined, name, n)
+    books = [(["gihyo", "pragprog"][i % 2], i, f"vol {i % 9} net" if i % 10 else "other") for i in range(60)]
+    b = spark.createDataFrame(books, "source_id string, position bigint, title_key string").withColumn("author_keys", F.array().cast("array<string>"))
+    q = spark.createDataFrame(
+        [(f"vol {i} net net", None, [None, "gihyo", "", "nobody"][i % 4]) for i in range(12)] + [("vol 1 net", None, None), ("zzz", None, None)],
+        "query_title string, query_author string, publisher_id string",
+    )
+    assert rows(score_join(q, b)) == rows(brute_force(q, b))
