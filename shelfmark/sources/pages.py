@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +34,48 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return pages.where("status = 200").drop("status")
 
 
-def _decode(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
-    def one(body, charset):
-        if body is None:
-            return None
-        if body[:2] == b"\x1f\x8b":
-            try:
-                body = gzip.decompress(body)
-            except (OSError, EOFError, zlib.error):
-                return None
-        try:
-            return body.decode(charset or "utf-8", "replace")
-        except LookupError:
-            return body.decode("utf-8", "replace")
+#: Bodies that are decoded at a time.
+BODIES = 128
+
 
-    return pd.Series([one(b, c) for b, c in zip(bodies, charsets)], dtype=object)
+def _decode(body: bytes | None, charset: str | None) -> str | None:
+    if body is None:
+        return None
+    if body[:2] == b"\x1f\x8b":
+        try:
+            body = gzip.decompress(body)
+        except (OSError, EOFError, zlib.error):
+            return None
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def decode_bodies(df: DataFrame) -> DataFrame:
     """`df(url, body, content_type)` with `html`: gunzipped if packed, decoded by its charset.
 
     A charset that is missing or unknown counts as UTF-8; a broken gzip body gives null and says so in
-    `error`, which is null for all other rows.
+    `error`, which is null for all other rows. A worker holds a few bodies as Python objects at a time,
+    however many rows a batch has.
     """
-    decode = F.pandas_udf(_decode, "string")
     charset = empty_to_null(F.lower(F.regexp_extract(F.coalesce("content_type", F.lit("")), CHARSET, 1)))
-    broken = F.col("body").isNotNull() & F.col("html").isNull()
-    decoded = df.withColumn("html", decode("body", charset))
-    return decoded.withColumn("error", F.when(broken, "broken gzip body")).drop("body", "content_type")
+    rest = [c for c in df.columns if c not in ("body", "content_type", "html", "error")]
+    keep = df.select(*rest, F.col("body").isNotNull().alias("__had"), "body", charset.alias("__charset"))
+    names = [*rest, "__had", "html"]
+    schema = keep.select(*rest, "__had", F.col("__charset").alias("html")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BODIES):
+                part = batch.slice(at, BODIES)
+                body, own = part.column(len(rest) + 1).to_pylist(), part.column(len(rest) + 2).to_pylist()
+                html = pa.array([_decode(b, c) for b, c in zip(body, own)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest) + 1], html], names=names)
+
+    broken = F.col("__had") & F.col("html").isNull()
+    decoded = keep.mapInArrow(run, schema)
+    return decoded.select(*rest, "html", F.when(broken, "broken gzip body").alias("error"))
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
