@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize
+from ..storage import materialize, tables_removed
 from .suffix_sort import Hashes, mergesort
 
 LENGTH = 50
@@ -289,19 +289,23 @@ def _crowded(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Written table of (doc, tag, start, end) that cover all bytes to be removed, with overlaps."""
     long = docs.where(F.length("text") >= length)
-    met = materialize(_meet(_scan(long, length, gram)))
-    reach = length - gram
-    whole = met.where("covered = 1").select("doc", "tag", F.greatest(F.lit(0), F.col("at") - reach).cast("int").alias("start"), (F.col("at") + length).cast("int").alias("end"))
-    marks = met.where("covered = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "at")).alias("marks"))
-    contexts = _contexts(long.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks"), length, gram)
-    crowds = materialize(met.where("covered = 0").groupBy("key").count().where(F.col("count") > CROWD).select("key"))
-    found = whole
-    if crowds.isEmpty():
-        found = found.unionByName(_sort(contexts, length, gram))
-    else:
-        found = found.unionByName(_sort(contexts.join(crowds, "key", "left_anti").select(*contexts.columns), length, gram))
-        found = found.unionByName(_crowded(contexts.join(crowds, "key", "left_semi"), length, gram))
-    return materialize(found)
+    # All but the spans goes as soon as they are written: later joins have the disk to themselves.
+    with tables_removed(docs.sparkSession) as paths:
+        met = materialize(_meet(_scan(long, length, gram)))
+        reach = length - gram
+        whole = met.where("covered = 1").select("doc", "tag", F.greatest(F.lit(0), F.col("at") - reach).cast("int").alias("start"), (F.col("at") + length).cast("int").alias("end"))
+        marks = met.where("covered = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "at")).alias("marks"))
+        contexts = _contexts(long.join(marks, ["doc", "tag"]).select("doc", "tag", "text", "marks"), length, gram)
+        crowds = materialize(met.where("covered = 0").groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+        found = whole
+        if crowds.isEmpty():
+            found = found.unionByName(_sort(contexts, length, gram))
+        else:
+            found = found.unionByName(_sort(contexts.join(crowds, "key", "left_anti").select(*contexts.columns), length, gram))
+            found = found.unionByName(_crowded(contexts.join(crowds, "key", "left_semi"), length, gram))
+        found = materialize(found)
+        paths.pop()
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text: str = "text") -> DataFrame:

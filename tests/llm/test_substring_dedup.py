@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import substring_dedup as sd
 from shelfmark.llm import suffix_sort
@@ -78,3 +79,16 @@ def test_equal_hashes_are_not_proof(monkeypatch):
     monkeypatch.setattr(suffix_sort.Hashes, "of", lambda self, start, end: np.zeros(np.broadcast(start, end).shape, np.uint64))
     hit = sd.covered(np.zeros(3, np.int64), np.arange(3), np.full(3, 20), parts, 50, 16)
     assert not hit.any()
+
+
+def test_only_the_spans_stay_on_disk(spark):
+    """Anchors and crowded keys are removed once the spans are written."""
+    from shelfmark import storage
+
+    docs = spark.createDataFrame([(i, f"{i} " + "the same passage again and again, long enough to be found " * 2) for i in range(20)], "doc_id bigint, text string")
+    frame = docs.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tag"), F.col("text").cast("binary").alias("text"))
+    with storage.tables_removed(spark) as outer:
+        found = sd.spans(frame, 50, 16)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        left = [p for p in outer if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
+        assert len(left) == 1 and found.count() > 0
