@@ -47,14 +47,13 @@ _TEXTS = "key bigint, doc bigint, tag int, at int, before int, bytes binary"
 @contextmanager
 def _dropping_shuffles(spark: SparkSession):
     """Shuffle files of a finished write are not kept: the table it wrote takes their place."""
-    was = spark.conf.get(_CLEANUP, None)
-    if was is not None:
-        spark.conf.set(_CLEANUP, "true")
+    # Asked for without a default of its own, a setting that nobody set would come back as none.
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        if was is not None:
-            spark.conf.set(_CLEANUP, was)
+        spark.conf.set(_CLEANUP, was)
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:

@@ -92,3 +92,11 @@ def test_only_the_spans_stay_on_disk(spark):
         path = spark._jvm.org.apache.hadoop.fs.Path
         left = [p for p in outer if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
         assert len(left) == 1 and found.count() > 0
+
+
+def test_shuffle_files_are_dropped_while_it_runs(spark):
+    """The setting takes hold in a session that never set it, and is put back."""
+    before = spark.conf.get(sd._CLEANUP)
+    with sd._dropping_shuffles(spark):
+        assert spark.conf.get(sd._CLEANUP) == "true"
+    assert spark.conf.get(sd._CLEANUP) == before == "false"
