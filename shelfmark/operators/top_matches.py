@@ -35,7 +35,13 @@ def _lists(shelf: DataFrame, keys: list[str], order: list[str], k: int) -> DataF
 
 
 def best_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, per_source: bool) -> DataFrame:
-    """(query columns, source_id, position, match_score, rank): the best books per query.
+    """(query columns, source_id, position, match_score, rank): the best books per query, see `form_hits`."""
+    hits, forms = form_hits(queries, books, registry, per_source)
+    return hits.join(forms, "form_id").select(*FORM, "source_id", "position", "match_score", "rank")
+
+
+def form_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, per_source: bool) -> tuple[DataFrame, DataFrame]:
+    """(form_id, source_id, position, match_score, rank): the best books per query; and the queries by form_id.
 
     `queries(query_title, query_author, publisher_id, limit)` must be distinct but for the limit;
     `books(source_id, position, title_key, author_keys)`. With `per_source` the best `limit` books of
@@ -84,8 +90,7 @@ def best_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, per_sou
     w = Window.partitionBy("form_id", "grp").orderBy(F.col("match_score").desc(), *order)
     several = several.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).where("rank <= k")
     cols = ["form_id", "source_id", "position", "match_score", "rank"]
-    hits = single.select(*cols).unionByName(several.select(*cols))
-    return hits.join(forms.select("form_id", *FORM), "form_id").select(*FORM, "source_id", "position", "match_score", "rank")
+    return single.select(*cols).unionByName(several.select(*cols)), forms.select("form_id", *FORM)
 
 
 def top_matches(queries: DataFrame, books: DataFrame, registry: DataFrame, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.enrich import enrich, stamp_defaults, with_distinct_authors
 from ..operators.filters import relevance_filter
 from ..operators.keyword_join import keyword_filter, token_and_filter
 from ..operators.ranking import DEFAULT_LIMIT, rank_by_score, top_per_group
-from ..operators.top_matches import best_hits
+from ..operators.top_matches import form_hits
 from ..storage import materialize
 
 # How local catalogs are searched, and rows that a source gives at most.
@@ -19,6 +19,8 @@ ALL_TOKENS = ("pragprog",)
 WITH_AUTHOR = ("tatsu-zine",)
 SOURCE_LIMITS = {"google-books": 40}
 FORM = ["query_title", "query_author", "publisher_id"]
+#: Books of a source that a query may want for its answers to lie in one row; beyond that they are rows.
+LISTED = 1_000
 
 
 def prepare_catalog(catalog: DataFrame, bib: DataFrame, registry: DataFrame) -> DataFrame:
@@ -55,20 +57,27 @@ def _largest(forms: DataFrame) -> int:
 def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
     """(query_id, rank, source_id, position, match_score): the best rows per query and source.
 
-    Queries that ask for the same are scored once, as many rows as the largest of them wants.
+    Queries that ask for the same are scored once, as many rows as the largest of them wants. These
+    lie in one row, in order, so that the answers of a query are ranked where it meets that row:
+    answers, which are far more, are neither joined nor sorted.
     """
     forms = materialize(query_forms(queries))
     distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
-    best = best_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FORM]
+    best, numbered = form_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"f.{c}")) for c in FORM]
+    asked = forms.alias("f").join(numbered.alias("n"), same).select("f.query_id", "n.form_id", "f.limit")
     # The registry breaks ties between sources only, after each source was cut.
-    cut = best.alias("b").join(forms.alias("f"), same).where("b.rank <= f.limit").select(
-        "f.query_id", "b.source_id", "b.position", "b.match_score"
-    )
-    small = registry.select("source_id", "scale", "ordinal")
-    return rank_by_score(cut.join(F.broadcast(small), "source_id"), "query_id").select(
-        "query_id", "rank", "source_id", "position", "match_score"
-    )
+    small = F.broadcast(registry.select("source_id", "scale", "ordinal"))
+    out = ["query_id", "rank", "source_id", "position", "match_score"]
+    if _largest(forms) > LISTED:
+        cut = best.withColumnRenamed("rank", "nth").join(asked, "form_id").where("nth <= limit")
+        return rank_by_score(cut.join(small, "source_id"), "query_id").select(*out)
+    minor = (F.coalesce(F.col("scale"), F.lit("")) == "minor").alias("minor")
+    hit = F.struct((-F.col("match_score")).alias("worse"), minor, "ordinal", "position", "source_id", F.col("rank").alias("nth"))
+    lists = best.join(small, "source_id").groupBy("form_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    own = F.filter("hits", lambda h: h["nth"] <= F.col("limit"))
+    met = asked.join(lists, "form_id").select("query_id", F.posexplode(own).alias("at", "hit"))
+    return met.select("query_id", (F.col("at") + 1).alias("rank"), "hit.source_id", "hit.position", (-F.col("hit.worse")).alias("match_score"))
 
 
 def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:

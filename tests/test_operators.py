@@ -12,6 +12,7 @@ from shelfmark.operators import keyword_join, score_join as joined
 from shelfmark.operators.score_join import contained_pairs, score_join
 from shelfmark.operators import top_matches as top
 from shelfmark.operators.top_matches import top_matches
+from shelfmark.plans import search
 from shelfmark.plans.search import ranked_hits
 from shelfmark.schemas import as_books
 from shelfmark.sources.registry import isbn_codes, sources
@@ -172,6 +173,22 @@ def test_limits_over_the_usual_bound_are_kept(spark):
     assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 60, 2: 10}
 
 
+def test_answers_are_ranked_where_a_query_meets_its_list(spark, monkeypatch):
+    """Answers are neither sorted nor dealt out by query; rows beyond the bound give the same."""
+    names = [s.source_id for s in sources(spark).select("source_id").limit(5).collect()]
+    books = spark.createDataFrame(
+        [(names[i % 5], i, f"red{'blue' if i % 3 else 'pink'}{i % 4}", [f"author{i % 2}"]) for i in range(60)],
+        "source_id string, position long, title_key string, author_keys array<string>")
+    asked = spark.createDataFrame(
+        [(1, "red blue", None, None, 3), (2, "red blue", None, None, 1), (3, "blue 2", "author 1", None, 4), (4, None, "author 0", names[0], None), (5, "red", None, None, 0), (6, None, None, None, 5)],
+        "query_id long, title string, author string, publisher_id string, limit int")
+    hits = ranked_hits(asked, books, sources(spark))
+    assert "windowspecdefinition(query_id" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(search, "LISTED", 0)
+    by_rows = ranked_hits(asked, books, sources(spark))
+    assert rows(hits) == rows(by_rows) and hits.count() > 20
+
+
 def test_score_join_has_no_nested_loop(spark):
     q, b = small_catalog(spark)
     plan = score_join(q, b)._jdf.queryExecution().executedPlan().toString()
