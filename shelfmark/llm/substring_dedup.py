@@ -14,7 +14,6 @@ anchor, with the bytes that strings around the anchor can reach, its context:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize, tables_removed
+from ..storage import _CLEANUP, materialize, tables_removed
+from ..storage import shuffles_dropped as _dropping_shuffles
 from .suffix_sort import Hashes, mergesort
 
 LENGTH = 50
@@ -35,7 +35,6 @@ SORTED, CROWD = 20_000, 20_000
 #: Rows of one batch that share a context from which on most of them need not meet the others.
 HOT = 8
 _LAST = (1 << 63) - 1
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _SPANS = "doc bigint, tag int, start int, end int"
 #: `place` is tag, whether the row is known to be covered, and the byte in the text: 31, 1 and 31 bits.
@@ -44,18 +43,6 @@ _MARKS = "key bigint, doc bigint, tag int, at int, covered int"
 _TEXTS = "key bigint, doc bigint, tag int, at int, before int, bytes binary"
 
 
-@contextmanager
-def _dropping_shuffles(spark: SparkSession):
-    """Shuffle files of a finished write are not kept: the table it wrote takes their place."""
-    # Asked for without a default of its own, a setting that nobody set would come back as none.
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, was)
-
-
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of every `width` neighbours."""
     w = 1
