@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -64,6 +64,14 @@ def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> Da
     forms = materialize(query_forms(queries))
     distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
     best, numbered = form_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
+    return _given(forms, numbered, best, registry)
+
+
+def _given(forms: DataFrame, numbered: DataFrame, best: DataFrame, registry: DataFrame) -> DataFrame:
+    """(query_id, rank, source_id, position, match_score): to each query what its limit leaves of its form's answers.
+
+    `best(form_id, source_id, position, match_score, rank)`, the rank within the source; `numbered(form_id, FORM)`.
+    """
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"f.{c}")) for c in FORM]
     asked = forms.alias("f").join(numbered.alias("n"), same).select("f.query_id", "n.form_id", "f.limit")
     # The registry breaks ties between sources only, after each source was cut.
@@ -88,8 +96,12 @@ def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame)
     (and the author) in title, description and, where the catalog has them, keywords; sources in
     WITH_AUTHOR want the title as one text and the author.
     """
-    forms = materialize(query_forms(queries).withColumnsRenamed({"query_title": "title", "query_author": "author"}))
+    forms = materialize(query_forms(queries))
     most = _largest(forms)
+    # Queries that ask for the same are looked up and scored once, with as many rows as the largest of them wants.
+    distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit")).where("limit > 0")
+    numbered = materialize(distinct.select(F.monotonically_increasing_id().alias("form_id"), *FORM, "limit"))
+    shapes = numbered.select(F.col("form_id").alias("query_id"), F.col("query_title").alias("title"), F.col("query_author").alias("author"), "publisher_id", "limit")
     words = F.col("keywords") if "keywords" in books.columns else F.array().cast("array<string>")
     rows = top_per_group(
         books.select(
@@ -108,16 +120,18 @@ def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame)
         F.array_join("authors", ", ").alias("author_text"),
     )
     hits = (
-        keyword_filter(forms, rows.where(~by_token & ~by_author))
-        .unionByName(keyword_filter(forms, rows.where(by_author), with_author=True))
-        .unionByName(token_and_filter(forms, index))
+        keyword_filter(shapes, rows.where(~by_token & ~by_author))
+        .unionByName(keyword_filter(shapes, rows.where(by_author), with_author=True))
+        .unionByName(token_and_filter(shapes, index))
     )
-    asked = hits.join(forms, "query_id").where(
+    asked = hits.join(shapes, "query_id").where(
         F.col("publisher_id").isNull() | (F.col("publisher_id") == F.col("source_id"))
     )
     own = F.create_map(*[F.lit(x) for kv in SOURCE_LIMITS.items() for x in kv])
-    limit = F.least(F.col("limit"), F.coalesce(F.try_element_at(own, F.col("source_id")), F.col("limit")))
-    cut = top_per_group(asked.withColumn("limit", limit), ["query_id", "source_id"], [F.col("position")], F.col("limit"), cap=most)
+    cap = F.coalesce(F.try_element_at(own, F.col("source_id")), F.lit(most))
+    w = Window.partitionBy("query_id", "source_id").orderBy("position")
+    # Numbered once the sources have cut, which is how far a smaller limit of a query goes.
+    cut = asked.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).where(F.col("nth") <= F.least("limit", cap))
     pairs = cut.join(rows.drop("title", "description", "authors", "keywords"), ["source_id", "position"]).select(
         "*",
         match_key(F.col("title")).alias("query_key"),
@@ -131,10 +145,8 @@ def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame)
         F.col("author").isNotNull(),
     )
     scored = relevance_filter(pairs.withColumn("match_score", scoring.round3(score)), F.lit(True))
-    small = registry.select("source_id", "scale", "ordinal")
-    return rank_by_score(scored.join(F.broadcast(small), "source_id"), "query_id").select(
-        "query_id", "rank", "source_id", "position", "match_score"
-    )
+    best = scored.select(F.col("query_id").alias("form_id"), "source_id", "position", "match_score", F.col("nth").alias("rank"))
+    return _given(forms, numbered, best, registry)
 
 
 def search(

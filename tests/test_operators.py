@@ -189,6 +189,25 @@ def test_answers_are_ranked_where_a_query_meets_its_list(spark, monkeypatch):
     assert rows(hits) == rows(by_rows) and hits.count() > 20
 
 
+def test_source_order_looks_up_once_what_queries_share(spark, monkeypatch):
+    """Filters get one row for queries that ask for the same; each query's own limit cuts before the scores."""
+    books = spark.range(90).select(
+        F.when(F.col("id") < 60, "google-books").otherwise("saiensu").alias("source_id"), F.col("id").alias("position"),
+        F.concat(F.lit("Red "), F.col("id").cast("string")).alias("title"), F.array(F.lit("One")).alias("authors"),
+        F.concat(F.lit("red"), F.col("id").cast("string")).alias("title_key"), F.array(F.lit("one")).alias("author_keys"), F.lit(None).cast("string").alias("description"))
+    limits = [3, 50, None, 0, 45]
+    asked = spark.createDataFrame([(i, "red", None, None, limits[i % 5]) for i in range(40)], "query_id long, title string, author string, publisher_id string, limit int")
+    seen, real = [], search.keyword_filter
+    monkeypatch.setattr(search, "keyword_filter", lambda queries, *a, **k: seen.append(queries.count()) or real(queries, *a, **k))
+    hits = search.source_order_hits(asked, books, sources(spark)).collect()
+    assert seen == [1, 1]
+    for i in range(40):
+        n = [3, 50, 10, 0, 45][i % 5]
+        mine = sorted((r.rank, r.source_id, r.position) for r in hits if r.query_id == i)
+        want = {("google-books", k) for k in range(min(n, 40))} | {("saiensu", 60 + k) for k in range(min(n, 30))}
+        assert {m[1:] for m in mine} == want and [m[0] for m in mine] == list(range(1, len(want) + 1))
+
+
 def test_score_join_has_no_nested_loop(spark):
     q, b = small_catalog(spark)
     plan = score_join(q, b)._jdf.queryExecution().executedPlan().toString()
