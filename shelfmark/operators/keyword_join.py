@@ -15,6 +15,8 @@ from .score_join import BROADCAST_ROWS, contained_pairs
 
 #: Rows and queries of one text that meet in one cell.
 ROWS, QUERIES = 20_000, 200
+#: A row is about so many times as large as a query.
+WEIGHT = 8
 
 
 def _needle(c: Column) -> Column:
@@ -31,16 +33,21 @@ def _pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
 def _answers(asked: DataFrame, found: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, source_id, position): rows of the texts found for a key, given to all queries of the key.
 
-    `asked(query_id, key, wanted)`, `found(key, text)`, `rows(text, source_id, position, names)`. Queries
-    come last, so that their many rows are not dealt out again; a key's rows and queries are split into
-    cells of at most about `ROWS` times `QUERIES`. Names are compared once for each author wanted.
+    `asked(query_id, key, wanted)`, `found(key, text)`, `rows(text, source_id, position, names)`. Queries of
+    one key and author lie in rows of about `QUERIES`; these and a key's rows meet in cells of at most about
+    `ROWS` times `QUERIES` answers, and are told apart there, so that no answer is dealt out again.
+    Cells are cut so that little is copied: a query is a number, a row far more, so the rows are split first.
     """
     found = materialize(found)
+    counts = asked.groupBy(key, "wanted").agg(F.count("*").alias("n"))
     sizes = rows.groupBy(text).agg(F.count("*").alias("b"))
+    cells = F.ceil(F.col("a") / QUERIES * F.col("b") / ROWS)
+    cols = F.least(F.col("b"), cells, F.ceil(F.sqrt(cells * WEIGHT * F.col("b") / F.col("a"))))
     shape = (
         found.join(sizes, text).groupBy(key).agg(F.sum("b").alias("b"))
-        .join(asked.groupBy(key).agg(F.count("*").alias("a")), key)
-        .select(key, F.ceil(F.col("b") / ROWS).cast("int").alias("cols"), F.ceil(F.col("a") / QUERIES).cast("int").alias("lines"))
+        .join(counts.groupBy(key).agg(F.sum("n").alias("a")), key)
+        .select(key, cells.alias("cells"), cols.alias("cols"))
+        .select(key, F.col("cols").cast("int").alias("cols"), F.ceil(F.col("cells") / F.col("cols")).cast("int").alias("lines"))
         .where("cols > 1 or lines > 1")
     )
     shape = materialize(shape)
@@ -51,22 +58,21 @@ def _answers(asked: DataFrame, found: DataFrame, rows: DataFrame, key: str, text
     # As many parts as asked for: the answers are far larger than what is dealt out.
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def dealt(frame: DataFrame, books: DataFrame, ids: str) -> DataFrame:
-        """Pairs of a query (column `ids` of `frame`) and a row, each once."""
-        left = frame.join(shape, key, "left").withColumn("line", F.pmod(F.xxhash64(ids), F.coalesce("lines", one)).cast("int"))
-        left = left.withColumn("col", F.explode(F.sequence(F.lit(0), F.coalesce("cols", one) - 1))).drop("cols", "lines")
-        right = books.join(shape, key, "left").withColumn("col", F.pmod(F.xxhash64("source_id", "position"), F.coalesce("cols", one)).cast("int"))
-        right = right.withColumn("line", F.explode(F.sequence(F.lit(0), F.coalesce("lines", one) - 1))).drop("cols", "lines")
-        on = [key, "line", "col"]
-        return left.repartition(parts, *on).join(right.repartition(parts, *on), on)
-
+    counts = counts.select(F.col(key).alias("k"), F.col("wanted").alias("w"), F.ceil(F.col("n") / QUERIES).alias("of"))
+    packed = (
+        asked.join(counts, (F.col(key) == F.col("k")) & F.col("wanted").eqNullSafe(F.col("w")))
+        .groupBy(key, "wanted", F.pmod(F.xxhash64("query_id"), "of").alias("part"))
+        .agg(F.collect_list(F.struct("query_id")).alias("ids"))
+    )
+    left = packed.join(shape, key, "left").withColumn("line", F.pmod(F.xxhash64("wanted", "part"), F.coalesce("lines", one)).cast("int"))
+    left = left.withColumn("col", F.explode(F.sequence(F.lit(0), F.coalesce("cols", one) - 1))).drop("cols", "lines", "part")
     books = found.join(rows, text).drop(text)
-    free = dealt(asked.where("wanted is null").select("query_id", key), books.drop("names"), "query_id")
-    named = asked.where("wanted is not null").select(key, "wanted")
-    answered = dealt(named.distinct(), books, "wanted").where(F.contains("names", F.col("wanted")))
-    by_author = answered.join(asked.select(key, "wanted", "query_id"), [key, "wanted"])
-    cols = ["query_id", "source_id", "position"]
-    return free.select(*cols).unionByName(by_author.select(*cols))
+    right = books.join(shape, key, "left").withColumn("col", F.pmod(F.xxhash64("source_id", "position"), F.coalesce("cols", one)).cast("int"))
+    right = right.withColumn("line", F.explode(F.sequence(F.lit(0), F.coalesce("lines", one) - 1))).drop("cols", "lines")
+    on = [key, "line", "col"]
+    met = left.repartition(parts, *on).join(right.repartition(parts, *on), on)
+    met = met.where(F.col("wanted").isNull() | F.contains("names", F.col("wanted")))
+    return met.select(F.explode("ids").alias("id"), "source_id", "position").select("id.query_id", "source_id", "position")
 
 
 def keyword_filter(queries: DataFrame, books: DataFrame, with_author: bool = False) -> DataFrame:

@@ -74,6 +74,25 @@ def test_keyword_filters_in_small_cells(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((i, s, p) for i, t, a in asks for s, p, x, n in books if (t or a) and has(t, x) and writes(a, n))
 
 
+def one_title(spark, books, asks):
+    """Books of one title, and queries of it, each third with an author."""
+    b = spark.range(books).select(F.lit("gihyo").alias("source_id"), F.col("id").alias("position"), F.lit("red ring").alias("title"), F.array(F.lit("Ann")).alias("authors"))
+    q = spark.range(asks).select(F.col("id").alias("query_id"), F.lit("red ring").alias("title"), F.when(F.col("id") % 3 == 0, "ann").alias("author"))
+    return q, b
+
+
+def test_keyword_filter_copies_few_rows(spark, monkeypatch):
+    """Where a title has many queries and rows, a row is not copied for every few queries."""
+    monkeypatch.setattr(keyword_join, "ROWS", 10)
+    monkeypatch.setattr(keyword_join, "QUERIES", 10)
+    shapes, real = [], keyword_join.materialize
+    monkeypatch.setattr(keyword_join, "materialize", lambda df: (lambda kept: (shapes.extend(kept.collect()) if "cols" in kept.columns else None, kept)[1])(real(df)))
+    q, b = one_title(spark, 60, 400)
+    found = keyword_join.keyword_filter(q, b, with_author=True)
+    assert found.count() == found.distinct().count() == 60 * 400
+    assert len(shapes) == 1 and shapes[0].cols * shapes[0].lines >= 400 * 60 / 100 and shapes[0].lines < 400 / 10 / 2
+
+
 def small_catalog(spark, seed=3, n=150):
     rnd = random.Random(seed)
     words = ["net", "network", "tcp", "ip", "data", "base", "a", "入門", "実践"]
