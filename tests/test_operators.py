@@ -93,6 +93,17 @@ def test_keyword_filter_copies_few_rows(spark, monkeypatch):
     assert len(shapes) == 1 and shapes[0].cols * shapes[0].lines >= 400 * 60 / 100 and shapes[0].lines < 400 / 10 / 2
 
 
+def test_token_and_filter_deals_rows_once_and_no_answers(spark):
+    """Queries with and without author meet rows in one join; queries without id and repeated ones keep their answers."""
+    q, b = one_title(spark, 30, 20)
+    q = q.withColumn("query_id", F.when(F.col("query_id") > 2, F.floor(F.col("query_id") / 2))).where("title is not null")
+    index = b.select("source_id", "position", F.col("title").alias("haystack"), F.array_join("authors", " ").alias("author_text"))
+    found = keyword_join.token_and_filter(q, index)
+    want = sorted(((r.query_id, k) for r in q.collect() for k in range(30)), key=str)
+    assert sorted(((r.query_id, r.position) for r in found.collect()), key=str) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
 def small_catalog(spark, seed=3, n=150):
     rnd = random.Random(seed)
     words = ["net", "network", "tcp", "ip", "data", "base", "a", "入門", "実践"]
