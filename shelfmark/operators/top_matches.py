@@ -80,6 +80,9 @@ def form_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, per_sou
     groups = [r.source_id for r in registry.select("source_id").collect()]
     plain = _by_title(units.where("author_key = ''"), tokens, postings, by_grp, order, most, groups)
     named = _by_author(units.where("author_key != ''"), tokens, postings, by_grp, order, most)
+    if per_source:
+        # Lists of every source are many rows: each part is written, so that its shuffles can go before the next.
+        plain, named = materialize(plain), materialize(named)
     found = plain.unionByName(named)
 
     mean = scoring.mean_score(F.col("title_score"), F.col("author_score"), F.col("has_title"), F.col("has_author"))

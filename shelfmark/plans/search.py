@@ -12,7 +12,7 @@ from ..operators.filters import relevance_filter
 from ..operators.keyword_join import keyword_filter, token_and_filter
 from ..operators.ranking import DEFAULT_LIMIT, rank_by_score, top_per_group
 from ..operators.top_matches import form_hits
-from ..storage import materialize
+from ..storage import materialize, shuffles_dropped
 
 # How local catalogs are searched, and rows that a source gives at most.
 ALL_TOKENS = ("pragprog",)
@@ -54,24 +54,30 @@ def _largest(forms: DataFrame) -> int:
     return forms.agg(F.max("limit")).first()[0] or DEFAULT_LIMIT
 
 
-def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
-    """(query_id, rank, source_id, position, match_score): the best rows per query and source.
+def ranked_hits(queries: DataFrame, books: DataFrame, registry: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rank, source_id, position, match_score, columns): the best rows per query and source.
 
     Queries that ask for the same are scored once, as many rows as the largest of them wants. These
     lie in one row, in order, so that the answers of a query are ranked where it meets that row:
-    answers, which are far more, are neither joined nor sorted.
+    answers, which are far more, are neither joined nor sorted. `columns` of the books lie there as well.
     """
-    forms = materialize(query_forms(queries))
-    distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
-    best, numbered = form_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
-    return _given(forms, numbered, best, registry)
+    # What was shuffled for the best rows goes once they are written.
+    with shuffles_dropped(queries.sparkSession):
+        forms = materialize(query_forms(queries))
+        distinct = forms.groupBy(*FORM).agg(F.max("limit").alias("limit"))
+        best, numbered = form_hits(distinct, books.select("source_id", "position", "title_key", "author_keys"), registry, per_source=True)
+        best = materialize(best)
+    return _given(forms, numbered, best, registry, books.select("source_id", "position", *columns))
 
 
-def _given(forms: DataFrame, numbered: DataFrame, best: DataFrame, registry: DataFrame) -> DataFrame:
+def _given(forms: DataFrame, numbered: DataFrame, best: DataFrame, registry: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, source_id, position, match_score): to each query what its limit leaves of its form's answers.
 
     `best(form_id, source_id, position, match_score, rank)`, the rank within the source; `numbered(form_id, FORM)`.
+    With further columns of `books`, those of each answer; answers that no row of `books` has are ranked, then dropped.
     """
+    book = ["source_id", "position"]
+    columns = [c for c in books.columns if c not in book] if books is not None else []
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"f.{c}")) for c in FORM]
     asked = forms.alias("f").join(numbered.alias("n"), same).select("f.query_id", "n.form_id", "f.limit")
     # The registry breaks ties between sources only, after each source was cut.
@@ -79,13 +85,20 @@ def _given(forms: DataFrame, numbered: DataFrame, best: DataFrame, registry: Dat
     out = ["query_id", "rank", "source_id", "position", "match_score"]
     if _largest(forms) > LISTED:
         cut = best.withColumnRenamed("rank", "nth").join(asked, "form_id").where("nth <= limit")
-        return rank_by_score(cut.join(small, "source_id"), "query_id").select(*out)
+        ranked = rank_by_score(cut.join(small, "source_id"), "query_id").select(*out)
+        return ranked.join(books, book).select(*out, *columns) if columns else ranked
     minor = (F.coalesce(F.col("scale"), F.lit("")) == "minor").alias("minor")
-    hit = F.struct((-F.col("match_score")).alias("worse"), minor, "ordinal", "position", "source_id", F.col("rank").alias("nth"))
+    if columns:
+        rows = books.groupBy(*book).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+        best = best.join(rows, book, "left")
+    hit = F.struct((-F.col("match_score")).alias("worse"), minor, "ordinal", "position", "source_id", F.col("rank").alias("nth"), *(["rows"] if columns else []))
     lists = best.join(small, "source_id").groupBy("form_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     own = F.filter("hits", lambda h: h["nth"] <= F.col("limit"))
     met = asked.join(lists, "form_id").select("query_id", F.posexplode(own).alias("at", "hit"))
-    return met.select("query_id", (F.col("at") + 1).alias("rank"), "hit.source_id", "hit.position", (-F.col("hit.worse")).alias("match_score"))
+    answer = [F.col("query_id"), (F.col("at") + 1).alias("rank"), F.col("hit.source_id"), F.col("hit.position"), (-F.col("hit.worse")).alias("match_score")]
+    if not columns:
+        return met.select(*answer)
+    return met.select(*answer, F.explode("hit.rows").alias("row")).select(*out, *[F.col("row")[c].alias(c) for c in columns])
 
 
 def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame) -> DataFrame:
@@ -150,19 +163,26 @@ def source_order_hits(queries: DataFrame, books: DataFrame, registry: DataFrame)
 
 
 def search(
-    queries: DataFrame, catalog: DataFrame, bib: DataFrame, registry: DataFrame, limit_scope: str = "score"
+    queries: DataFrame, catalog: DataFrame, bib: DataFrame, registry: DataFrame, limit_scope: str = "score", columns: list[str] | None = None
 ) -> DataFrame:
     """(query_id, rank, match_score, book columns) for `queries(query_id, title, author, publisher_id, limit)`.
 
     `limit_scope="score"` keeps the best `limit` rows per query and source;
     `limit_scope="source_order"` keeps the first `limit` rows a source's own filter finds, in its
     own order, and scores them afterwards.
+
+    `columns`: the only book columns wanted besides source and position. Where scores decide, a few of them
+    are laid beside the answers of queries that ask for the same, so that no answer is shuffled.
     """
     books = prepare_catalog(catalog, bib, registry)
+    wanted = tuple(dict.fromkeys(c for c in columns or () if c not in ("source_id", "position")))
+    if limit_scope == "score" and wanted:
+        return ranked_hits(queries, books, registry, wanted)
     if limit_scope == "score":
         hits = ranked_hits(queries, books, registry)
     elif limit_scope == "source_order":
         hits = source_order_hits(queries, books, registry)
     else:
         raise ValueError(f"unknown limit_scope: {limit_scope}")
-    return hits.join(books.drop("title_key", "author_keys"), ["source_id", "position"])
+    kept = books.drop("title_key", "author_keys") if columns is None else books.select("source_id", "position", *wanted)
+    return hits.join(kept, ["source_id", "position"])

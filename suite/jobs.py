@@ -95,7 +95,7 @@ def _requests(spark, d):
 SELECT query_id, rank, ranked.source_id, ranked.k, match_score, shelf.title, shelf.isbn FROM ranked JOIN shelf ON shelf.k = ranked.k""",
     BIB_SQL, SOURCES_SQL, _SHELF_SQL, ASKS, _ranked_sql("asks", 'least(coalesce("limit", 10), 50)')))
 def search_books(spark, d):
-    out = search(_requests(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark))
+    out = search(_requests(spark, d), v.catalog(spark, d), bib_books(spark, d), v.sources(spark), columns=["title", "isbn"])
     return out.select("query_id", "rank", "source_id", col("position").alias("k"), "match_score", "title", "isbn")
 
 

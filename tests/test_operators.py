@@ -238,6 +238,23 @@ def test_source_order_looks_up_once_what_queries_share(spark, monkeypatch):
         assert {m[1:] for m in mine} == want and [m[0] for m in mine] == list(range(1, len(want) + 1))
 
 
+def test_search_lays_wanted_columns_beside_the_answers_of_a_form(spark):
+    """Book columns are joined to what queries share, not to each answer; repeated rows and unknown books keep the ranks."""
+    rows = [("saiensu", i, f"Red {i % 3}", f"n{i}", [["One"], []][i % 2]) for i in range(12)] + [("saiensu", 3, "Red 0", "again", [])]
+    books = spark.createDataFrame(rows, "source_id string, position long, title string, isbn string, authors array<string>")
+    books = books.withColumn("title_key", text.match_key(F.col("title"))).withColumn("author_keys", text.match_keys(F.col("authors")))
+    asked = spark.createDataFrame([(i, ["red 0", "red 1"][i % 2], [None, "One"][i // 2 % 2], None, [2, 9, None][i % 3]) for i in range(24)], "query_id long, title string, author string, publisher_id string, limit int")
+    plain = search.ranked_hits(asked, books, sources(spark))
+    joined_ = plain.join(books.select("source_id", "position", "title", "isbn"), ["source_id", "position"])
+    got = search.ranked_hits(asked, books, sources(spark), ("title", "isbn"))
+    cols = ["query_id", "rank", "source_id", "position", "match_score", "title", "isbn"]
+    assert got.columns == cols and got.count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined_.select(*cols).collect()))
+    # The join with queries is the last one: above it nothing is joined or grouped.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Join")
+
+
 def test_score_join_has_no_nested_loop(spark):
     q, b = small_catalog(spark)
     plan = score_join(q, b)._jdf.queryExecution().executedPlan().toString()
